@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lm_score, pii, quality, token_store, url_filter
+from . import bpe, decontaminate, language_id, lm_score, pii, quality, token_store, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -43,6 +43,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.of_documents(table(spark, sf_dir, "documents")).select("doc_id", "lang", "detected_lang", "posterior", "kept")
+
+
 def op10_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_cleaning": op5_line_cleaning,
         "op6_decontaminate": op6_decontaminate,
         "op7_bpe": op7_bpe,
+        "op9_language_id": op9_language_id,
         "op10_lattice_score": op10_lattice_score,
     }
 
