@@ -156,12 +156,12 @@ def held_out(doc_id) -> bool:
 
 
 def _grouped(docs: DataFrame, groups: int) -> DataFrame:
-    return docs.select(F.pmod(C.row_key(), F.lit(64 * groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.select(F.pmod(C.row_key(), F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def word_table(docs: DataFrame, groups: int) -> DataFrame:
     """A row per bucket of words, written: distinct words, training counts, and which words each group asked for."""
-    buckets = 4 * groups
+    buckets = groups
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained, other, home = Counter(), set(), None
@@ -203,8 +203,8 @@ def word_table(docs: DataFrame, groups: int) -> DataFrame:
             c = np.asarray(total, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(place)], pa.binary()), pa.array([c.astype("<i8").tobytes()], pa.binary()), pa.array([homes], pa.list_(pa.int32())), pa.array([asked], pa.list_(pa.binary())), pa.array([int(c.sum())], pa.int64()), pa.array([int((c > 0).sum())], pa.int64())], ["words", "counts", "homes", "asked", "n", "v"])
 
-    sent = _grouped(docs, groups).repartition(groups, "g").mapInArrow(ask, "bucket int, g int, words binary, counts binary")
-    summed = sent.repartition(groups, "bucket").mapInArrow(add, "words binary, counts binary, homes array<int>, asked array<binary>, n long, v long")
+    sent = _grouped(docs, groups).repartitionById(groups, F.col("g")).mapInArrow(ask, "bucket int, g int, words binary, counts binary")
+    summed = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(add, "words binary, counts binary, homes array<int>, asked array<binary>, n long, v long")
     return C.written(summed, "words")
 
 
@@ -298,6 +298,6 @@ def score(docs: DataFrame, vocabulary: str, groups: int | None = None) -> DataFr
 
     rows = _grouped(docs, groups).withColumn("told", F.lit(None).cast("binary"))
     both = told.select("g", F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"), "told").unionByName(rows)
-    met = both.repartition(groups, "g").sortWithinPartitions(F.col("told").isNull())
+    met = both.repartitionById(groups, F.col("g")).sortWithinPartitions(F.col("told").isNull())
     out = met.select("g", "doc_id", "text", "told").mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("doc_id", F.col("doc_id").cast(id_type))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, lm_score, pii, quality, token_store, url_filter
+from . import bpe, decontaminate, language_id, lm_score, pii, quality, substring_dedup, token_store, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -31,6 +31,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_token_store": op2_token_store,
         "op3_pii": op3_pii,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_line_cleaning": op5_line_cleaning,
         "op6_decontaminate": op6_decontaminate,
         "op7_bpe": op7_bpe,
@@ -65,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_cleaning": quality.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op4_substring_dedup": substring_dedup.ORACLE_SQL, "op5_line_cleaning": quality.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL}
