@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, lm_score, pii, quality, substring_dedup, token_store, url_filter
+from . import bpe, decontaminate, language_id, lm_score, minhash, pii, quality, substring_dedup, token_store, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -47,6 +47,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.of_documents(table(spark, sf_dir, "documents")).select("doc_id", "lang", "detected_lang", "posterior", "kept")
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_cleaning": op5_line_cleaning,
         "op6_decontaminate": op6_decontaminate,
         "op7_bpe": op7_bpe,
+        "op8_probminhash": op8_probminhash,
         "op9_language_id": op9_language_id,
         "op10_lattice_score": op10_lattice_score,
     }

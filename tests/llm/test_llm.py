@@ -1,0 +1,432 @@
+"""Training-data operators against brute force, the library itself, and odd inputs."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quillspark.llm import _common as C
+from quillspark.llm import bpe, decontaminate, language_id, lm_score, minhash, pii, quality, queries, stages, substring_dedup, token_store, url_filter
+
+WS = re.compile("[^\x20\x09-\x0d]+")
+T = queries.TOKENIZER
+
+
+def base_texts():
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(60)] + ["thé", "日本", "x|y", "A.b,"]
+    long = [" ".join(r.choice(words) for _ in range(130)) for _ in range(6)]
+    out = [None, "", "  \n\t ", "one", "a b c d", *long]
+    out.append(long[0])
+    out.append(long[0] + " tail words here")
+    out.append("head " + " ".join(long[1].split()[20:90]) + " and more " + " ".join(long[2].split()[5:60]))
+    out.append(" ".join(long[3].split()[:49]))
+    out.append("\n".join(["same line of words here.", "same line of words here.", "menu | home | about", "All rights reserved.", "a b"] * 3))
+    out.append(" ".join(["the quick brown fox jumps over it all"] * 12))
+    out.append("x" * 5000 + " " + "y " * 3000)
+    out.append("mail a.b@c.example.org, +1 (778) 555-8933 and 4000 0000 0000 0002 or 10.0.0.256 10.1.2.3 http://u:p@h.example/x account no: 12345678")
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, random.Random(k).choice(["en", "de", None]), f"s{k % 3}", 1) for k, t in enumerate(base_texts())]
+    rows += [rows[7], (7, "another text of the same id", "en", None, None), (None, base_texts()[5], None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def ids_of(text, lib=[]):  # noqa: B006
+    if not lib:
+        from tokenizers import Tokenizer
+
+        lib.append(Tokenizer.from_file(T))
+    return lib[0].encode(text or "", add_special_tokens=False).ids
+
+
+def odd_texts():
+    r = random.Random(11)
+    out = ["a\n\nb  c   d \n e", "  x", " \t\n", "it's I'll 'sa ''s don't\n's", "<|endoftext|>a <|endoftext|>", "\x00\x1c\x1dab\x85c", "😀👍🏽 z", "͸x 's", "'", "x'rest 'll", None, ""]
+    return out + ["".join(r.choice("aé 1!'\n \t.  sdlrevté 日½") for _ in range(r.randint(0, 30))) for _ in range(800)]
+
+
+@pytest.mark.parametrize("make", [lambda: bpe.by_library, bpe.ForcedCuts])
+def test_coder_is_the_library(make):
+    coder, texts = bpe.Coder(T, make()), odd_texts()
+    ids, counts = coder.encode(pa.array(texts, pa.string()))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [ids_of(t) for t in texts]
+    assert coder.decode(ids, counts) == [t or "" for t in texts]
+
+
+def test_forced_cuts_are_never_inside_a_token():
+    cuts = bpe.ForcedCuts()
+    coder = bpe.Coder(T, cuts)
+    cuts._prepare(coder)
+    assert all(len(cuts.split(t)) == 1 for t in coder.tokens.values())
+    assert b"".join(cuts.split("déjà×日本".encode())) == "déjà×日本".encode()
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "SLOTS", 1 << 21)
+    coder = bpe.Coder(T, bpe.by_library)
+    coder.taken = bpe.SLOTS  # the next new piece makes it start anew
+    ids, _ = coder.encode(pa.array(["hello brave new world"]))
+    assert ids.tolist() == ids_of("hello brave new world") and coder.taken < 10
+
+
+def test_bpe_digests(docs, empty):
+    rows = bpe.digests(docs, T).collect()
+    want = sorted((str(r.doc_id), len(i := ids_of(r.text)), hashlib.sha256(np.asarray(i, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect())
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == want
+    assert bpe.digests(empty, T).count() == 0
+    assert bpe.encode_decode(docs, T).where("doc_id = 3").first().decoded == "one"
+
+
+@pytest.mark.parametrize("n", [1, 2, 127, 128, 129, 1000])
+def test_blocks_round_trip(n):
+    r = np.random.default_rng(n)
+    x = r.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    x[::3] %= 50
+    for y in (x, np.full(n, 7, np.uint32), x % 40000):
+        b, at = token_store.pack(y)
+        assert (token_store.unpack(np.frombuffer(b, np.uint8), at)[:n] == y).all()
+
+
+def test_token_store(docs, empty):
+    rows = token_store.stored(docs, T, 2, shards=3).orderBy("start").collect()
+    want, start = [], 0
+    by = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    assert [r.doc_id for r in rows] == [r.doc_id for r in by]
+    all_texts = defaultdict(list)
+    for r in by:
+        i = [*ids_of(r.text), 2]
+        all_texts[r.doc_id].append((len(i), zlib.crc32(np.asarray(i, "<u4").tobytes())))
+    for r in rows:
+        assert r.start == start and (r.n_tokens, r.ids_crc32) in all_texts[r.doc_id]
+        all_texts[r.doc_id].remove((r.n_tokens, r.ids_crc32))
+        start += r.n_tokens
+    assert want == [] and token_store.stored(empty, T, 2).count() == 0
+
+
+def brute_pii(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, "email", m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, "ip", m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[ -]", "", m[0])
+        if 12 <= len(d) <= 19 and pii.luhn(d):
+            out.append((m.start(), 2, "card", m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, "phone", m.end()))
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
+
+
+def test_pii_base_spans_are_the_patterns():
+    r, a = random.Random(5), pii.anchors()
+    some = ["a@b.c@d.e", "1.2.3.4.5.6.7.8", "0001.002.3.4", "+1 2345678 ", "4000 0000 0000 0002", "é@x.y a@é.b x@y-.z", "++12 345 678 90"]
+    some += ["".join(r.choice("0123456789.+- ()@ab.éZ") for _ in range(60)) for _ in range(3000)]
+    for t in some:
+        base = [x for x in pii.find(t, a) if x[1] in pii.BASE]
+        assert pii.listed(base) == brute_pii(t), t
+    assert pii.find(None, a) == [] == pii.find("", a)
+
+
+def test_pii_added_spans_and_redaction(docs, empty):
+    a = pii.anchors()
+    t = "see ftp://me:pw@h.example/x, Account No. 12345678 and GB82 WEST 1234 5698 7654 32; account book 12"
+    kinds = [k for _, k, _ in pii.find(t, a)]
+    assert {"account", "iban"} <= set(kinds) and kinds.count("account") == 1
+    assert "12345678" not in pii.redact_text(t, a) and pii.redact_text("plain text", a) == "plain text"
+    out = {r.doc_id: r for r in pii.detect(docs).collect()}
+    assert (out[18].n_email, out[18].n_ip, out[18].n_card, out[18].n_phone) == (1, 1, 1, 1)
+    assert pii.detect(empty).count() == 0 and pii.redact(docs).columns == docs.columns
+
+
+def run_sql(sql, docs, **more):
+    con = duckdb.connect()
+    for name, df in {"documents": docs, **more}.items():
+        con.register(name, df.toArrow())
+    cur = con.execute(sql)
+    names = [d[0] for d in cur.description]
+    return sorted(str(sorted(zip(names, map(str, r), strict=True))) for r in cur.fetchall())
+
+
+def rows_of(df):
+    return sorted(str(sorted((c, str(r[c])) for c in df.columns)) for r in df.collect())
+
+
+def test_substring_dedup(spark, docs, empty):
+    known = docs.where("doc_id IS NOT NULL")
+    assert rows_of(substring_dedup.repeats(known, 3).drop("kept_text")) == run_sql(substring_dedup.ORACLE_SQL, known)
+    assert substring_dedup.repeats(empty, 2).count() == 0
+    lost = substring_dedup.repeats(docs, 3).where("doc_id IS NULL").collect()
+    assert [r.n_removed for r in lost] == [0]
+    r = random.Random(1)
+    words = [r.choice("abc") for _ in range(400)]  # few words: very many hits, most of them too short
+    many = spark.createDataFrame([(k % 40, " ".join(words[k : k + r.randint(30, 90)])) for k in range(0, 300, 3)], "doc_id long, text string")
+    assert rows_of(substring_dedup.repeats(many, 3).drop("kept_text")) == run_sql(substring_dedup.ORACLE_SQL, many)
+
+
+def test_quality(docs, empty):
+    assert rows_of(quality.judge(docs)) == run_sql(quality.ORACLE_SQL, docs)
+    assert quality.judge(empty).count() == 0
+    plan = quality.judge(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    cleaned = {r.doc_id: r.clean_text for r in quality.clean(docs).collect()}
+    assert "rights" not in cleaned[15] and "menu" not in cleaned[15] and cleaned[0] == ""
+
+
+def test_decontamination(spark, docs, empty):
+    texts = base_texts()
+    bench = spark.createDataFrame([(1, " ".join(texts[5].split()[30:55])), (2, "QUICK, brown fox"), (10, texts[6]), (3, None), (4, ""), (2, "QUICK, brown fox"), (None, "one")], "item_id long, text string")
+    known = bench.where("item_id IS NOT NULL")
+    got = decontaminate.contamination(docs, bench)
+    assert rows_of(got.drop("spans")) == run_sql(decontaminate.ORACLE_SQL, docs, benchmark=known)
+    text = "Zoë, the QUICK-brown; fox, ran"
+    n, hit, items = decontaminate.scan(decontaminate.automaton([("2", "quick brown fox")]), text)
+    assert (n, items, [text[a:b] for a, b in decontaminate.hit_spans(text, hit)]) == (6, {"2"}, ["QUICK-brown; fox"])
+    assert decontaminate.contamination(empty, bench).count() == 0
+    assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_blocks_of_a_large_benchmark(monkeypatch, spark, docs):
+    bench = spark.createDataFrame([(k, f"w{k} w{k + 1}") for k in range(30)], "item_id long, text string")
+    one = rows_of(decontaminate.contamination(docs, bench))
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 20)
+    assert len(decontaminate.item_blocks(bench)) > 3
+    assert rows_of(decontaminate.contamination(docs, bench)) == one
+
+
+def test_url_rules_and_models(spark):
+    r = random.Random(2)
+    urls = [None, "", "no scheme", "x://", "HTTP://A.Example.COM/en/x?q#f", "http://example.com/en/7a", "http://notcom/en/", "http://a.example.net/de/81", "http://b.net/de/9", "http://com/en/", "http://q.org/es/a/http://z", "http://h.org#/en/"]
+    urls += [f"http://{r.choice('abc')}{k % 7}.example.{t}/{p}/{k}" for k in range(300) for t, p in (("net", "de"), ("com", "en"), ("com", "de"), ("org", "en"))]
+    pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
+    rows = url_filter.judge(pages, queries.URL_RULES).collect()
+
+    def brute(u):
+        if not u or "://" not in u:
+            return "", "", None
+        rest = u.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.encode().lower().decode()
+        best = None
+        for v, h, p in queries.URL_RULES:
+            if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
+                best = (h + p, v)
+        return host, path, best
+
+    assert len(rows) == len(urls)
+    for row in rows:
+        host, path, best = brute(urls[row.page_id])
+        assert (row.host, row.path, row.rule) == (host, path, best and best[0])
+        assert row.verdict == (best[1] if best else "allow" if row.score >= row.threshold else "block")
+    # Paths of the accepted class score over those of the rejected class.
+    verdicts = defaultdict(Counter)
+    for row in rows:
+        if row.rule is None:
+            verdicts[row.path[:4]][row.verdict] += 1
+    assert verdicts["/de/"]["allow"] > verdicts["/de/"]["block"]
+    assert url_filter.judge(pages.limit(0), queries.URL_RULES).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages.where("page_id < 3"), queries.URL_RULES).collect()} == {"allow"}
+
+
+def test_url_probabilities_sum_to_one():
+    r = np.random.default_rng(1)
+    c = np.zeros(url_filter.ALPHABET ** (url_filter.ORDER + 1), np.int64)
+    c[r.integers(0, len(c), 500)] = r.integers(1, 9, 500)
+    p = 2.0 ** url_filter.log_probabilities(c).astype(float)
+    assert np.allclose(p.reshape(-1, url_filter.ALPHABET).sum(1), 1, atol=1e-4)
+
+
+def shingle_set(t):
+    w = WS.findall(t or "")
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+
+def brute_classes(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            u = len(sets[i] | sets[j])
+            if u and 5 * len(sets[i] & sets[j]) >= 4 * u:
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    return sorted(sorted(rows[i][0] for i in g) for g in groups.values())
+
+
+def got_classes(df):
+    groups = defaultdict(list)
+    for r in minhash.classes(df).collect():
+        groups[r.class_id].append(r.doc_id)
+    assert all(min(g) == c for c, g in groups.items())
+    return sorted(map(sorted, groups.values()))
+
+
+def test_minhash_small_groups(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    assert got_classes(df) == brute_classes(rows)
+
+
+def test_minhash_large_groups(spark):
+    r = random.Random(9)
+    bases = [[f"{c}{r.randint(0, 400)}" for _ in range(120)] for c in "abc"]
+    rows = []
+    for k in range(150):
+        w = list(bases[k % 3])
+        for _ in range(r.randint(0, 3)):
+            w[r.randint(0, 119)] = f"z{r.randint(0, 9)}"
+        rows.append((k, " ".join(w)))
+    rows += [(k, rows[0][1]) for k in range(150, 200)] + [(200, None), (201, ""), (202, "a b"), (203, "a  b"), (204, "a c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_classes(df) == brute_classes(rows)
+    kept = minhash.first_of_classes(df)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(g[0] for g in brute_classes(rows))
+    assert minhash.classes(df.limit(0)).count() == 0 and minhash.first_of_classes(df.limit(0)).count() == 0
+
+
+def test_registers_estimate_weighted_jaccard():
+    r = np.random.default_rng(4)
+    a = r.integers(0, 1 << 63, 300).astype(np.uint64)
+    w = r.uniform(1, 2, 300)
+    x, y = np.arange(0, 240), np.arange(60, 300)
+    est = []
+    for salt in range(40):
+        h = C.mixed(a + np.uint64(salt))
+        s = minhash.signatures(np.concatenate([h[x], h[y]]), np.concatenate([w[x], w[y]]), np.repeat([0, 1], 240), 2)
+        est.append((s[0] == s[1]).mean())
+    assert abs(np.mean(est) - w[60:240].sum() / w.sum()) < 0.03
+
+
+def test_language_of_pages_and_documents(spark, sf, docs, empty):
+    d = language_id.of_documents(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert sum(r.detected_lang == r.lang for r in d) > 0.97 * len(d) and sum(r.kept for r in d) > 0.97 * len(d)
+    p = language_id.of_pages(spark.read.parquet(f"{sf}/pages.parquet")).select("url", "detected_lang").collect()
+    assert sum(f"/{r.detected_lang}/" in r.url for r in p) > 0.9 * len(p)
+    out = {r.doc_id: r for r in language_id.of_documents(docs).collect()}
+    assert out[0].detected_lang is None and not out[0].kept and not out[2].kept
+    assert language_id.of_documents(empty).count() == 0
+
+
+def test_host_priors_are_smoothed_sums(spark):
+    rows = [("a.x.de", "de")] * 6 + [("b.x.de", "en")] * 2 + [("c.y.de", None), ("z", "fr"), (None, "es")]
+    p = {r.host: r.prior for r in language_id.host_priors(spark.createDataFrame(rows, "host string, declared string")).collect()}
+    h = language_id.HOST_WEIGHT
+    whole = [(6 + h / 4) / (9 + h), (2 + h / 4) / (9 + h), (0 + h / 4) / (9 + h), (1 + h / 4) / (9 + h)]
+    suffix = [(c + h * q) / (8 + h) for c, q in zip((6, 2, 0, 0), whole, strict=True)]
+    domain = [(c + h * q) / (8 + h) for c, q in zip((6, 2, 0, 0), suffix, strict=True)]
+    want = [(c + h * q) / (6 + h) for c, q in zip((6, 0, 0, 0), domain, strict=True)]
+    assert np.allclose(p["a.x.de"], want) and set(p) == {"a.x.de", "b.x.de", "c.y.de", "z"}
+    assert all(abs(sum(v) - 1) < 1e-9 for v in p.values())
+
+
+def brute_words(t):
+    return [w.encode().lower() for w in WS.findall(t or "")]
+
+
+def test_lattice_scores(spark, docs, empty):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    out = lm_score.score(docs, T, groups=3).collect()
+    train = Counter()
+    n_end = 0
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    for i, t in rows:
+        if not held(i):
+            train.update(brute_words(t))
+            n_end += 1
+    n, v = sum(train.values()) + n_end, len(train) + 1
+    assert {r.train_tokens for r in out} == {n}
+    pieces = lm_score.pieces_of(T)
+    place = {p: k for k, p in enumerate(pieces)}
+    p0 = 1 / (np.arange(len(pieces)) + 10.0)
+    p0 /= p0.sum()
+
+    def forward(w, p):
+        a = [1.0] + [0.0] * len(w)
+        for j in range(1, len(w) + 1):
+            a[j] = sum(a[i] * p[place[w[i:j]]] for i in range(max(0, j - 16), j) if w[i:j] in place)
+        return a
+
+    counts = np.full(len(pieces) + 1, lm_score.PRIOR_COUNT)
+    for w, c in train.items():
+        if len(w) > 40:
+            continue
+        w = b" " + w
+        a, rev = forward(w, p0), [0.0] * len(w) + [1.0]
+        for i in range(len(w) - 1, -1, -1):
+            rev[i] = sum(p0[place[w[i:j]]] * rev[j] for j in range(i + 1, min(len(w), i + 16) + 1) if w[i:j] in place)
+        for j in range(1, len(w) + 1):
+            for i in range(max(0, j - 16), j):
+                if w[i:j] in place:
+                    counts[place[w[i:j]]] += c * a[i] * p0[place[w[i:j]]] * rev[j] / a[-1]
+    long = [w for w in train if len(w) > 40]
+    lattice = lm_score.Lattice(pieces, np.log10(p0))
+    counts[:-1] += lattice.expected(long, np.asarray([float(train[w]) for w in long]))
+    counts[-1] += n_end
+    p = counts / counts.sum()
+    final = lm_score.Lattice(pieces, np.log10(p[:-1]))
+    by = defaultdict(list)
+    for r in out:
+        by[r.doc_id].append(r)
+    for i, t in rows:
+        w = brute_words(t)
+        base = sum(math.log10((train[x] + 1) / (n + v + 1 - 0 * 1)) for x in w) if False else sum(math.log10((train[x] + 1) / (n + 1 * (v + 1))) for x in w) + math.log10((n_end + 1) / (n + v + 1))
+        model = sum(math.log10(forward(b" " + x, p)[-1]) if len(x) < 60 else float(final.scores([x])[0]) for x in w) + math.log10(p[-1])
+        assert any(r.n_tokens == len(w) + 1 and r.held_out == held(i) and r.n_known == sum(train[x] > 0 for x in w) + 1 and math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, model, rel_tol=1e-7) for r in by[i]), i
+    assert len(out) == len(rows) and lm_score.score(empty, T).count() == 0
+
+
+def test_held_out_text_likes_the_language(spark, sf):
+    """The model gives held-out texts of the corpus a higher score than the same texts with their letters turned round."""
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    turned = df.selectExpr("doc_id + 1000000 AS doc_id", "reverse(text) AS text")
+    rows = {r.doc_id: r.score for r in lm_score.score(df.unionByName(turned.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2")), T).where("held_out").collect()}
+    pairs = [(rows[k - 1000000], s) for k, s in rows.items() if k >= 1000000 and k - 1000000 in rows]
+    assert len(pairs) >= 2 and sum(a > b for a, b in pairs) > 0.8 * len(pairs)
+
+
+def test_pipeline(spark, sf, docs, empty):
+    import corpus_pipeline
+
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    source = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert 0.5 * len(source) < len(out) <= len(source)
+    kept = [(k, source[k].text) for k in out]
+    assert all(len(g) == 1 for g in brute_classes(kept))
+    bench = [t.text for t in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    a = decontaminate.automaton([(str(k), t) for k, t in enumerate(bench)])
+    anchors = pii.anchors()
+    for k, t in kept:
+        assert not decontaminate.scan(a, t)[2]
+        clean = pii.redact_text(t, anchors)
+        assert out[k].decoded_sha256 == hashlib.sha256(clean.encode()).hexdigest() and out[k].n_tokens == len(ids_of(clean))
+    for _, stage in stages.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns
+        assert stage(spark, empty, sf).count() == 0
