@@ -6,10 +6,12 @@ first. A process ends when its next arrival is later than all registers of its d
 estimates the probability Jaccard similarity, here the weighted one. Bands of registers give candidates; these are
 verified by the exact Jaccard similarity of the shingle sets.
 
-Equal texts are one node. A band's group of up to SMALL nodes is compared in full. A larger one is compared with leaders:
-the nodes that come first in LEADERS random orders; nodes that match no leader of a group form a group again, until none
-is left. Groups are never in one task: leaders come from grouped minima and reach members by a join. Components of
-links come from repeated minima over neighbours, as tables.
+Equal texts are one node. A band's group of up to SMALL nodes is compared in full. In a larger one every node is compared
+with leaders, the nodes that come first in LEADERS random orders. If that does not join the group, what lies outside its
+largest component is compared with the rest, but for pairs whose distances to a leader differ by more than a link may
+have (Jaccard distance obeys the triangle inequality): no link between candidates is lost. Groups are never in one task:
+leaders come from grouped minima and reach members by a join. Components of links come from repeated minima over
+neighbours, as tables.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -103,54 +105,62 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())], ["node", "shingles"])
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Jaccard similarity of pairs as two counts: common shingles and all shingles."""
     for b in batches:
-        keep = []
+        both, either = [], []
         for x, y in zip(b.column(2), b.column(3), strict=True):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            if min(len(x), len(y)) * DENOMINATOR < max(len(x), len(y)) * NUMERATOR:
-                keep.append(False)
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both * DENOMINATOR >= (len(x) + len(y) - both) * NUMERATOR)
-        b = b.filter(pa.array(keep, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
+            both.append(len(np.intersect1d(x, y, assume_unique=True)))
+            either.append(len(x) + len(y) - both[-1])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
 
 
-def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows(band, node) of groups: pairs to compare (a < b), and the large groups' rows with their leaders."""
-    first = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
-    groups = rows.groupBy("band").agg(F.count("*").alias("n"), *first).where("n > 1")
-    met = rows.join(groups, "band")
-    large = met.where(f"n > {SMALL}").select("band", "node", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS))))).alias("leader"))
-    few = met.where(f"n <= {SMALL}").groupBy("band").agg(F.sort_array(F.collect_set("node")).alias("nodes"))  # at most SMALL each
-    small = few.select(F.posexplode("nodes").alias("k", "a"), "nodes").select("a", F.explode(F.expr("slice(nodes, k + 2, size(nodes))")).alias("b"))
-    star = large.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    return small.unionByName(star).distinct(), large
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of different nodes, written."""
+    """Verified pairs (a, b) of different nodes."""
     nodes = C.written(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "nodes")
     exploded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    rows = C.written(exploded.join(shared, "band", "left_semi"), "bands")
+    first = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
+    groups = exploded.groupBy("band").agg(F.count("*").alias("n"), *first).where("n > 1")
+    rows = C.written(exploded.join(groups, "band"), "bands")
     used = rows.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = docs.select("doc_id", "text").join(used, F.col("doc_id").eqNullSafe(F.col("rep"))).where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("node")).select("node", "text")
     sets = C.written(texts.mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]), "shingles")
-    out = None
-    while True:
-        pairs, large = _candidates(rows)
+
+    def compared(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
-        found = C.written(full.select("a", "b", "x", "y").mapInArrow(_similar, "a binary, b binary"), "links")
-        out = found if out is None else out.unionByName(found)
-        matched = found.select(F.col("a").alias("node"), F.col("b").alias("leader")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("leader")))
-        leads = large.where("node = leader").select("band", "node")
-        done = large.join(matched, ["node", "leader"], "left_semi").select("band", "node").unionByName(leads)
-        rest = C.written(large.select("band", "node").distinct().join(done, ["band", "node"], "left_anti"), "rest")
-        if rest.isEmpty():
-            return out.distinct()
-        rows = rest
+        return C.written(full.select("a", "b", "x", "y").mapInArrow(_compared, "a binary, b binary, both long, either long"), "compared")
+
+    few = rows.where(f"n <= {SMALL}").groupBy("band").agg(F.sort_array(F.collect_set("node")).alias("nodes"))  # at most SMALL each
+    small = few.select(F.posexplode("nodes").alias("k", "a"), "nodes").select("a", F.explode(F.expr("slice(nodes, k + 2, size(nodes))")).alias("b"))
+    large = rows.where(f"n > {SMALL}")
+    star = large.select("node", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS))))).alias("leader")).where("node != leader").select(*_pair("node", "leader"))
+    seen = compared(small.unionByName(star).distinct())
+    linked = F.col("both") * DENOMINATOR >= F.col("either") * NUMERATOR
+    found = seen.where(linked).select("a", "b")
+    if large.isEmpty():
+        return found
+    members = large.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("of"))
+    parted = sizes.groupBy("band").agg(F.max_by("root", "of").alias("main"), F.count("*").alias("roots")).where("roots > 1").select("band", "main")
+    members = C.written(members.join(parted, "band"), "members")
+    if members.isEmpty():
+        return found
+    for k in range(LEADERS):
+        far = seen.select(F.col("a"), F.col("b"), (1 - F.col("both") / F.col("either")).alias(f"d{k}"))
+        members = members.withColumns(dict(zip(("a", "b"), _pair("node", f"l{k}"), strict=True))).join(far, ["a", "b"], "left").withColumn(f"d{k}", F.coalesce(f"d{k}", F.lit(0.0))).drop("a", "b")
+    members = C.written(members.select("band", "node", "root", "main", *(f"d{k}" for k in range(LEADERS))), "members")
+    x, y = members.where("root != main").alias("x"), members.alias("y")
+    near = [F.abs(F.col(f"x.d{k}") - F.col(f"y.d{k}")) <= 1 - NUMERATOR / DENOMINATOR + 1e-9 for k in range(LEADERS)]
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    for c in near:
+        met = met & c
+    cross = x.join(y, met).select(*_pair("x.node", "y.node")).distinct().join(seen, ["a", "b"], "left_anti")
+    return found.unionByName(compared(cross).where(linked).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

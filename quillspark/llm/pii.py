@@ -63,8 +63,8 @@ def find(text: str | None, automaton, lowered: str | None = None) -> list[tuple[
     """All spans of a text as (start, kind, end): code points, end exclusive, by start, then by kind as listed.
 
     Each base kind goes left to right without overlaps; a failed check drops the span, and the search goes on after it.
-    The added kinds need a scheme with name and password, a valid IBAN checksum, or a cue right before the number, and
-    none of them may touch a base span.
+    The added kinds need a scheme with name and password, a valid IBAN checksum, or a cue right before the number;
+    they touch no other span, but that a login URL may hold what looks like an e-mail address.
     """
     if not text:
         return []
@@ -114,11 +114,11 @@ def find(text: str | None, automaton, lowered: str | None = None) -> list[tuple[
         elif (at == 0 or not text[at - 1].isalnum()) and (m := _NUMBER.match(text, last + 1)):
             more.append((m.start(1), "account", m.end(1)))
     if more:
-        taken = sorted((s, e) for s, _, e in out)
+        taken = list(out)
         for s, k, e in sorted(more, key=lambda x: (x[0], KINDS[x[1]])):
-            if not any(a < e and s < b for a, b in taken):
+            if not any(a < e and s < b and (k, kind) != ("login_url", "email") for a, kind, b in taken):
                 out.append((s, k, e))
-                taken.append((s, e))
+                taken.append((s, k, e))
     return sorted(out, key=lambda x: (x[0], KINDS[x[1]]))
 
 
