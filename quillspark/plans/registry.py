@@ -143,14 +143,14 @@ def fu3(spark, sf):
 
 @query(
     "fu4_tile_merge",
-    """WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber * 1000003 + l_partkey AS ord, CASE l_linenumber % 4 WHEN 0 THEN 'half_top' WHEN 1 THEN 'tile_r0_c1' WHEN 2 THEN 'tile_r2_c0' ELSE 'other' END AS tile,
+    """WITH t AS (SELECT l_orderkey AS doc_id, (l_linenumber * 1000003 + l_partkey) * 10007 + l_suppkey AS ord, CASE l_linenumber % 4 WHEN 0 THEN 'half_top' WHEN 1 THEN 'tile_r0_c1' WHEN 2 THEN 'tile_r2_c0' ELSE 'other' END AS tile,
    CASE l_suppkey % 2 WHEN 0 THEN 'First' ELSE 'City' END AS field, l_returnflag AS value FROM lineitem),
  s AS (SELECT *, CASE WHEN tile LIKE 'half%' THEN 300 WHEN tile LIKE 'tile%' THEN 200 ELSE 100 END + CASE WHEN (field = 'First' AND tile IN ('half_top', 'tile_r0_c1')) OR (field = 'City' AND tile = 'tile_r2_c0') THEN 500 ELSE 0 END + length(trim(value)) AS p FROM t WHERE trim(value) <> '')
  SELECT doc_id, field, trim(value) AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY p DESC, ord) AS rn FROM s) WHERE rn = 1""",
 )
 def fu4(spark, sf):
     n = F.col("l_linenumber") % 4
-    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 1000003 + F.col("l_partkey")).alias("ord"), F.when(n == 0, "half_top").when(n == 1, "tile_r0_c1").when(n == 2, "tile_r2_c0").otherwise("other").alias("tile"), F.when(F.col("l_suppkey") % 2 == 0, "First").otherwise("City").alias("field"), F.col("l_returnflag").alias("value"))
+    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), ((F.col("l_linenumber") * 1000003 + F.col("l_partkey")) * 10007 + F.col("l_suppkey")).alias("ord"), F.when(n == 0, "half_top").when(n == 1, "tile_r0_c1").when(n == 2, "tile_r2_c0").otherwise("other").alias("tile"), F.when(F.col("l_suppkey") % 2 == 0, "First").otherwise("City").alias("field"), F.col("l_returnflag").alias("value"))
     near = spark.createDataFrame([("First", "half_top"), ("First", "tile_r0_c1"), ("City", "tile_r2_c0")], "field string, tile string")
     return fuse.merge_tiles(t, near)
 
