@@ -64,7 +64,7 @@ def test_resolver(spark):
     q = spark.createDataFrame([(1, "person_full", "RAJESH KUMAR"), (2, "person_full", "RAJESH KUMA"), (3, "person_full", "ANITA DE5AI"), (4, "plan_name", "JEEVAN ANND"), (5, "person_full", "###"), (6, "person_full", None)], "qid long, category string, raw_text string")
     top, d = resolve.resolve(q, lex)
     got = {r.qid: r for r in d.collect()}
-    assert got[1].method == "exact" and got[3].method == "exact" and got[2].text == "RAJESH KUMAR" and got[4].text == "JEEVAN ANAND" and got[4].accepted and 5 not in got and 6 not in got
+    assert got[1].method == "exact" and got[3].method == "exact" and got[2].text == "RAJESH KUMAR" and got[4].text == "JEEVAN ANAND" and got[4].method == "fuzzy_review" and 5 not in got and 6 not in got
     assert top.where("rank > 5").count() == 0
 
 
@@ -142,7 +142,7 @@ def test_results_round_trip(spark, tmp_path):
 
 def test_corrections_stream(spark, tmp_path):
     ts = pd.Timestamp("2024-01-01")
-    rows = [(k, k % 3, "f", ts + pd.Timedelta(minutes=(k * 7) % 11), k) for k in range(30)]
+    rows = [(k, k % 3, "f", (ts + pd.Timedelta(minutes=(k * 7) % 11)).to_pydatetime(), k) for k in range(30)]
     schema = "event_id long, doc_id long, field_name string, ts timestamp, new_value long"
     df = spark.createDataFrame(rows, schema)
     for part in range(3):
