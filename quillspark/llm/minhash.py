@@ -7,11 +7,11 @@ estimates the probability Jaccard similarity, here the weighted one. Bands of re
 verified by the exact Jaccard similarity of the shingle sets.
 
 Equal texts are one node. A band's group of up to SMALL nodes is compared in full. In a larger one every node is compared
-with leaders, the nodes that come first in LEADERS random orders. If that does not join the group, what lies outside its
-largest component is compared with the rest, but for pairs whose distances to a leader differ by more than a link may
-have (Jaccard distance obeys the triangle inequality): no link between candidates is lost. Groups are never in one task:
-leaders come from grouped minima and reach members by a join. Components of links come from repeated minima over
-neighbours, as tables.
+with leaders, the nodes that come first in LEADERS random orders, and with a few mates dealt by hash, anew in each band.
+If that does not join the group, what lies outside its largest component is compared with the rest, but for pairs whose
+distances to a leader differ by more than a link may have (Jaccard distance obeys the triangle inequality) and pairs
+whose registers' bits differ too much (a similarity of 0.8 differs so with 0.01 %). Groups are never in one task: leaders come
+from grouped minima and reach members by a join. Components of links come from repeated minima over neighbours, as tables.
 """
 
 from __future__ import annotations
@@ -32,7 +32,11 @@ REGISTERS = BANDS * ROWS
 #: Links need a Jaccard similarity of NUMERATOR / DENOMINATOR at least.
 NUMERATOR, DENOMINATOR = 4, 5
 SMALL = 16
-LEADERS = 4
+LEADERS = 3
+#: Mates that a node of a larger group has on average in a band.
+MATES = 4
+#: Four bits of every register, as 64-bit numbers, and how many may differ.
+BIT_WORDS, MOST_DIFFERENT_BITS = REGISTERS * 4 // 64, 72
 
 
 def shingles(w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,11 +91,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in C.steps(batches, "text"):
         w = C.Words(b.column(2))
         n = b.num_rows
-        keys = band_keys(signatures(*shingles(w), n))
+        who = signatures(*shingles(w), n)
+        keys = band_keys(who)
+        four = (C.mixed(who) & np.uint64(15)).reshape(n, BIT_WORDS, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+        bits = np.bitwise_or.reduce(four, axis=2).view(np.int64)
         some = np.diff(w.first) > 0
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in (keys, bits)]
         node = pa.array([k if s else None for k, s in zip(b.column(1).to_pylist(), some.tolist(), strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), node, lists], ["doc_id", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), node, *lists], ["doc_id", "node", "bands", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +129,7 @@ def _pair(x: str, y: str) -> list[Column]:
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """Verified pairs (a, b) of different nodes."""
-    nodes = C.written(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "nodes")
+    nodes = C.written(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")), "nodes")
     exploded = nodes.select("node", F.explode("bands").alias("band"))
     first = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
     groups = exploded.groupBy("band").agg(F.count("*").alias("n"), *first).where("n > 1")
@@ -135,7 +142,8 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         full = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
         return C.written(full.select("a", "b", "x", "y").mapInArrow(_compared, "a binary, b binary, both long, either long"), "compared")
 
-    few = rows.where(f"n <= {SMALL}").groupBy("band").agg(F.sort_array(F.collect_set("node")).alias("nodes"))  # at most SMALL each
+    deal = F.when(F.col("n") > SMALL, F.pmod(F.xxhash64("node", "band"), F.floor(F.col("n") / MATES))).otherwise(F.lit(0))
+    few = rows.groupBy("band", deal.alias("deal")).agg(F.sort_array(F.collect_set("node")).alias("nodes"))  # SMALL at most, or MATES on average
     small = few.select(F.posexplode("nodes").alias("k", "a"), "nodes").select("a", F.explode(F.expr("slice(nodes, k + 2, size(nodes))")).alias("b"))
     large = rows.where(f"n > {SMALL}")
     star = large.select("node", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS))))).alias("leader")).where("node != leader").select(*_pair("node", "leader"))
@@ -153,11 +161,13 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     for k in range(LEADERS):
         far = seen.select(F.col("a"), F.col("b"), (1 - F.col("both") / F.col("either")).alias(f"d{k}"))
         members = members.withColumns(dict(zip(("a", "b"), _pair("node", f"l{k}"), strict=True))).join(far, ["a", "b"], "left").withColumn(f"d{k}", F.coalesce(f"d{k}", F.lit(0.0))).drop("a", "b")
-    members = C.written(members.select("band", "node", "root", "main", *(f"d{k}" for k in range(LEADERS))), "members")
+    members = members.select("band", "node", "root", "main", *(f"d{k}" for k in range(LEADERS))).join(nodes.select("node", "bits"), "node")
+    members = C.written(members, "members")
     x, y = members.where("root != main").alias("x"), members.alias("y")
     near = [F.abs(F.col(f"x.d{k}") - F.col(f"y.d{k}")) <= 1 - NUMERATOR / DENOMINATOR + 1e-9 for k in range(LEADERS)]
     met = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    for c in near:
+    differ = sum((F.bit_count(F.get("x.bits", F.lit(k)).bitwiseXOR(F.get("y.bits", F.lit(k)))) for k in range(BIT_WORDS)), F.lit(0))
+    for c in (*near, differ <= MOST_DIFFERENT_BITS):
         met = met & c
     cross = x.join(y, met).select(*_pair("x.node", "y.node")).distinct().join(seen, ["a", "b"], "left_anti")
     return found.unionByName(compared(cross).where(linked).select("a", "b"))
@@ -179,7 +189,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """A row per row of docs(doc_id, text): doc_id, class_id (least doc_id of its class), node (binary, the text's key).
+    """A row per row of docs(doc_id, text): doc_id, class_id (least doc_id of its class, null if all are null), node (binary, the text's key), root (the
+    class's least node).
 
     Documents are in one class when links, or equal texts, join them. Null and empty texts and those of white space
     have no shingles: each is a class of its own (node null). Rows of one doc_id with other texts are documents of their
@@ -187,26 +198,26 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     key = F.unhex(F.md5(F.col("text").cast("binary")))
     id_type = dict(docs.dtypes)["doc_id"]
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("node"), "text").mapInArrow(_signed, "doc_id long, node binary, bands array<long>")
+    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("node"), "text").mapInArrow(_signed, "doc_id long, node binary, bands array<long>, bits array<long>")
     signed = C.written(signed, "signed")
     found = components(links(docs, signed))
     reps = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
     rooted = reps.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
     least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    of = rooted.join(least, "root").select("node", "class_id")
+    of = rooted.join(least, "root").select("node", "root", "class_id")
     out = signed.select("doc_id", "node").join(of, "node", "left")
-    return out.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.coalesce("class_id", "doc_id").cast(id_type).alias("class_id"), "node")
+    return out.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.coalesce("class_id", "doc_id").cast(id_type).alias("class_id"), "node", "root")
 
 
 def first_of_classes(docs: DataFrame) -> DataFrame:
     """docs' rows, all columns, with one row for each class: the one of the least doc_id, then of the least text key.
 
-    Rows without words all stay. A class whose doc_ids are all null keeps one row.
+    Rows without words all stay. Null doc_ids come last; a class that has no other keeps one of those rows.
     """
     own = classes(docs.select("doc_id", "text"))
-    winners = own.where("node IS NOT NULL").groupBy("class_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))), F.col("node"))).alias("w")).select("w.node", F.col("class_id").alias("__id"))
-    key = F.unhex(F.md5(F.col("text").cast("binary")))
-    wordless = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    marked = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("__node", key)
-    kept = marked.join(winners, (F.col("__node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__node"])
-    return kept.drop("__node").unionByName(wordless)
+    least = F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), F.col("doc_id").alias("__won_id"), F.col("node").alias("__won_node"))).alias("w")
+    winners = own.where("node IS NOT NULL").groupBy("root").agg(least).select("w.__won_id", "w.__won_node")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = docs.where(worded).withColumn("__node", F.unhex(F.md5(F.col("text").cast("binary"))))
+    kept = marked.join(winners, (F.col("__node") == F.col("__won_node")) & F.col("doc_id").eqNullSafe(F.col("__won_id")), "left_semi").dropDuplicates(["__node"])
+    return kept.drop("__node").unionByName(docs.where(~worded))
