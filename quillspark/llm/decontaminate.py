@@ -123,7 +123,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, kee
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"])
-    return docs.select(*(F.col(k) for k in keep), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{k}`") for k in keep), F.col("text").alias("__text")).mapInArrow(run, schema)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs' rows, all columns, in which no window occurs; any column names do."""
+    names = docs.columns
+    own = [f"__c{k}" for k in range(len(names))]
+    marked = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)), F.col("text"))
+    judged = contamination(marked, benchmark, width, own)
+    return judged.where("NOT contaminated").select(*(F.col(o).alias(c) for c, o in zip(names, own, strict=True)))
 
 
 ORACLE_SQL = r"""

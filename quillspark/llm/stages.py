@@ -16,7 +16,11 @@ from .queries import TOKENIZER, table
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is found among the accepted ones; their other columns stay as they were."""
-    return language_id.of_documents(docs).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = docs.columns
+    own = [f"__c{k}" for k in range(len(names))]
+    marked = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)), "text", "lang", "source")
+    found = language_id.of_documents(marked).where("kept")
+    return found.select(*(F.col(o).alias(c) for c, o in zip(names, own, strict=True)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no benchmark window occurs."""
-    judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=list(docs.columns))
-    return judged.where("NOT contaminated").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

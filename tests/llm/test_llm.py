@@ -427,6 +427,8 @@ def test_pipeline(spark, sf, docs, empty):
         assert not decontaminate.scan(a, t)[2]
         clean = pii.redact_text(t, anchors)
         assert out[k].decoded_sha256 == hashlib.sha256(clean.encode()).hexdigest() and out[k].n_tokens == len(ids_of(clean))
+    odd = docs.selectExpr("*", "1 AS n_words", "'x' AS node", "true AS kept", "2 AS root", "'s' AS spans")
     for _, stage in stages.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+        assert stage(spark, odd, sf).columns == odd.columns and stage(spark, odd, sf).count() > 0
         assert stage(spark, empty, sf).count() == 0
