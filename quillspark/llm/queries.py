@@ -32,7 +32,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
 
 
 def op5_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Every document is cut into non-overlapping reference blocks of BLOCK words; every rolling window of BLOCK words of every
 document probes them. A repeat of WIDTH = 2 * BLOCK words always holds one whole reference block, so it is never missed.
-A hit's neighbourhood is then extended: all windows of WIDTH words around hits are looked up by a 128-bit hash, and a run
+A hit's neighbourhood is then extended: all windows of WIDTH words around hits are looked up by a hash of 96 bits in its bucket, and a run
 of equal neighbours is a maximal exact repeat. What is found in a smaller doc_id goes.
 
 Nothing is paired: blocks, probes and windows meet in buckets of their hashes, each bucket holds the least document of a
@@ -26,8 +26,10 @@ BLOCK = 25
 WIDTH = 2 * BLOCK
 #: Bytes of a probe's hash that travel; its bucket stands for further bits. False hits are sorted out later.
 HASH_BYTES = 5
-#: Windows that a bucket row holds at most; more are split into rows.
-STEP_BYTES = 16 << 20
+#: Bytes of two hashes of a window of WIDTH words; with the bucket they tell windows apart at any size.
+LONG_HASH_BYTES = 12
+#: Bytes of text whose windows are hashed at a time; arrays of 64-bit values take some forty times as much.
+STEP_BYTES = 4 << 20
 
 _SCHEMA = "bucket int, docs binary, counts binary, places binary, blocks binary, hashes binary"
 
@@ -115,15 +117,15 @@ def _runs(first: int, last: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
-def repeats(docs: DataFrame, groups: int | None = None) -> DataFrame:
+def repeats(docs: DataFrame, groups: int | None = None, texts: bool = True) -> DataFrame:
     """docs(doc_id, text) with the words to remove: doc_id, text, n_words, n_removed, kept_sha256, and kept text.
 
     A word goes if a window of WIDTH words over it also starts in a document with a smaller doc_id; windows are judged on
     the input. Null texts have no words. A row with a null doc_id neither gives nor loses words. Rows that share a
     doc_id are no copies of each other, as neither id is smaller, and each is compared with other documents. Repeated
-    rows are returned as often as they come; an empty table gives no rows.
+    rows are returned as often as they come; an empty table gives no rows. Without `texts`, kept_text is null where
+    nothing goes, and such texts are not stored on the way.
     """
-    spark = docs.sparkSession
     id_type = dict(docs.dtypes)["doc_id"]
     groups = groups or C.spread(docs, 8 << 20)
     buckets = groups
@@ -163,7 +165,7 @@ def repeats(docs: DataFrame, groups: int | None = None) -> DataFrame:
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
     hit = known.mapInArrow(probe, _SCHEMA).repartitionById(buckets, F.col("bucket")).mapInArrow(hits, "doc long, row long, places binary")
     near = rows.join(_marked(hit, "doc"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "places", "row_key")
-    near = C.written(near.mapInArrow(_settle, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, places binary, row_key long"), "near")
+    near = C.written(near.mapInArrow(_settle if texts else _settle_without_texts, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, places binary, row_key long"), "near")
     open_rows = near.where("places IS NOT NULL").select("doc_id", "text", "places", "row_key")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,15 +185,15 @@ def repeats(docs: DataFrame, groups: int | None = None) -> DataFrame:
                 continue
             one, two = (C.windows(w.hashes(s), WIDTH)[at] for s in (0, 1))
             ids, keys = np.asarray(b.column(0), np.int64), np.asarray(b.column(3), np.int64)
-            payload = np.ascontiguousarray(np.stack([one, two], 1).astype("<u8").view(np.uint8).reshape(-1, 16))
+            payload = np.ascontiguousarray(np.stack([one, two], 1).astype("<u8").view(np.uint8).reshape(-1, 16)[:, :LONG_HASH_BYTES])
             yield from _rows(((one >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), ids[doc], keys[doc], at - w.first[doc], payload, None, buckets)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _entries(batches, 16)
+        got = _entries(batches, LONG_HASH_BYTES)
         if got is None:
             return
         _, doc, row, place, _, payload = got
-        one, two = payload.view("<u8").reshape(-1, 2).T
+        one, two = _as_number(payload[:, :8]), _as_number(payload[:, 8:])
         order = np.lexsort((doc, two, one))
         o, t, d = one[order], two[order], doc[order]
         at = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (t[1:] != t[:-1])]))
@@ -206,7 +208,11 @@ def repeats(docs: DataFrame, groups: int | None = None) -> DataFrame:
     return same.unionByName(removed).withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle_without_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _settle(batches, False)
+
+
+def _settle(batches: Iterator[pa.RecordBatch], texts: bool = True) -> Iterator[pa.RecordBatch]:
     """Rows without hits get their result, the others keep text and places."""
     for b in C.steps(batches, "text"):
         n, sha, text, places = [], [], [], []
@@ -214,7 +220,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = (t or "").encode().split()
             n.append(len(words))
             sha.append(None if p else hashlib.sha256(b" ".join(words)).hexdigest())
-            text.append(t)
+            text.append(t if texts or p else None)
             places.append(b"".join(p) if p else None)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.zeros(len(n), np.int64)), pa.array(sha, pa.string()), pa.array(text, pa.string()), pa.array(places, pa.binary()), b.column(3)], ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "places", "row_key"])
 
