@@ -83,8 +83,8 @@ def _as_number(payload: np.ndarray) -> np.ndarray:
     return full.view("<u8").reshape(-1)
 
 
-def _mentions(doc: np.ndarray, row: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Places by document and row key, each once, packed."""
+def _by_document(doc: np.ndarray, row: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Each document and row key with its places, ascending, each once."""
     if not len(doc):
         return
     order = np.lexsort((place, row, doc))
@@ -94,9 +94,35 @@ def _mentions(doc: np.ndarray, row: np.ndarray, place: np.ndarray) -> Iterator[p
     begin = np.concatenate([[True], ~same])[once]
     doc, row, place = doc[once], row[once], place[once]
     at = np.flatnonzero(begin)
-    raw = place.astype("<u4").tobytes()
-    ends = [*at[1:].tolist(), len(doc)]
-    yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(row[at]), pa.array([raw[4 * a : 4 * b] for a, b in zip(at.tolist(), ends, strict=True)], pa.binary())], ["doc", "row", "places"])
+    for x, y in zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=True):
+        yield int(doc[x]), int(row[x]), place[x:y]
+
+
+_MENTIONS = "home int, docs binary, counts binary, places binary"
+
+
+def _mentions(doc: np.ndarray, row: np.ndarray, place: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
+    """A bucket's places, one row for each of the groups that documents are gathered in."""
+    found: dict[int, list] = {}
+    for d, r, p in _by_document(doc, row, place):
+        found.setdefault(d % groups, []).append((d, r, p))
+    if found:
+        heads = [np.asarray([(d, r) for d, r, _ in x], "<i8").tobytes() for x in found.values()]
+        counts = [np.asarray([len(p) for _, _, p in x], "<u4").tobytes() for x in found.values()]
+        places = [np.concatenate([p for _, _, p in x]).astype("<u4").tobytes() for x in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int32()), *(pa.array(x, pa.binary()) for x in (heads, counts, places))], ["home", "docs", "counts", "places"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's places from all buckets: doc, row, places."""
+    parts = []
+    for b in batches:
+        for heads, counts, places in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            h, n = np.frombuffer(heads, "<i8").reshape(-1, 2), np.frombuffer(counts, "<u4")
+            parts.append((np.repeat(h[:, 0], n), np.repeat(h[:, 1], n), np.frombuffer(places, "<u4")))
+    if parts:
+        out = list(_by_document(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2].astype("<u4").tobytes() for x in out], pa.binary())], ["doc", "row", "places"])
 
 
 def _entries(bucket_rows: Iterator[pa.RecordBatch], width: int):
@@ -104,9 +130,8 @@ def _entries(bucket_rows: Iterator[pa.RecordBatch], width: int):
     return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else None
 
 
-def _marked(df: DataFrame, *by: str) -> DataFrame:
-    """Each document's places from all buckets, together: a place comes once from a bucket, so the text bounds them."""
-    return df.groupBy(*by).agg(F.collect_list("places").alias("places"))
+def _marked(df: DataFrame, groups: int) -> DataFrame:
+    return df.repartitionById(groups, F.col("home")).mapInArrow(_gathered, "doc long, row long, places binary")
 
 
 def _runs(first: int, last: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -160,11 +185,11 @@ def repeats(docs: DataFrame, groups: int | None = None, texts: bool = True) -> D
         np.minimum.at(low, k[some], doc[some])
         np.maximum.at(high, k[some], doc[some])
         some = some[low[k[some]] < high[k[some]]]
-        yield from _mentions(doc[some], row[some], place[some])
+        yield from _mentions(doc[some], row[some], place[some], groups)
 
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    hit = known.mapInArrow(probe, _SCHEMA).repartitionById(buckets, F.col("bucket")).mapInArrow(hits, "doc long, row long, places binary")
-    near = rows.join(_marked(hit, "doc"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "places", "row_key")
+    hit = known.mapInArrow(probe, _SCHEMA).repartitionById(buckets, F.col("bucket")).mapInArrow(hits, _MENTIONS)
+    near = rows.join(_marked(hit, groups), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "places", "row_key")
     near = C.written(near.mapInArrow(_settle if texts else _settle_without_texts, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, places binary, row_key long"), "near")
     open_rows = near.where("places IS NOT NULL").select("doc_id", "text", "places", "row_key")
 
@@ -199,10 +224,10 @@ def repeats(docs: DataFrame, groups: int | None = None, texts: bool = True) -> D
         at = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (t[1:] != t[:-1])]))
         least = np.repeat(d[at], np.diff(np.append(at, len(d))))
         gone = order[d > least]
-        yield from _mentions(doc[gone], row[gone], place[gone])
+        yield from _mentions(doc[gone], row[gone], place[gone], groups)
 
-    over = open_rows.mapInArrow(extend, _SCHEMA).repartitionById(buckets, F.col("bucket")).mapInArrow(later, "doc long, row long, places binary")
-    judged = open_rows.drop("places").join(_marked(over, "doc", "row"), (F.col("doc_id") == F.col("doc")) & (F.col("row_key") == F.col("row")), "left").select("doc_id", "text", "places")
+    over = open_rows.mapInArrow(extend, _SCHEMA).repartitionById(buckets, F.col("bucket")).mapInArrow(later, _MENTIONS)
+    judged = open_rows.drop("places").join(_marked(over, groups), (F.col("doc_id") == F.col("doc")) & (F.col("row_key") == F.col("row")), "left").select("doc_id", "text", "places")
     removed = judged.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     same = near.where("places IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("text").alias("kept_text"))
     return same.unionByName(removed).withColumn("doc_id", F.col("doc_id").cast(id_type))
@@ -221,7 +246,7 @@ def _settle(batches: Iterator[pa.RecordBatch], texts: bool = True) -> Iterator[p
             n.append(len(words))
             sha.append(None if p else hashlib.sha256(b" ".join(words)).hexdigest())
             text.append(t if texts or p else None)
-            places.append(b"".join(p) if p else None)
+            places.append(p)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.zeros(len(n), np.int64)), pa.array(sha, pa.string()), pa.array(text, pa.string()), pa.array(places, pa.binary()), b.column(3)], ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "places", "row_key"])
 
 
@@ -232,7 +257,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = (t or "").encode().split()
             n.append(len(words))
             if p:
-                starts = np.frombuffer(b"".join(p), "<u4").astype(np.int64)
+                starts = np.frombuffer(p, "<u4").astype(np.int64)
                 out = _runs(0, len(words), starts, WIDTH)
                 left = [words[k] for k in np.flatnonzero(~out).tolist()]
             else:
