@@ -124,6 +124,12 @@ def f10(spark, sf):
     return d.select("doc_id", X.is_gibberish(F.substring("text", 1, 12)).alias("bad"))
 
 
+@query("f10_gibberish_whole")
+def f10_whole(spark, sf):
+    """Every row's whole text. No SQL: DuckDB has no back-reference for the rule of equal characters."""
+    return table(spark, sf, "documents").select("doc_id", X.is_gibberish(F.col("text")).alias("bad"))
+
+
 @query("f11_repetition", "WITH c AS (SELECT ord, lower(text) AS t FROM v_teacher WHERE NOT regexp_matches(text, '[0-9]') AND length(text) >= 3) SELECT ord, list_max(list_transform(list_distinct(string_split(t, '')), lambda k: length(t) - length(replace(t, k, '')))) / length(t) > 0.4 AS rep FROM c")
 def f11(spark, sf):
     t = teacher(spark, sf).where("NOT text RLIKE '[0-9]' AND length(text) >= 3")

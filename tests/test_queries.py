@@ -1,11 +1,13 @@
 """Every query with SQL gives DuckDB's rows; the others run and keep their schema."""
 
 import decimal
+import re
 import sys
 
 import duckdb
 import pytest
 
+from quillspark.functions import text as X
 from quillspark.plans import more, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -61,3 +63,32 @@ def test_no_query_sorts_or_joins_by_cross_product(spark, sf):
     for name in ("fu1_weak_label_acceptance", "j1_spatial_best_match", "a3_form_results", "w1_top_n_per_family"):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
+
+
+@pytest.fixture
+def with_documents(spark, tmp_path):
+    """A folder whose documents are those of SF and the given (doc_id, text, lang)."""
+
+    def add(rows):
+        cols = "doc_id long, text string, lang string"
+        known = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("CAST(doc_id AS LONG) AS doc_id", "text", "lang")
+        known.unionByName(spark.createDataFrame(rows, cols)).write.parquet(f"{tmp_path}/documents.parquet")
+        return str(tmp_path)
+
+    return add
+
+
+def brute_gibberish(t):
+    if t is None or len(t) < 2:
+        return True
+    rules = (r"[^a-zA-Z0-9\s]+$", r"(.)\1{4,}", "(?i)[bcdfghjklmnpqrstvwxyz]{5,}$", "(?i)[aeiou]{5,}$")
+    return any(re.match(x, t) for x in rules) or t.lower() in X.HALLUCINATIONS
+
+
+def test_gibberish_is_judged_on_every_whole_text(spark, with_documents):
+    odd = [None, "", "x", "aaaaa and more", "aaab", "bcdfghjklmnp and words", "bcdfghjklmnpqrst", "?!?!?!?!?!?! word", "?!?!?!?!?!?!?!", "aeiouaeiouae then", "AEIOUAEIOUAEIOU", "Tion", "11111"]
+    folder = with_documents([(-1 - k, t, None) for k, t in enumerate(odd)])
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    got = {r.doc_id: r.bad for r in registry.queries()["f10_gibberish_whole"](spark, folder).collect()}
+    assert got == {r.doc_id: brute_gibberish(r.text) for r in rows} and len(got) == len(rows)
+    assert not got[-6] and got[-4] and got[-1]
