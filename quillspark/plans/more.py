@@ -210,6 +210,12 @@ def s21(spark, sf):
     return table(spark, sf, "documents").where("lang IN ('en', 'es')").select("doc_id", F.md5(R.cleaned(F.col("text")).cast("binary")).alias("cleaned"))
 
 
+@query("s21_clean_text_all")
+def s21_all(spark, sf):
+    """Every row, whatever its language. No SQL: the engines' upper case differs (ß)."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(R.cleaned(F.col("text")).cast("binary")).alias("cleaned"))
+
+
 @query("s22_marital", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Unmarried' WHEN 1 THEN 'Married' WHEN 2 THEN 'Widowed' END AS status FROM events")
 def s22(spark, sf):
     k = F.col("event_id") % 4

@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows; the others run and keep their schema."""
 
 import decimal
+import hashlib
 import re
 import sys
 
@@ -92,3 +93,13 @@ def test_gibberish_is_judged_on_every_whole_text(spark, with_documents):
     got = {r.doc_id: r.bad for r in registry.queries()["f10_gibberish_whole"](spark, folder).collect()}
     assert got == {r.doc_id: brute_gibberish(r.text) for r in rows} and len(got) == len(rows)
     assert not got[-6] and got[-4] and got[-1]
+
+
+def test_texts_of_all_languages_are_cleaned(spark, with_documents):
+    odd = [(-1, "Straße «zu» (1/2)", "de"), (-2, " l'été,  déjà ", "fr"), (-3, "nul ¿lang?", None), (-4, None, "de"), (-5, "", None), (-6, "мир — да_1", "ru")]
+    folder = with_documents(odd)
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    got = {r.doc_id: r.cleaned for r in registry.queries()["s21_clean_text_all"](spark, folder).collect()}
+    brute = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s/\.(\)-]", "", t or "")).strip().upper()
+    assert got == {r.doc_id: hashlib.md5(brute(r.text).encode()).hexdigest() for r in rows} and len(got) == len(rows)
+    assert {r.lang for r in rows} >= {"de", "en", "es", "fr", "ru", None}
