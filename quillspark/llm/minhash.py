@@ -9,9 +9,9 @@ verified by the exact Jaccard similarity of the shingle sets.
 Equal texts are one node. A band's group of up to SMALL nodes is compared in full. In a larger one every node is compared
 with leaders, the nodes that come first in LEADERS random orders, and with a few mates dealt by hash, anew in each band.
 If that does not join the group, what lies outside its largest component is compared with the rest, but for pairs whose
-distances to a leader differ by more than a link may have (Jaccard distance obeys the triangle inequality) and pairs
-whose registers' bits differ too much (a similarity of 0.8 differs so with 0.01 %). Groups are never in one task: leaders come
-from grouped minima and reach members by a join. Components of links come from repeated minima over neighbours, as tables.
+distances to a leader differ by more than a link may have (Jaccard distance obeys the triangle inequality), so no link is
+lost there. Groups are never in one task: leaders come from grouped minima and reach members by a join. Components of links
+come from repeated minima over neighbours, as tables.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ SMALL = 16
 LEADERS = 3
 #: Mates that a node of a larger group has on average in a band.
 MATES = 4
-#: Four bits of every register, as 64-bit numbers, and how many may differ.
-BIT_WORDS, MOST_DIFFERENT_BITS = REGISTERS * 4 // 64, 72
 
 
 def shingles(w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,12 +91,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = b.num_rows
         who = signatures(*shingles(w), n)
         keys = band_keys(who)
-        four = (C.mixed(who) & np.uint64(15)).reshape(n, BIT_WORDS, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-        bits = np.bitwise_or.reduce(four, axis=2).view(np.int64)
         some = np.diff(w.first) > 0
-        lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in (keys, bits)]
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
         node = pa.array([k if s else None for k, s in zip(b.column(1).to_pylist(), some.tolist(), strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), node, *lists], ["doc_id", "node", "bands", "bits"])
+        yield pa.RecordBatch.from_arrays([b.column(0), node, bands], ["doc_id", "node", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +125,7 @@ def _pair(x: str, y: str) -> list[Column]:
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """Verified pairs (a, b) of different nodes."""
-    nodes = C.written(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")), "nodes")
+    nodes = C.written(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "nodes")
     exploded = nodes.select("node", F.explode("bands").alias("band"))
     first = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
     groups = exploded.groupBy("band").agg(F.count("*").alias("n"), *first).where("n > 1")
@@ -161,13 +157,11 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     for k in range(LEADERS):
         far = seen.select(F.col("a"), F.col("b"), (1 - F.col("both") / F.col("either")).alias(f"d{k}"))
         members = members.withColumns(dict(zip(("a", "b"), _pair("node", f"l{k}"), strict=True))).join(far, ["a", "b"], "left").withColumn(f"d{k}", F.coalesce(f"d{k}", F.lit(0.0))).drop("a", "b")
-    members = members.select("band", "node", "root", "main", *(f"d{k}" for k in range(LEADERS))).join(nodes.select("node", "bits"), "node")
-    members = C.written(members, "members")
+    members = C.written(members.select("band", "node", "root", "main", *(f"d{k}" for k in range(LEADERS))), "members")
     x, y = members.where("root != main").alias("x"), members.alias("y")
     near = [F.abs(F.col(f"x.d{k}") - F.col(f"y.d{k}")) <= 1 - NUMERATOR / DENOMINATOR + 1e-9 for k in range(LEADERS)]
     met = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    differ = sum((F.bit_count(F.get("x.bits", F.lit(k)).bitwiseXOR(F.get("y.bits", F.lit(k)))) for k in range(BIT_WORDS)), F.lit(0))
-    for c in (*near, differ <= MOST_DIFFERENT_BITS):
+    for c in near:
         met = met & c
     cross = x.join(y, met).select(*_pair("x.node", "y.node")).distinct().join(seen, ["a", "b"], "left_anti")
     return found.unionByName(compared(cross).where(linked).select("a", "b"))
@@ -198,7 +192,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     key = F.unhex(F.md5(F.col("text").cast("binary")))
     id_type = dict(docs.dtypes)["doc_id"]
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("node"), "text").mapInArrow(_signed, "doc_id long, node binary, bands array<long>, bits array<long>")
+    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("node"), "text").mapInArrow(_signed, "doc_id long, node binary, bands array<long>")
     signed = C.written(signed, "signed")
     found = components(links(docs, signed))
     reps = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))

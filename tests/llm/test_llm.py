@@ -312,6 +312,20 @@ def test_minhash_large_groups(spark):
     assert minhash.classes(df.limit(0)).count() == 0 and minhash.first_of_classes(df.limit(0)).count() == 0
 
 
+def test_minhash_keeps_links_of_low_weighted_similarity(spark):
+    """Of each group two texts are a link; they share shingles of repeated words, and over 72 of 384 register bits differ."""
+    rows = []
+    for salt in (606, 748, 1693, 1980):
+        at, seen = [0] * 5, {(0,) * 5}
+        while new := [b for b in (1, 0) if (*at[-4:], b) not in seen]:  # each run of five of two words once
+            at.append(new[0])
+            seen.add(tuple(at[-5:]))
+        base = [f"{salt}{'xy'[b]}" for b in at]
+        rows += [(len(rows) + k, " ".join(base + [f"{salt}t{k}w{j}" for j in range(4 if k < 2 else 6)])) for k in range(102)]
+    got = got_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_classes(rows) and sum(len(g) == 2 for g in got) == 4
+
+
 def test_registers_estimate_weighted_jaccard():
     r = np.random.default_rng(4)
     a = r.integers(0, 1 << 63, 300).astype(np.uint64)
