@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from . import _common as C
 from .bpe import _alphabet
 
-#: Longest piece of the lattice, in bytes.
-LONGEST = 16
 #: Added to each piece's expected count, so that every piece keeps some probability.
 PRIOR_COUNT = 0.1
 #: Words of one length that are scored at a time.
@@ -41,7 +39,7 @@ def pieces_of(path: str) -> list[bytes]:
         spec = json.load(f)
     alphabet = _alphabet()
     tokens = [bytes(alphabet[c] for c in t) for t, _ in sorted(spec["model"]["vocab"].items(), key=lambda x: x[1]) if all(c in alphabet for c in t)]
-    return [t for t in tokens if len(t) <= LONGEST and not set(t[1:]) & {9, 10, 11, 12, 13, 32} and t[0] not in (9, 10, 11, 12, 13)]
+    return [t for t in tokens if not set(t[1:]) & {9, 10, 11, 12, 13, 32} and t[0] not in (9, 10, 11, 12, 13)]
 
 
 class Lattice:
@@ -52,6 +50,8 @@ class Lattice:
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
         self.logp = logp
         sizes = np.asarray([len(p) for p in pieces])
+        #: Lengths of pieces, so that spans of others are not hashed; the longest first, as edges come by their starts.
+        self.lengths = sorted(set(sizes.tolist()), reverse=True)
         ends = np.cumsum(sizes)
         keys = C.span_hashes(np.frombuffer(b"".join(pieces), np.uint8), ends - sizes, ends) | np.uint64(1)
         if len(np.unique(keys)) < len(keys):
@@ -90,7 +90,7 @@ class Lattice:
         ten = math.log(10)
         for j in range(1, n + 1):
             parts = []
-            for i in range(max(0, j - LONGEST), j):
+            for i in (j - k for k in self.lengths if k <= j):
                 h = C.mixed(((total[j] - total[i]) * q[i]) ^ (np.uint64((j - i) * 0xD6E8FEB86659FD93 % (1 << 64))))
                 piece = self.find(h)
                 rows = np.flatnonzero(piece >= 0)

@@ -417,6 +417,38 @@ def test_lattice_scores(spark, docs, empty):
     assert len(out) == len(rows) and lm_score.score(empty, T).count() == 0
 
 
+def test_lattice_has_the_longest_pieces_of_the_vocabulary():
+    import json
+
+    from quillspark.llm.bpe import _alphabet
+
+    with open(T, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    alphabet, space = _alphabet(), {9, 10, 11, 12, 13, 32}
+    usable = [t for t in (bytes(alphabet[c] for c in x) for x in vocabulary if all(c in alphabet for c in x)) if not set(t[1:]) & space and t[0] not in space - {32}]
+    pieces = lm_score.pieces_of(T)
+    assert sorted(pieces) == sorted(usable) and b" responsibilities" in pieces and max(map(len, pieces)) > 16
+    place = {p: k for k, p in enumerate(pieces)}
+    p = 1 / (np.arange(len(pieces)) + 10.0)
+    p /= p.sum()
+    words = [b"responsibilities", b"telecommunications", b"-" * 70, b"a" + b"=" * 40]
+    lattice = lm_score.Lattice(pieces, np.log10(p))
+    expected = np.zeros(len(pieces))
+    for w, got in zip(words, lattice.scores(words), strict=True):
+        w = b" " + w
+        n = len(w)
+        edges = [(i, j, place[w[i:j]]) for j in range(1, n + 1) for i in range(j) if w[i:j] in place]
+        a, rev = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for i, j, k in edges:
+            a[j] += a[i] * p[k]
+        for i, j, k in sorted(edges, reverse=True):
+            rev[i] += p[k] * rev[j]
+        for i, j, k in edges:
+            expected[k] += a[i] * p[k] * rev[j] / a[n]
+        assert math.isclose(got, math.log10(a[n]), rel_tol=1e-9)
+    assert np.allclose(lattice.expected(words, np.ones(len(words))), expected)
+
+
 def test_held_out_text_likes_the_language(spark, sf):
     """The model gives held-out texts of the corpus a higher score than the same texts with their letters turned round."""
     df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
