@@ -141,14 +141,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_
     """Judges every URL: key, host, path, rule (host and path prefix, else null), verdict (allow or block), score, threshold.
 
     Both models count all URLs that rules decide, but for every HELD_OUT-th by hash, on which the threshold is set.
-    Rules win over the models. Null and odd URLs have an empty host and path, fit no rule and are scored as empty
-    text. With no URL of one class there is no model: what fits no rule is allowed (score 0). Repeated rows give a row
+    The models read whole URLs, with scheme, query and fragment; rules read host and path, and win over the models. Null
+    URLs and those without :// have an empty host and path and fit no rule; null is scored as empty text. With no URL of one class there is no model: what fits no rule is allowed (score 0). Repeated rows give a row
     each, an empty table none; only the two named columns are read.
     """
     spark = pages.sparkSession
     u = F.col(f"`{url}`")
-    judged = pages.select(F.col(f"`{key}`").alias(key), host_of(u).alias("host"), path_of(u).alias("path"))
-    judged = judged.select(key, "host", "path", rule_verdict(F.col("host"), F.col("path"), rules).alias("r"), F.concat("host", "path").alias("text"))
+    judged = pages.select(F.col(f"`{key}`").alias(key), host_of(u).alias("host"), path_of(u).alias("path"), F.coalesce(u, F.lit("")).alias("text"))
+    judged = judged.select(key, "host", "path", rule_verdict(F.col("host"), F.col("path"), rules).alias("r"), "text")
     labelled = judged.where("r IS NOT NULL").select("text", (F.col("r.verdict") == "allow").alias("accept"))
     held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
     total = np.zeros((2, ALPHABET ** (ORDER + 1)), np.int64)

@@ -248,6 +248,16 @@ def test_url_rules_and_models(spark):
     assert {r.verdict for r in url_filter.judge(pages.where("page_id < 3"), queries.URL_RULES).collect()} == {"allow"}
 
 
+def test_url_models_read_whole_urls(spark):
+    urls = [f"http://h{k}.net/de/{k}?q=garden" for k in range(40)] + [f"http://h{k}.org/es/{k}?q=casino" for k in range(40)]
+    odd = ["http://h.info/x?q=garden", "http://h.info/x?q=casino", "http://h.info/x#garden", "http://h.info/x#casino", "garden.h.info/x", "casino.h.info/x", None, ""]
+    pages = spark.createDataFrame(list(enumerate(urls + odd)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(pages, queries.URL_RULES).collect()}
+    s = [got[len(urls) + k].score for k in range(len(odd))]
+    assert s[0] > s[1] and s[2] > s[3] and s[4] > s[5] and s[6] == s[7] and s[7] not in s[:6]
+    assert [got[len(urls) + k].host for k in range(len(odd))] == ["h.info"] * 4 + [""] * 4
+
+
 def test_url_probabilities_sum_to_one():
     r = np.random.default_rng(1)
     c = np.zeros(url_filter.ALPHABET ** (url_filter.ORDER + 1), np.int64)
