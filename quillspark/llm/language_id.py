@@ -28,6 +28,8 @@ DECLARED_RIGHT = 0.9
 SUFFIX_RIGHT = 0.6
 #: Neighbouring trigrams are not independent: their log-likelihoods count this much.
 TEXT_WEIGHT = 0.3
+#: Share of texts in no language of the list, whose trigrams are taken as even over all buckets.
+UNKNOWN_PRIOR = 0.02
 #: Least posterior of the best language for a document to stay.
 MIN_POSTERIOR = 0.5
 #: Country suffixes and the language that most hosts under them use; a fixed table.
@@ -53,6 +55,12 @@ def text_of(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+def primary(declared: str | None) -> str | None:
+    """The language code that a declared tag begins with; null if it names none."""
+    code = (declared or "").lower().replace("_", "-").partition("-")[0]
+    return code if 2 <= len(code) <= 3 and code.isalpha() and code != "und" else None
+
+
 def _letters() -> np.ndarray:
     """Byte classes for trigrams: a-z folded, bytes of non-ASCII characters as they are, all else a border."""
     t = np.full(256, 32, np.int64)
@@ -135,9 +143,10 @@ def host_priors(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> Data
 def identify(docs: DataFrame, text: str, declared: Column | None = None, host: Column | None = None, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """Adds detected_lang, posterior, and kept to docs' columns.
 
-    kept: a language was found with posterior MIN_POSTERIOR or more, and the text has letters. A text without letters
-    (null, empty, marks only) has detected_lang null, posterior 0 and is not kept. Evidence that is missing or not
-    among the languages adds nothing; equal posteriors go to the language first in the list. Repeated rows are judged
+    kept: a language was found with posterior MIN_POSTERIOR or more, and the text has letters. The posterior is over the
+    languages and 'none of them', a class of even trigrams that a declared language outside the list speaks for. A text without letters
+    (null, empty, marks only) has detected_lang null, posterior 0 and is not kept. Evidence that is missing adds
+    nothing; equal posteriors go to the language first in the list. Repeated rows are judged
     alike. Columns of docs named as the new ones are replaced.
     """
     spark = docs.sparkSession
@@ -165,14 +174,16 @@ def identify(docs: DataFrame, text: str, declared: Column | None = None, host: C
                     best.append(None)
                     post.append(0.0)
                     continue
-                s = TEXT_WEIGHT * logp[:, grams].astype(np.float64).sum(1)
-                s += np.log(prior if prior is not None else np.full(n, 1 / n))
+                s = np.append(TEXT_WEIGHT * logp[:, grams].astype(np.float64).sum(1), -TEXT_WEIGHT * len(grams) * np.log(BUCKETS))
+                s += np.log([*((1 - UNKNOWN_PRIOR) * x for x in (prior if prior is not None else [1 / n] * n)), UNKNOWN_PRIOR])
                 suffix = SUFFIXES.get(h.rpartition(".")[2]) if h and "." in h else None
-                for said, right in ((d.lower() if d else d, DECLARED_RIGHT), (suffix, SUFFIX_RIGHT)):
+                for said, right in ((primary(d), DECLARED_RIGHT), (suffix, SUFFIX_RIGHT)):
                     if said in languages:
-                        s += np.log([right if x == said else (1 - right) / (n - 1) for x in languages])
+                        s += np.log([right if x == said else (1 - right) / n for x in [*languages, None]])
+                    elif said:
+                        s += np.log([(1 - right) / n] * n + [right])
                 p = np.exp(s - s.max())
-                k = int(p.argmax())
+                k = int(p[:n].argmax())
                 best.append(languages[k])
                 post.append(round(float(p[k] / p.sum()), 6))
             kept = [x is not None and p >= MIN_POSTERIOR for x, p in zip(best, post, strict=True)]

@@ -359,6 +359,19 @@ def test_language_of_pages_and_documents(spark, sf, docs, empty):
     assert language_id.of_documents(empty).count() == 0
 
 
+def test_other_languages_and_noise_are_rejected(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    r = random.Random(6)
+    russian = "Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью. " * 6
+    japanese = "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。" * 8
+    noise = " ".join("".join(r.choice("qxzjkwvy") for _ in range(7)) for _ in range(80))
+    rows = [(-1 - k, t, lang, None) for k, (t, lang) in enumerate([(russian, "ru"), (russian, None), (japanese, "ja"), (japanese, None), (noise, None)])]
+    out = {x.doc_id: x for x in language_id.of_documents(d.unionByName(spark.createDataFrame(rows, d.schema))).collect()}
+    assert not any(out[-1 - k].kept for k in range(len(rows)))
+    assert sum(x.kept for k, x in out.items() if k >= 0) > 0.97 * (len(out) - len(rows))
+    assert [language_id.primary(x) for x in ("EN-us", "pt_BR", "und", "", None, "unknown")] == ["en", "pt", None, None, None, None]
+
+
 def test_host_priors_are_smoothed_sums(spark):
     rows = [("a.x.de", "de")] * 6 + [("b.x.de", "en")] * 2 + [("c.y.de", None), ("z", "fr"), (None, "es")]
     p = {r.host: r.prior for r in language_id.host_priors(spark.createDataFrame(rows, "host string, declared string")).collect()}
