@@ -55,6 +55,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.of_documents(table(spark, sf_dir, "documents")).select("doc_id", "lang", "detected_lang", "posterior", "kept")
 
 
+def op9_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.of_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "detected_lang", "posterior", "kept")
+
+
 def op10_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": op7_bpe,
         "op8_probminhash": op8_probminhash,
         "op9_language_id": op9_language_id,
+        "op9_language_id_pages": op9_language_id_pages,
         "op10_lattice_score": op10_lattice_score,
     }
 

@@ -359,6 +359,16 @@ def test_language_of_pages_and_documents(spark, sf, docs, empty):
     assert language_id.of_documents(empty).count() == 0
 
 
+def test_language_query_of_pages_uses_the_address(spark, tmp_path):
+    page = "<html><body>la mesa</body></html>"
+    rows = [(k, f"https://h{k}.example.{t}/p", page) for k, t in enumerate(["es", "fr", "de", "info"] * 5)] + [(99, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.posterior for r in queries.queries()["op9_language_id_pages"](spark, str(tmp_path)).collect()}
+    found = {r.page_id: r.detected_lang for r in queries.queries()["op9_language_id_pages"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and [found[k] for k in range(3)] == ["es", "fr", "de"] and got[0] > got[3]
+    assert found[99] is None
+
+
 def test_other_languages_and_noise_are_rejected(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
     r = random.Random(6)
