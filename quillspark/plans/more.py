@@ -366,6 +366,12 @@ def t3(spark, sf):
     return regions(spark, sf).orderBy(F.desc("confidence"), "region_id").limit(100).select("region_id")
 
 
+@query("t3_surest_first_all", "SELECT region_id, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY confidence_bp DESC, region_id) AS place FROM v_region")
+def t3_all(spark, sf):
+    w = Window.partitionBy("doc_id", "page_num").orderBy(F.desc("confidence"), "region_id")
+    return regions(spark, sf).select("region_id", F.row_number().over(w).alias("place"))
+
+
 @query("t7_bilingual_union", "SELECT doc_id, page_num, text FROM v_region WHERE lang = 'en' UNION SELECT doc_id, page_num, text FROM v_region WHERE lang = 'hi'")
 def t7(spark, sf):
     r = regions(spark, sf)

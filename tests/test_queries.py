@@ -103,3 +103,8 @@ def test_texts_of_all_languages_are_cleaned(spark, with_documents):
     brute = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s/\.(\)-]", "", t or "")).strip().upper()
     assert got == {r.doc_id: hashlib.md5(brute(r.text).encode()).hexdigest() for r in rows} and len(got) == len(rows)
     assert {r.lang for r in rows} >= {"de", "en", "es", "fr", "ru", None}
+
+
+def test_every_region_has_its_place(spark):
+    out = registry.queries()["t3_surest_first_all"](spark, SF).collect()
+    assert len(out) == registry.regions(spark, SF).count() > 100 and min(r.place for r in out) == 1
