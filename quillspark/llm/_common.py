@@ -52,10 +52,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
+def drop_written(*frames: DataFrame) -> None:
     """Deletes tables that written() made and that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for df in frames:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
         for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(f)
             if f"{shared_dir(spark).removeprefix('file://')}/quillspark/" in f:

@@ -8,9 +8,11 @@ verified by the exact Jaccard similarity of the shingle sets.
 
 Equal texts are one node. A band's group of up to SMALL nodes is compared in full. In a larger one every node is compared
 with leaders, the nodes that come first in LEADERS random orders, and with a few mates dealt by hash, anew in each band.
-If that does not join the group, what lies outside its largest component is compared with the rest, but for pairs whose
-distances to a leader differ by more than a link may have (Jaccard distance obeys the triangle inequality), so no link is
-lost there. Groups are never in one task: leaders come from grouped minima and reach members by a join. Components of links
+If that does not join the group, what lies outside its largest component is compared with all the rest in blocks: nodes
+are dealt into blocks of a bounded number and size, a task gets two blocks and counts common shingles as a product of
+matrices, and only such links leave it as join components, fewer than the two blocks have nodes. So every pair of a group
+is either joined already or compared exactly, no link is lost, and rows grow with the group's nodes times its outside's
+blocks. Groups are never in one task: leaders come from grouped minima and reach members by a join. Components of links
 come from repeated minima over neighbours, as tables.
 """
 
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +35,11 @@ REGISTERS = BANDS * ROWS
 #: Links need a Jaccard similarity of NUMERATOR / DENOMINATOR at least.
 NUMERATOR, DENOMINATOR = 4, 5
 SMALL = 16
-LEADERS = 3
+LEADERS = 2
 #: Mates that a node of a larger group has on average in a band.
-MATES = 4
+MATES = 3
+#: Nodes of a block, and bytes of their shingles, on average; columns of a block's matrix at a time.
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 2 << 20, 4096
 
 
 def shingles(w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,8 +128,75 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of different nodes."""
+def _joined(roots: list[bytes], links: np.ndarray, sides: tuple[np.ndarray, np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """Of links between nodes (rows of the matrix) pairs of roots that join components not yet joined."""
+    at = np.argwhere(links)
+    pairs = np.unique(np.stack([sides[0][at[:, 0]], sides[1][at[:, 1]]], 1), axis=0)
+    up = list(range(len(roots)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    out = []
+    for x, y in pairs.tolist():
+        x, y = top(x), top(y)
+        if x != y:
+            up[x] = y
+            out.append((min(roots[x], roots[y]), max(roots[x], roots[y])))
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of roots that verified links join, from pairs of blocks: rows of two lists of (node, root, shingles)."""
+    for b in batches:
+        for k in range(b.num_rows):
+            sides = [b.column(c)[k].values for c in range(2)]
+            sizes = [np.asarray(pc.binary_length(v.field("shingles")).to_numpy(zero_copy_only=False), np.int64) // 8 for v in sides]
+            flat = [np.frombuffer(b"".join(v.field("shingles").to_pylist()), np.uint64) for v in sides]
+            kinds, column = np.unique(np.concatenate(flat), return_inverse=True)
+            column = [column[: len(flat[0])], column[len(flat[0]) :]]
+            shared = np.bincount(column[0], minlength=len(kinds)).astype(bool) & np.bincount(column[1], minlength=len(kinds)).astype(bool)
+            place = np.cumsum(shared) - 1
+            row = [np.repeat(np.arange(len(n)), n) for n in sizes]
+            keep = [shared[c] for c in column]
+            row, column = [r[m] for r, m in zip(row, keep, strict=True)], [place[c[m]] for c, m in zip(column, keep, strict=True)]
+            both = np.zeros((len(sizes[0]), len(sizes[1])), np.int64)
+            for start in range(0, int(shared.sum()), COLUMNS):
+                slab = []
+                for r, c, n in zip(row, column, sizes, strict=True):
+                    inside = (c >= start) & (c < start + COLUMNS)
+                    m = np.zeros((len(n), COLUMNS), np.float32)
+                    m[r[inside], c[inside] - start] = 1
+                    slab.append(m)
+                both += (slab[0] @ slab[1].T).astype(np.int64)
+            either = sizes[0][:, None] + sizes[1][None, :] - both
+            names, code = np.unique(np.concatenate([np.asarray(v.field("root").to_pylist(), object) for v in sides]), return_inverse=True)
+            code = code[: len(sizes[0])], code[len(sizes[0]) :]
+            linked = (both * DENOMINATOR >= either * NUMERATOR) & (code[0][:, None] != code[1][None, :])
+            if linked.any():
+                out = _joined(names.tolist(), linked, code)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
+
+
+def _between(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of roots (a, b) that links join; members(band, node, root, main): groups that are not joined yet."""
+    own = members.join(sets, "node").withColumn("out", F.col("root") != F.col("main"))
+    bulk = F.greatest(F.count("*") / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES)
+    dealt = own.groupBy("band", "out").agg(F.ceil(bulk).alias("blocks"))
+    outside = dealt.where("out").select("band", F.col("blocks").alias("others"))
+    dealt = dealt.join(outside, "band")
+    placed = own.join(dealt, ["band", "out"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
+    blocks = C.written(placed.groupBy("band", "out", "block").agg(F.first("others").alias("others"), F.collect_list(F.struct("node", "root", "shingles")).alias("y")), "blocks")
+    from_block = F.when(F.col("out"), F.col("block")).otherwise(F.lit(0))
+    met = blocks.select("band", F.explode(F.sequence(from_block, F.col("others") - 1)).alias("block"), "y")
+    pairs = blocks.where("out").select("band", "block", F.col("y").alias("x")).join(met, ["band", "block"]).select("x", "y")
+    return C.written(pairs.mapInArrow(_blocks, "a binary, b binary"), "between").distinct()
+
+
+def roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """node, root for the nodes that verified links join to others; root is the least node of its component."""
     nodes = C.written(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "nodes")
     exploded = nodes.select("node", F.explode("bands").alias("band"))
     first = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
@@ -134,37 +206,26 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").join(used, F.col("doc_id").eqNullSafe(F.col("rep"))).where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("node")).select("node", "text")
     sets = C.written(texts.mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]), "shingles")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
-        return C.written(full.select("a", "b", "x", "y").mapInArrow(_compared, "a binary, b binary, both long, either long"), "compared")
-
     deal = F.when(F.col("n") > SMALL, F.pmod(F.xxhash64("node", "band"), F.floor(F.col("n") / MATES))).otherwise(F.lit(0))
     few = rows.groupBy("band", deal.alias("deal")).agg(F.sort_array(F.collect_set("node")).alias("nodes"))  # SMALL at most, or MATES on average
     small = few.select(F.posexplode("nodes").alias("k", "a"), "nodes").select("a", F.explode(F.expr("slice(nodes, k + 2, size(nodes))")).alias("b"))
     large = rows.where(f"n > {SMALL}")
     star = large.select("node", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS))))).alias("leader")).where("node != leader").select(*_pair("node", "leader"))
-    seen = compared(small.unionByName(star).distinct())
-    linked = F.col("both") * DENOMINATOR >= F.col("either") * NUMERATOR
-    found = seen.where(linked).select("a", "b")
-    if large.isEmpty():
-        return found
-    members = large.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = members.groupBy("band", "root").agg(F.count("*").alias("of"))
-    parted = sizes.groupBy("band").agg(F.max_by("root", "of").alias("main"), F.count("*").alias("roots")).where("roots > 1").select("band", "main")
-    members = C.written(members.join(parted, "band"), "members")
-    if members.isEmpty():
-        return found
-    for k in range(LEADERS):
-        far = seen.select(F.col("a"), F.col("b"), (1 - F.col("both") / F.col("either")).alias(f"d{k}"))
-        members = members.withColumns(dict(zip(("a", "b"), _pair("node", f"l{k}"), strict=True))).join(far, ["a", "b"], "left").withColumn(f"d{k}", F.coalesce(f"d{k}", F.lit(0.0))).drop("a", "b")
-    members = C.written(members.select("band", "node", "root", "main", *(f"d{k}" for k in range(LEADERS))), "members")
-    x, y = members.where("root != main").alias("x"), members.alias("y")
-    near = [F.abs(F.col(f"x.d{k}") - F.col(f"y.d{k}")) <= 1 - NUMERATOR / DENOMINATOR + 1e-9 for k in range(LEADERS)]
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    for c in near:
-        met = met & c
-    cross = x.join(y, met).select(*_pair("x.node", "y.node")).distinct().join(seen, ["a", "b"], "left_anti")
-    return found.unionByName(compared(cross).where(linked).select("a", "b"))
+    pairs = small.unionByName(star).distinct()
+    full = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+    seen = C.written(full.select("a", "b", "x", "y").mapInArrow(_compared, "a binary, b binary, both long, either long").where(F.col("both") * DENOMINATOR >= F.col("either") * NUMERATOR).select("a", "b"), "links")
+    found = components(seen)
+    C.drop_written(seen)
+    rooted = large.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("of"))
+    parted = sizes.groupBy("band").agg(F.max_by("root", F.struct("of", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
+    members = C.written(rooted.join(parted, "band"), "members")
+    if not members.isEmpty():
+        joined = components(_between(members, sets)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        alone = joined.join(found.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+        found = C.written(found.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone), "roots")
+    C.drop_written(nodes, rows, sets, members)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -177,8 +238,9 @@ def components(edges: DataFrame) -> DataFrame:
         new = labels.join(seen, F.col("node") == F.col("a")).join(further, "root", "left")
         new = C.written(new.select("node", F.col("root").alias("was"), F.least("root", "near", "beyond").alias("root")), "labels")
         if new.where("was != root").isEmpty():
+            C.drop_written(both, labels)
             return new.select("node", "root")
-        C.drop_written(edges.sparkSession, labels)
+        C.drop_written(labels)
         labels = new.select("node", "root")
 
 
@@ -194,7 +256,7 @@ def classes(docs: DataFrame) -> DataFrame:
     id_type = dict(docs.dtypes)["doc_id"]
     signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("node"), "text").mapInArrow(_signed, "doc_id long, node binary, bands array<long>")
     signed = C.written(signed, "signed")
-    found = components(links(docs, signed))
+    found = roots(docs, signed)
     reps = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
     rooted = reps.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
     least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
@@ -206,12 +268,13 @@ def classes(docs: DataFrame) -> DataFrame:
 def first_of_classes(docs: DataFrame) -> DataFrame:
     """docs' rows, all columns, with one row for each class: the one of the least doc_id, then of the least text key.
 
-    Rows without words all stay. Null doc_ids come last; a class that has no other keeps one of those rows.
+    Rows without words (null, empty, white space) all stay. Null doc_ids come last; a class that has no other keeps one of
+    those rows. Of rows with equal id and text the one stays whose columns come first as JSON. An empty table gives none.
     """
     own = classes(docs.select("doc_id", "text"))
-    least = F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), F.col("doc_id").alias("__won_id"), F.col("node").alias("__won_node"))).alias("w")
-    winners = own.where("node IS NOT NULL").groupBy("root").agg(least).select("w.__won_id", "w.__won_node")
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    marked = docs.where(worded).withColumn("__node", F.unhex(F.md5(F.col("text").cast("binary"))))
-    kept = marked.join(winners, (F.col("__node") == F.col("__won_node")) & F.col("doc_id").eqNullSafe(F.col("__won_id")), "left_semi").dropDuplicates(["__node"])
-    return kept.drop("__node").unionByName(docs.where(~worded))
+    least = F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), F.col("doc_id").alias("won_id"), F.col("node").alias("won_node"))).alias("w")
+    winners = own.where("node IS NOT NULL").groupBy("root").agg(least).select("w.won_id", "w.won_node")
+    rest = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), rest.alias("rest"))
+    kept = packed.where("worded").join(winners, (F.col("node") == F.col("won_node")) & F.col("row.doc_id").eqNullSafe(F.col("won_id")), "left_semi")
+    return kept.groupBy("node").agg(F.min_by("row", "rest").alias("row")).select("row.*").unionByName(packed.where(~F.col("worded")).select("row.*"))
