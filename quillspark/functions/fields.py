@@ -165,13 +165,18 @@ def category(confidence: Column, valid: Column) -> Column:
     return F.when(confidence < REJECT, "Rejected").when(confidence < LOW, "Low Confidence").when(confidence < MEDIUM, "Needs Review").when(~valid, "Validation Failed").otherwise("Extracted")
 
 
-def calibrated(confidence: Column, kb: Column, valid: Column, hallucinated: Column, cross: Column, verified: Column) -> Column:
-    """Confidence after the evidence: dictionary hit, validity, hallucination, cross-field issue, verification, in this order."""
+def calibrated(value: Column, confidence: Column, kb: Column, status: Column, cross: Column, verified: Column) -> Column:
+    """struct(confidence, category) after the evidence, in this order: dictionary hit, status (VALID, INVALID or
+    HALLUCINATION), cross-field issue, verification. An empty value has 0 and is missing; only a VALID one is accepted.
+    """
     c = F.when(kb, F.least(confidence + 0.05, F.lit(0.98))).otherwise(confidence)
-    c = F.when(~valid, c * 0.5).otherwise(c)
-    c = F.when(hallucinated, F.lit(0.0)).otherwise(c)
+    c = F.when(status == "INVALID", c * 0.5).when(status == "HALLUCINATION", F.lit(0.0)).otherwise(c)
     c = F.when(cross, c * 0.85).otherwise(c)
-    return F.when(verified & ~hallucinated, F.least(c + 0.10, F.lit(0.99))).otherwise(c)
+    c = F.when(verified, F.least(c + 0.10, F.lit(0.99))).otherwise(c)
+    c = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 4)
+    band = F.when((c >= 0.85) & (status == "VALID"), "auto_accepted").when(c >= 0.70, "needs_review").when(c >= 0.50, "low_confidence").otherwise("rejected")
+    empty = F.coalesce(value, F.lit("")) == ""
+    return F.struct(F.when(empty, 0.0).otherwise(c).alias("confidence"), F.when(empty, "missing").otherwise(band).alias("category"))
 
 
 def review_band(confidence: Column) -> Column:

@@ -57,3 +57,29 @@ def to_pixels(b: Column, width: Column, height: Column, pad: float = 0.006) -> C
         F.least(F.floor((b["x2"] + pad) * width), width).alias("x2"),
         F.least(F.floor((b["y2"] + pad) * height), height).alias("y2"),
     )
+
+
+def clip(b: Column, width: Column, height: Column) -> Column:
+    """A box within its page, at least one pixel wide and high."""
+    x1, y1 = F.greatest(F.lit(0), F.least(width - 1, b["x1"])), F.greatest(F.lit(0), F.least(height - 1, b["y1"]))
+    return box(x1, y1, F.greatest(x1 + 1, F.least(width, b["x2"])), F.greatest(y1 + 1, F.least(height, b["y2"])))
+
+
+def padded(b: Column, x: Column, above: Column, below: Column, width: Column, height: Column) -> Column:
+    """A box with room at both sides, above and below, within its page."""
+    return box(F.greatest(F.lit(0), b["x1"] - x), F.greatest(F.lit(0), b["y1"] - above), F.least(width, b["x2"] + x), F.least(height, b["y2"] + below))
+
+
+def from_local(local: Column, search: Column, width: Column, height: Column) -> Column:
+    """A box found inside a search box, on the page."""
+    return clip(box(*(search[f"{c[0]}1"] + local[c].cast("int") for c in ("x1", "y1", "x2", "y2"))), width, height)
+
+
+def quality(edge_var: Column, contrast: Column) -> Column:
+    """A page's sharpness and contrast, half each, 100 at most; without metrics 50."""
+    return F.when(edge_var.isNull() | contrast.isNull(), 50.0).otherwise(F.least(F.lit(100.0), edge_var / 100 * 50 + contrast / 128 * 50))
+
+
+def is_ticked(ink: Column, pixels: Column) -> Column:
+    """A box with over 5 % of ink; one without pixels is not ticked."""
+    return F.coalesce(F.when(pixels > 0, ink / pixels).otherwise(0.0) > 0.05, F.lit(False))

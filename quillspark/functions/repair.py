@@ -62,61 +62,87 @@ def aadhaar(c: Column) -> Column:
 
 
 def aadhaar_in(c: Column) -> Column:
-    hit = F.regexp_extract(c, r"\b([2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4})\b", 1)
-    return F.when(hit != "", F.translate(hit, " -", ""))
+    """The first 12 digits in a row if their checksum is right, else the first three groups of four if theirs is; else null."""
+    run, groups = F.regexp_extract(c, "([0-9]{12})", 1), X.digits(F.regexp_extract(c, r"([0-9]{4}[\s\-]?[0-9]{4}[\s\-]?[0-9]{4})", 1))
+    return F.when(X.verhoeff_ok(run), run).when(X.verhoeff_ok(groups), groups)
 
 
-def found_in(c: Column, kind: Column) -> Column:
-    """The part of a text that a kind of field wants: date, pincode, mobile, pan, else the text."""
-    hit = lambda p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    return F.when(kind == "date", hit(r"([0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{2,4})")).when(kind == "pincode", hit(r"\b([1-9][0-9]{5})\b")).when(kind == "mobile", hit(r"\b([6-9][0-9]{9})\b")).when(kind == "pan", hit(r"\b([A-Z]{5}[0-9]{4}[A-Z])\b")).otherwise(F.trim(c))
+def pretty(c: Column) -> Column:
+    """Cleaned words capitalised; words of letters alone stay in capitals up to three."""
+    one = lambda w: F.when((F.length(w) <= 3) & w.rlike(r"^\p{L}+$"), w).otherwise(F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, 2, 1 << 20))))
+    return F.array_join(F.transform(F.filter(F.split(cleaned(c), " "), lambda w: w != ""), one), " ")
 
 
-def length_penalty(confidence: Column, value: Column, kind: Column) -> Column:
-    """0.30 less where a number's length cannot be right."""
-    n = F.length(X.digits(value))
-    wrong = ((kind == "mobile") & (n != 10)) | ((kind == "pincode") & (n != 6)) | ((kind == "aadhaar") & (n != 12)) | ((kind == "pan") & (F.length(F.trim(value)) != 10))
-    return F.when(wrong, F.greatest(confidence - 0.30, F.lit(0.0))).otherwise(confidence)
-
-
-def shape_floor(confidence: Column, value: Column, kind: Column) -> Column:
-    """A value of an unmistakable shape is at least so sure: PAN .99, mobile and pincode .98, date .95, amount .92."""
+def by_family(family: Column, name: Column, value: Column) -> Column:
+    """A reading cleaned by its field's family: figures of numbers and amounts, the date in a text, ids without marks, marks as YES or NO."""
     v = F.trim(value)
-    floor = (
-        F.when((kind == "pan") & v.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$"), 0.99)
-        .when((kind == "mobile") & v.rlike("^[6-9][0-9]{9}$"), 0.98)
-        .when((kind == "pincode") & v.rlike("^[1-9][0-9]{5}$"), 0.98)
-        .when((kind == "date") & v.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), 0.95)
-        .when((kind == "amount") & v.rlike("^[0-9,]+$"), 0.92)
-        .otherwise(0.0)
+    figures, plain, low = X.digits(v), F.regexp_replace(v, "[^A-Za-z0-9]", ""), F.lower(v)
+    date = F.regexp_extract(F.replace(v, F.lit(" "), F.lit("")), r"([0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{2,4})", 1)
+    mobile = F.when((F.length(figures) == 12) & figures.startswith("91"), F.substring(figures, 3, 10)).when((F.length(figures) == 11) & figures.startswith("0"), F.substring(figures, 2, 10)).otherwise(figures)
+    short = (
+        F.when(name == "pan_number", F.upper(plain))
+        .when(name == "aadhaar_last_or_id_number", figures)
+        .when(name == "mobile_number", mobile)
+        .when(name.contains("customer_id") | name.contains("ckyc") | name.isin("agent_code", "branch_code"), plain)
+        .otherwise(v)
+    )
+    return (
+        F.when(family.isin("numeric", "amount") & (figures != ""), figures)
+        .when(family == "date", F.when(date != "", F.translate(date, ".-", "//")).otherwise(F.replace(v, F.lit(" "), F.lit(""))))
+        .when(family == "short_id", short)
+        .when((family == "binary_mark") & low.rlike("yes|ha|हाँ|✓|tick|checked"), "YES")
+        .when((family == "binary_mark") & low.rlike("no|nahi|नहीं|unchecked"), "NO")
+        .when(family.isin("signature_presence", "photo_presence") & (v != ""), "PRESENT")
+        .otherwise(v)
     )
-    return F.greatest(confidence, floor)
 
 
-def is_name_field(name: Column) -> Column:
-    return F.lower(name).rlike(NAME_PARTS)
+def family_confidence(family: Column, name: Column, value: Column, confidence: Column) -> Column:
+    """A reading's confidence by what its family asks for: digits, an id's shape, a mobile number's; an empty value has 0."""
+    v = F.coalesce(value, F.lit(""))
+    lowered = F.when((name == "pan_number") & ~v.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$"), confidence * 0.7).otherwise(confidence)
+    lowered = F.when(name.contains("mobile") & ~((F.length(v) == 10) & v.rlike("^[6-9]")), lowered * 0.6).otherwise(lowered)
+    return F.when(v == "", 0.0).when(family.isin("numeric", "amount") & ~v.rlike("[0-9]"), F.greatest(F.lit(0.1), confidence * 0.3)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), lowered)))
 
 
-def routed(name: Column, raw: Column) -> Column:
-    """struct(value, confidence, method): the first of the ordered ways to read a field that gives a value."""
+def extracted(name: Column, text: Column) -> Column:
+    """The part of a text that a field wants by its name (name, date, pin, aadhaar, pan), marks at both ends gone."""
     low = F.lower(name)
+    t = F.trim(F.regexp_replace(F.regexp_replace(text, r"^[:\-*.]\s*", ""), r"\s*[:\-*.]$", ""))
+    first = lambda c, p: F.coalesce(F.nullif(F.regexp_extract(c, f"({p})", 1), F.lit("")), c)
+    pan_found = F.regexp_extract(F.upper(t), "([A-Z]{5}[0-9]{4}[A-Z])", 1)
+    return F.trim(
+        F.when(low.contains("name"), F.regexp_replace(t, r"(?U)[^\w\s.]", ""))
+        .when(low.rlike("date|dob"), first(t, r"[0-9\-./]+"))
+        .when(low.contains("pin"), first(t, "[0-9]{6}"))
+        .when(low.contains("aadhaar"), first(t, "[0-9]{12}"))
+        .when(low.contains("pan"), F.when(pan_found != "", pan_found).otherwise(t))
+        .otherwise(t)
+    )
 
-    def way(value: Column, conf: float, method: str) -> Column:
-        return F.struct(value.alias("value"), F.lit(conf).alias("confidence"), F.lit(method).alias("method"))
 
+def value_error(kind: Column, value: Column, pattern: Column) -> Column:
+    """Why a value does not fit its field's pattern or, without one, its kind; null if it does. Patterns are met anywhere, kinds at the start."""
     return (
-        F.when(X.is_missing(raw), way(F.lit(""), 0.0, "empty"))
-        .when(low.contains("pan") & pan(raw).isNotNull(), way(pan(raw), 0.98, "pan_shape"))
-        .when(low.contains("pin") & pincode(raw).isNotNull(), way(pincode(raw), 0.95, "pincode_shape"))
-        .when(low.rlike("date|birth") & date_text(raw).isNotNull(), way(date_text(raw), 0.90, "date_digits"))
-        .when(low.rlike("gender|sex"), way(F.coalesce(F.when(cleaned(raw).contains("FEMALE"), "Female").when(cleaned(raw).contains("MALE"), "Male"), F.lit("")), 0.92, "gender_words"))
-        .when(low.contains("marital") & marital(raw).isNotNull(), way(marital(raw), 0.92, "marital_words"))
-        .when(low.rlike("income|premium|sum|amount") & (X.digits(raw) != ""), way(X.digits(raw), 0.88, "digits"))
-        .when(is_name_field(name), way(X.smart_title(cleaned(raw)), 0.80, "name_title"))
-        .otherwise(way(cleaned(raw), 0.60, "basic_clean"))
+        F.when(pattern.isNotNull(), F.when(~F.rlike(value, pattern), "pattern_mismatch"))
+        .when(kind == "date", F.when(~value.rlike(r"^[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}"), "bad_date"))
+        .when(kind == "pincode", F.when(~value.rlike("^[0-9]{6}"), "not_six_digits"))
+        .when(kind == "aadhaar", F.when(~value.rlike("^[0-9]{12}"), "not_twelve_digits").when(~X.verhoeff_ok(value), "checksum"))
+        .when(kind == "pan", F.when(~F.upper(value).rlike("^[A-Z]{5}[0-9]{4}[A-Z]"), "bad_pan"))
     )
 
 
+def length_penalty(confidence: Column, value: Column, kind: Column) -> Column:
+    """0.30 less where a number's length cannot be right."""
+    n = F.length(X.digits(value))
+    wrong = ((kind == "mobile") & (n != 10)) | ((kind == "pincode") & (n != 6)) | ((kind == "aadhaar") & (n != 12)) | ((kind == "pan") & (F.length(F.trim(value)) != 10))
+    return F.when(wrong, F.greatest(confidence - 0.30, F.lit(0.0))).otherwise(confidence)
+
+
+def is_name_field(name: Column) -> Column:
+    return F.lower(name).rlike(NAME_PARTS)
+
+
 def box_of(text: Column, width: Column, height: Column) -> Column:
     """array<int> of pixels from a model's box: a list, an object with bbox or bbox_2d, or the first four numbers.
 

@@ -51,6 +51,17 @@ def ngrams(key: Column, n: int = 3) -> Column:
     return F.when(F.length(k) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
 
 
+def bag(key: Column) -> Column:
+    """A key's characters, each with the number of its kind before it: common elements of two bags are common characters."""
+    at = F.when(F.length(key) > 0, F.sequence(F.lit(1), F.length(key))).otherwise(F.array().cast("array<int>"))
+
+    def one(i: Column) -> Column:
+        c, before = F.substring(key, i, F.lit(1)), F.substring(key, F.lit(1), i)
+        return F.concat(c, (F.length(before) - F.length(F.replace(before, c, F.lit("")))).cast("string"))
+
+    return F.transform(at, one)
+
+
 def soundex(token: Column) -> Column:
     """Like the usual code, but H and W part equal neighbours as vowels do."""
     code = F.translate(F.upper(token), "BFPVCGJKQSXZDTLMNRAEIOUYHW0123456789&", "1111222222223345560000000000000000000")

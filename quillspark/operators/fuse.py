@@ -68,7 +68,7 @@ def merge_tiles(tiles: DataFrame, affinity: DataFrame) -> DataFrame:
 
     Halves count 3, tiles 2, others 1; a field's own tiles 5 more; each character 0.01. The first wins on ties.
     """
-    v = tiles.where(F.trim(F.coalesce("value", F.lit(""))) != "").join(F.broadcast(affinity.withColumn("near", F.lit(5.0))), ["field", "tile"], "left")
+    v = tiles.where(F.trim(F.coalesce("value", F.lit(""))) != "").join(affinity.withColumn("near", F.lit(5.0)), ["field", "tile"], "left")
     rank = F.when(F.col("tile").startswith("half_"), 3.0).when(F.col("tile").startswith("tile_"), 2.0).otherwise(1.0) + F.coalesce("near", F.lit(0.0)) + 0.01 * F.length(F.trim("value"))
     best = v.groupBy("doc_id", "field").agg(F.max(F.struct(F.round(rank, 6).alias("p"), (-F.col("ord")).alias("o"), F.trim("value").alias("value"))).alias("b"))
     return best.select("doc_id", "field", "b.value")
@@ -83,7 +83,7 @@ def escalate(base: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 
 def best_per_name(fields: DataFrame, bridge: DataFrame) -> DataFrame:
     """Fields under their config names; the surer reading stays where two meet, the first on ties."""
-    named = fields.join(F.broadcast(bridge), "field_name", "left").withColumn("name", F.coalesce("config_name", "field_name"))
+    named = fields.join(bridge, "field_name", "left").withColumn("name", F.coalesce("config_name", "field_name"))
     return named.groupBy("doc_id", "name").agg(F.max(F.struct("confidence", (-F.col("ord")).alias("o"), "value")).alias("b")).select("doc_id", "name", "b.value", "b.confidence")
 
 
@@ -151,7 +151,36 @@ def fuse_boxes(detections: DataFrame, threshold: float = 0.5, least: float = 0.0
     return detections.groupBy("doc_id", "page_num", "label").applyInPandas(page, f"doc_id {kinds['doc_id']}, page_num {kinds['page_num']}, label {kinds['label']}, cluster int, score double, n int, x1 double, y1 double, x2 double, y2 double")
 
 
-def stable_zone(boxes: DataFrame, *by: str) -> DataFrame:
-    """A robust box for each key: medians of the left and top, 75 % points of width and height."""
-    med = lambda c: F.percentile(c, F.lit(0.5))
-    return boxes.groupBy(*by).agg(med("x1").alias("x1"), med("y1").alias("y1"), F.percentile(F.col("x2") - F.col("x1"), F.lit(0.75)).alias("w"), F.percentile(F.col("y2") - F.col("y1"), F.lit(0.75)).alias("h"), F.count("*").alias("n"))
+def stable_zone(zones: DataFrame, boxes: DataFrame, by: list[str], width: int, height: int) -> DataFrame:
+    """zones(by, lx1..ly2 of the template's box, sx1..sy2 of the search box, min_w, min_h) and candidate boxes(by, x1..y2): a zone per row.
+
+    The centre is the candidates' median centre, blended .70 to .30 across and .75 to .25 down with the template's; the
+    size is the greatest of the least size, the hull and the 75 % size with their margins, and the template's. Without
+    candidates the template's box is enlarged. The zone is kept within a band around the template's row, the search box
+    and the page.
+    """
+    mid = lambda a, b: F.percentile((F.col(a) + F.col(b)) / 2, F.lit(0.5))
+    part = lambda a, b: F.percentile(F.col(b) - F.col(a), F.lit(0.75))
+    seen = boxes.groupBy(*by).agg(mid("x1", "x2").alias("mx"), mid("y1", "y2").alias("my"), part("x1", "x2").alias("pw"), part("y1", "y2").alias("ph"), (F.max("x2") - F.min("x1")).alias("uw"), (F.max("y2") - F.min("y1")).alias("uh"))
+    z = zones.join(seen, by, "left")
+    whole = lambda c: F.rint(c).cast("int")
+    lw, lh = F.greatest(F.lit(1), F.col("lx2") - F.col("lx1")), F.greatest(F.lit(1), F.col("ly2") - F.col("ly1"))
+    cx0, cy0 = (F.col("lx1") + F.col("lx2")) / 2, (F.col("ly1") + F.col("ly2")) / 2
+    some = F.col("mx").isNotNull()
+    cx = F.when(some, 0.70 * F.col("mx") + 0.30 * cx0).otherwise(cx0)
+    cy = F.when(some, 0.75 * F.col("my") + 0.25 * cy0).otherwise(cy0)
+    size = lambda least, hull, m, p, n, own, k, alone: F.when(some, whole(F.greatest(F.col(least).cast("double"), F.greatest(F.col(hull), F.lit(1)) + m, F.col(p) + n, own * k))).otherwise(F.greatest(F.col(least), whole(own * alone)))
+    top, bottom = F.greatest("sy1", F.col("ly1") - whole(lh * 0.45)), F.least("sy2", F.col("ly2") + whole(lh * 0.55))
+    z = z.select(*by, "sx1", "sx2", cx.alias("cx"), cy.alias("cy"), size("min_w", "uw", 48.0, "pw", 36.0, lw, 0.92, 1.05).alias("w"), size("min_h", "uh", 28.0, "ph", 24.0, lh, 1.18, 1.20).alias("h"), top.alias("top"), bottom.alias("bottom"))
+    z = z.withColumn("w", F.least("w", F.greatest(F.lit(1), F.col("sx2") - F.col("sx1")))).withColumn("h", F.least("h", F.greatest(F.lit(1), F.col("bottom") - F.col("top"))))
+    x = F.greatest("sx1", F.least(F.col("sx2") - F.col("w"), whole(F.col("cx") - F.col("w") / 2)))
+    y = F.greatest("top", F.least(F.col("bottom") - F.col("h"), whole(F.col("cy") - F.col("h") / 2)))
+    z = z.withColumn("x1", x).withColumn("y1", y)
+    return z.select(*by, *clipped(F.col("x1"), F.col("y1"), F.col("x1") + F.col("w"), F.col("y1") + F.col("h"), width, height))
+
+
+def clipped(x1: Column, y1: Column, x2: Column, y2: Column, width: int, height: int) -> list[Column]:
+    """Corners within the page, at least one pixel apart."""
+    left, above = F.greatest(F.lit(0), F.least(x1, F.lit(width - 1))), F.greatest(F.lit(0), F.least(y1, F.lit(height - 1)))
+    right, below = F.greatest(left + 1, F.least(x2, F.lit(width))), F.greatest(above + 1, F.least(y2, F.lit(height)))
+    return [c.cast("int").alias(n) for c, n in ((left, "x1"), (above, "y1"), (right, "x2"), (below, "y2"))]

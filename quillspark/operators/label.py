@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .fixed import fixed_rows
 
 # Bonuses by where a value stands to its label.
 INSIDE, RIGHT, BELOW_RIGHT, BELOW = 0.35, 0.30, 0.20, 0.10
@@ -66,25 +67,133 @@ def boosted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def fuzzy_lookup(values: DataFrame, vocabulary: DataFrame, value: str = "value", verified: float = 0.88, least: float = 0.70) -> DataFrame:
-    """Each distinct value against a vocabulary(word) kept small by design: the nearest word, then the word's order.
+_VOWELS = "AEIOU"
 
-    Values are compared once each; the vocabulary is a fixed list and is broadcast as such.
+
+def metaphone(word: str) -> str:
+    """The sound of a word by the published rules of 1990: consonants alone, vowels only at the start, TH as 0, SH and CH as X."""
+    w = "".join(c for c in word.upper() if "A" <= c <= "Z")
+    w = "".join(c for k, c in enumerate(w) if c == "C" or w[k - 1 : k] != c)
+    if w[:2] in ("KN", "GN", "PN", "AE", "WR"):
+        w = w[1:]
+    w = "S" + w[1:] if w[:1] == "X" else "W" + w[2:] if w[:2] == "WH" else w
+    out = []
+    for k, c in enumerate(w):
+        before, after, two = w[k - 1 : k], w[k + 1 : k + 2], w[k + 1 : k + 3]
+        soft, vowel_next = after != "" and after in "IEY", after != "" and after in _VOWELS
+        if c in _VOWELS:
+            sound = c if k == 0 else ""
+        elif c == "B":
+            sound = "" if before == "M" and not after else "B"
+        elif c == "C":
+            sound = ("X" if two == "IA" else "" if before == "S" else "S") if soft else ("K" if before == "S" else "X") if after == "H" else "K"
+        elif c == "D":
+            sound = "J" if two in ("GE", "GY", "GI") else "T"
+        elif c == "G":
+            silent = (after == "H" and len(w) > k + 2 and w[k + 2] not in _VOWELS) or (after == "N" and w[k + 1 :] in ("N", "NED")) or (before == "D" and soft)
+            sound = "" if silent else "J" if soft and before != "G" else "K"
+        elif c == "H":
+            sound = "" if (before != "" and before in "CGPST") or (before != "" and before in _VOWELS and not vowel_next) else "H"
+        elif c == "K":
+            sound = "" if before == "C" else "K"
+        elif c == "P":
+            sound = "F" if after == "H" else "P"
+        elif c == "S":
+            sound = "X" if after == "H" or two in ("IO", "IA") else "S"
+        elif c == "T":
+            sound = "X" if two in ("IA", "IO") else "0" if after == "H" else "" if two == "CH" else "T"
+        elif c in "WY":
+            sound = c if vowel_next else ""
+        else:
+            sound = {"Q": "K", "V": "F", "X": "KS", "Z": "S"}.get(c, c)
+        out.append(sound)
+    return "".join(out)
+
+
+def fuzzy_lookup(values: DataFrame, vocabulary: DataFrame, value: str = "value", verified: float = 0.88, least: float = 0.70, sounding: float = 0.75) -> DataFrame:
+    """Each distinct value against a fixed vocabulary(word): resolved, score and status.
+
+    The first word, in order, that sounds the same and is nearer than `sounding` counts 1; else the nearest word, if
+    nearer than `verified` as verified, under `least` the value stays. A null value resolves to null with score 0.
     """
-    v = values.select(F.lower(F.trim(value)).alias("v")).distinct()
-    m = v.join(F.broadcast(vocabulary.select(F.lower("word").alias("w"))), F.lit(True)).withColumn("s", F.when((F.soundex("v") == F.soundex("w")) & (F.levenshtein("v", "w") <= 2), 1.0).otherwise(jaro_winkler_udf("v", "w")))
-    best = m.groupBy("v").agg(F.max_by("w", F.struct("s", "w")).alias("w"), F.max("s").alias("score"))
-    return best.select(F.col("v").alias(value), F.when(F.col("score") >= least, F.col("w")).otherwise(F.col("v")).alias("resolved"), "score", F.when(F.col("score") > verified, "verified").when(F.col("score") < least, "original").otherwise("review").alias("status"))
+    words = sorted({r.word.lower() for r in fixed_rows(vocabulary.select("word").where("word IS NOT NULL"))})
+    sounds = {w: metaphone(w) for w in words}
+
+    def look_up(text: str | None) -> tuple[str | None, float, str]:
+        best, top = text, 0.0
+        low = (text or "").lower().strip()
+        sound = metaphone(low)
+        for w in words:
+            s = jaro_winkler(low, w)
+            if s > sounding and sounds[w] == sound:
+                return w.title(), 1.0, "verified"
+            if s > top:
+                best, top = w, s
+        if top < least or best is None:
+            return text, top, "original"
+        return best.title(), top, "verified" if top > verified else "review"
+
+    @F.pandas_udf("resolved string, score double, status string")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([look_up(t) for t in texts], columns=["resolved", "score", "status"])
+
+    return values.select(F.col(value).alias("v")).distinct().withColumn("f", found("v")).select(F.col("v").alias(value), "f.*")
 
 
 def label_fields(labels: DataFrame, keywords: DataFrame, least: float = 0.85) -> DataFrame:
-    """label to field: a keyword inside the label counts 0.9, else a near one its similarity; the best, then the first by ord."""
-    low = F.lower("label")
-    m = labels.select("label").distinct().join(F.broadcast(keywords), F.lit(True))
-    near = jaro_winkler_udf(low, F.col("keyword"))
-    m = m.withColumn("s", F.when(F.contains(low, F.col("keyword")), 0.9).otherwise(F.when(near > least, near)))
-    best = m.where("s > 0.5").groupBy("label").agg(F.max(F.struct("s", (-F.col("ord")).alias("o"), "field")).alias("b"))
-    return best.select("label", "b.field", F.col("b.s").alias("score"))
+    """label to field: a keyword inside the label counts 0.9, else a near one its similarity; the best, then the first by ord.
+
+    keywords(ord, keyword, field) is a fixed list; a label without any near keyword has no row.
+    """
+    known = sorted((r.ord, r.keyword, r.field) for r in fixed_rows(keywords))
+
+    def look_up(label: str | None) -> tuple[str | None, float]:
+        field, top = None, 0.5
+        low = (label or "").lower()
+        for _, keyword, name in known:
+            s = 0.9 if keyword in low else jaro_winkler(low, keyword)
+            if s > top and (s > least or keyword in low):
+                field, top = name, s
+        return field, top
+
+    @F.pandas_udf("field string, score double")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([look_up(t) for t in texts], columns=["field", "score"])
+
+    return labels.select("label").distinct().withColumn("f", found("label")).select("label", "f.*").where("field IS NOT NULL")
+
+
+def merged_with_titles(boxes: DataFrame, kinds: tuple[str, ...] = ("chart",), most: float = 0.1, delta: float = 1.0) -> DataFrame:
+    """boxes(doc_id, page_num, det_id, kind, x1..y2 in shares of the page): boxes of the kinds widened to hold their titles.
+
+    A title's distance is the lesser vertical gap plus half the lesser of the gaps of left edges and centres; overlapping
+    titles are as near as the nearest, within `most`. A box takes the nearest title and all within delta times its
+    distance, and no title twice; boxes choose by det_id. titles: the det_ids taken, none if nothing is near enough.
+    """
+    ids = dict(boxes.dtypes)
+
+    def page(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("det_id")
+        titles, out = df[df.kind == "title"], []
+        t, names, free = titles[["x1", "y1", "x2", "y2"]].to_numpy(float), titles.det_id.to_numpy(), np.ones(len(titles), bool)
+        for o in df[df.kind.isin(kinds)].itertuples():
+            box, taken = np.array([o.x1, o.y1, o.x2, o.y2]), np.zeros(len(t), bool)
+            if len(t):
+                down = np.minimum(np.abs(t[:, 3] - box[1]), np.abs(box[3] - t[:, 1]))
+                across = np.minimum(np.abs(t[:, 0] - box[0]), np.abs(t[:, 0] + t[:, 2] - box[0] - box[2]) / 2)
+                far = down + across / 2
+                meets = (np.minimum(t[:, 2], box[2]) > np.maximum(t[:, 0], box[0])) & (np.minimum(t[:, 3], box[3]) > np.maximum(t[:, 1], box[1]))
+                far = np.where(meets, min(most - 0.01, far.min() / delta), far)
+                far[~free] = 10 * most
+                if far.min() <= most:
+                    taken = far <= min(most, far.min() * delta)
+                    hull = np.vstack([box, t[taken]])
+                    box = np.array([*hull[:, :2].min(0), *hull[:, 2:].max(0)])
+                    free &= ~taken
+            out.append((o.doc_id, o.page_num, o.det_id, *map(float, box), names[taken].tolist()))
+        return pd.DataFrame(out, columns=["doc_id", "page_num", "det_id", "x1", "y1", "x2", "y2", "titles"])
+
+    return boxes.groupBy("doc_id", "page_num").applyInPandas(page, f"doc_id {ids['doc_id']}, page_num {ids['page_num']}, det_id {ids['det_id']}, x1 double, y1 double, x2 double, y2 double, titles array<{ids['det_id']}>")
 
 
 def label_values(regions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -93,7 +202,7 @@ def label_values(regions: DataFrame, labels: DataFrame) -> DataFrame:
     A field's label is the region that holds its pattern with most confidence times length; fields choose in order of
     ord, and each value goes once. The choice is sequential, so each page, a few dozen regions, is one Arrow group.
     """
-    listed = [tuple(r) for r in labels.orderBy("ord").select("field", "pattern").collect()]  # a form's fixed fields
+    listed = [(r.field, r.pattern) for r in sorted(fixed_rows(labels.select("ord", "field", "pattern")))]
     fields: dict[str, list[str]] = {}
     for f, p in listed:
         fields.setdefault(f, []).append(p)
@@ -140,20 +249,44 @@ def label_values(regions: DataFrame, labels: DataFrame) -> DataFrame:
 def cell_leads(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """cells(doc_id, ord, text): a label cell's value is the next cell; the first cell of each field counts.
 
-    labels(ord, field, pattern); label words are taken off the value.
+    labels(ord, field, pattern) is a fixed list; label words are taken off the value.
     """
     w = Window.partitionBy("doc_id").orderBy("ord")
     led = cells.withColumn("next", F.lead("text").over(w))
-    m = led.join(F.broadcast(labels.withColumnRenamed("ord", "lord")), F.contains(F.lower("text"), F.col("pattern")))
-    first = m.groupBy("doc_id", "field").agg(F.min(F.struct("ord", "lord", "next", "pattern")).alias("b"))
+    known = sorted((r.ord, r.field, r.pattern) for r in fixed_rows(labels))
+    low = F.lower("text")
+    hits = F.array_compact(F.array(*(F.when(low.contains(p), F.struct(F.lit(k).alias("lord"), F.lit(f).alias("field"), F.lit(p).alias("pattern"))) for k, f, p in known)))
+    m = led.select("doc_id", "ord", "next", F.explode(hits).alias("h"))
+    first = m.groupBy("doc_id", "h.field").agg(F.min(F.struct("ord", "h.lord", "next", "h.pattern")).alias("b"))
     return first.select("doc_id", "field", F.trim(F.replace(F.col("b.next"), F.col("b.pattern"), F.lit(""))).alias("value"))
 
 
 def alias_lookup(names: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
-    """names with public_id of the alias whose letters and digits, case folded, are the same."""
+    """names with public_id of the alias whose letters and digits, case folded, are the same; the least on ties."""
     key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    a = aliases.select(key(F.col("alias")).alias("k"), "public_id").dropDuplicates(["k"])
-    return names.withColumn("k", key(F.col(name))).join(F.broadcast(a), "k", "left").drop("k")
+    a = aliases.groupBy(key(F.col("alias")).alias("k")).agg(F.min("public_id").alias("public_id"))
+    return names.withColumn("k", key(F.col(name))).join(a, "k", "left").drop("k")
+
+
+def requested_fields(requests: DataFrame, aliases: DataFrame, defaults: tuple[str, ...] = ("first_name", "last_name", "date_of_birth", "marital_status", "address_line1"), bundle: str = "surgical25", unsupported: bool = False) -> DataFrame:
+    """requests(request_id, bundle, fields with commas) to field_ids, in order, each once, and unknown, the names that no alias has.
+
+    aliases(alias, public_id, ord, supported) is a fixed list. The bundle stands for all its fields by ord; fields follow
+    in the order in which they are named; a request that asks for nothing gets the defaults. Unsupported fields are left
+    out unless asked for.
+    """
+    key = lambda text: "".join(c for c in text.lower() if c.isascii() and c.isalnum())
+    rows = sorted((r.ord, r.alias, r.public_id, r.supported) for r in fixed_rows(aliases))
+    usable = [r for r in rows if unsupported or r[3]]
+    every = list(dict.fromkeys(r[2] for r in usable))
+    known = {key(r[1]): r[2] if unsupported or r[3] else "" for r in reversed(rows)}
+    listed = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>") if xs else F.array().cast("array<string>")
+    names = F.create_map(*(F.lit(x) for k, v in known.items() for x in (k, v))) if known else F.create_map().cast("map<string,string>")
+    asked = F.filter(F.transform(F.split(F.coalesce("fields", F.lit("")), ","), F.trim), lambda x: x != "")
+    out = requests.withColumn("asked", asked).withColumn("ids", F.transform("asked", lambda x: F.element_at(names, F.regexp_replace(F.lower(x), "[^a-z0-9]", ""))))
+    unknown = F.filter(F.transform(F.arrays_zip("asked", "ids"), lambda z: F.when(z["ids"].isNull(), z["asked"])), lambda x: x.isNotNull())
+    ids = F.array_distinct(F.concat(F.when(F.col("bundle") == bundle, listed(every)).otherwise(listed([])), F.filter("ids", lambda x: x.isNotNull() & (x != ""))))
+    return out.select("request_id", F.when(F.size(ids) > 0, ids).otherwise(listed([known[key(d)] for d in defaults if known.get(key(d))])).alias("field_ids"), unknown.alias("unknown"))
 
 
 def box_or_override(fields: DataFrame, stored: DataFrame, on: list[str], width: Column, height: Column) -> DataFrame:
@@ -165,7 +298,7 @@ def box_or_override(fields: DataFrame, stored: DataFrame, on: list[str], width:
 
 def page_route(pages: DataFrame, by_number: DataFrame, by_text: DataFrame) -> DataFrame:
     """page_type by page_num where the map has it, else by the text's class."""
-    m = pages.join(F.broadcast(by_number.withColumnRenamed("page_type", "t1")), "page_num", "left")
+    m = pages.join(by_number.withColumnRenamed("page_type", "t1"), "page_num", "left")
     return m.join(by_text.withColumnRenamed("page_type", "t2"), "doc_id", "left").withColumn("page_type", F.coalesce("t1", "t2")).drop("t1", "t2")
 
 

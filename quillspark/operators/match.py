@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
-from ..functions import text as X
+from .fixed import fixed_rows
+from .resolve import ratio
 
 # Acceptance limits of the spatial match.
 OVERLAP, NEAR, ACCEPT_OVERLAP = 0.4, 0.05, 0.3
@@ -33,28 +34,25 @@ def spatial_match(regions: DataFrame, templates: DataFrame, width: int, height:
     return best.where((F.col("overlap") > ACCEPT_OVERLAP) | (F.col("score") < NEAR))
 
 
-def fallback_match(regions: DataFrame, templates: DataFrame, matched: DataFrame, width: int, height: int) -> DataFrame:
-    """The second try for fields that spatial_match left open."""
-    p = _pairs(regions, templates, width, height).join(matched.select("doc_id", "page_num", "fname"), ["doc_id", "page_num", "fname"], "left_anti")
+def fallback_match(regions: DataFrame, second: DataFrame, templates: DataFrame, matched: DataFrame, width: int, height: int, few: int = 6) -> DataFrame:
+    """The second try for fields that spatial_match left open: on pages with under `few` regions, in a second reading of the page."""
+    enough = regions.groupBy("doc_id", "page_num").agg(F.count("*").alias("n")).where(F.col("n") >= few).select("doc_id", "page_num")
+    p = _pairs(second.join(enough, ["doc_id", "page_num"], "left_anti"), templates, width, height).join(matched.select("doc_id", "page_num", "fname"), ["doc_id", "page_num", "fname"], "left_anti")
     p = p.where((F.col("overlap") > FALLBACK_OVERLAP) | (F.col("dist") < FALLBACK_NEAR)).withColumn("score", F.col("dist") - 0.35 * F.col("overlap"))
     best = p.groupBy("doc_id", "page_num", "fname").agg(F.min(F.struct("score", "region_id", "overlap")).alias("b")).select("doc_id", "page_num", "fname", "b.*")
     return best.where((F.col("overlap") > ACCEPT_OVERLAP) | (F.col("score") < NEAR))
 
 
 def rows_by_gap(regions: DataFrame, gap: int = 30) -> DataFrame:
-    """Adds row_no: a region opens a row when it lies more than gap below the row's first region (by y1, x1, region_id).
+    """Adds row_no: a region opens a row when it lies more than gap below the row's first region (by y1).
 
-    The anchor is the row's first region, not the one before, so this folds over the page's sorted regions.
+    The anchor is the row's first region, not the one before, so a page's tops are folded, in order, into the tops of its
+    rows; a region's row is the number of row tops that are not below it.
     """
-    page = regions.groupBy("doc_id", "page_num").agg(F.sort_array(F.collect_list(F.struct("y1", "x1", "region_id"))).alias("r"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("int").alias("y"), F.array().cast("array<struct<region_id:bigint,row_no:int>>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        new = a["y"].isNull() | (r["y1"] - a["y"] > gap)
-        row = F.when(new, a["row"] + 1).otherwise(a["row"])
-        return F.struct(row.alias("row"), F.when(new, r["y1"]).otherwise(a["y"]).alias("y"), F.concat(a["out"], F.array(F.struct(r["region_id"].cast("bigint").alias("region_id"), row.alias("row_no")))).alias("out"))
-
-    return page.select("doc_id", "page_num", F.explode(F.aggregate("r", start, step)["out"]).alias("o")).select("doc_id", "page_num", "o.region_id", "o.row_no")
+    page = regions.groupBy("doc_id", "page_num").agg(F.sort_array(F.collect_set("y1")).alias("ys"))
+    opens = F.aggregate("ys", F.array().cast("array<int>"), lambda a, y: F.when((F.size(a) == 0) | (y - F.element_at(a, -1) > gap), F.array_append(a, y)).otherwise(a))
+    own = regions.select("doc_id", "page_num", "region_id", "y1").join(page.select("doc_id", "page_num", opens.alias("opens")), ["doc_id", "page_num"])
+    return own.select("doc_id", "page_num", "region_id", (F.size(F.filter("opens", lambda y: y <= F.col("y1"))) - 1).alias("row_no"))
 
 
 def reading_order(regions: DataFrame, band: int = 20) -> DataFrame:
@@ -101,28 +99,56 @@ def in_zones(regions: DataFrame, zones: DataFrame, width: int, height: int, leas
 def verified_values(values: DataFrame, regions: DataFrame) -> DataFrame:
     """values(doc_id, page_num, field, value) against the page's regions: similarity times confidence, at its greatest.
 
-    Equal texts count 1, contained ones 0.8 by their lengths, others by edit distance. Verified from 0.65.
+    Equal texts count 1, contained ones 0.8 by their lengths, others by matching blocks. Verified from 0.65.
     """
-    v, r = F.lower(F.trim("value")), F.lower(F.trim("text"))
-    sim = F.when(v == r, 1.0).when(F.contains(v, r) | F.contains(r, v), 0.8 * F.least(F.length(v), F.length(r)) / F.greatest(F.length(v), F.length(r), F.lit(1))).otherwise(X.levenshtein_similarity(v, r))
-    m = values.join(regions.select("doc_id", "page_num", "text", F.col("confidence").alias("rc")), ["doc_id", "page_num"], "left")
+    m = values.join(regions.select("doc_id", "page_num", F.lower(F.trim("text")).alias("r"), F.col("confidence").alias("rc")), ["doc_id", "page_num"], "left").withColumn("v", F.lower(F.trim("value")))
+    m = m.groupBy("doc_id", "page_num", "field", "value", "v", "r").agg(F.max("rc").alias("rc"))
+    inside = F.contains("v", "r") | F.contains("r", "v")
+    other = ratio(F.when(inside, "").otherwise(F.col("v")), F.when(inside, "").otherwise(F.col("r")))
+    sim = F.when(F.col("v") == F.col("r"), 1.0).when(inside, 0.8 * F.least(F.length("v"), F.length("r")) / F.greatest(F.length("v"), F.length("r"), F.lit(1))).otherwise(other)
     best = m.groupBy("doc_id", "page_num", "field", "value").agg(F.coalesce(F.max(sim * F.col("rc")), F.lit(0.0)).alias("best"))
     found = F.col("best") >= 0.65
     return best.withColumn("verified", found).withColumn("confidence", F.when(F.col("best") <= 0, 0.6).when(found, F.least(F.col("best") + 0.3, F.lit(0.95))).otherwise(0.5))
 
 
+def simply_verified(values: DataFrame, regions: DataFrame) -> DataFrame:
+    """values(doc_id, page_num, field, value): confidence by the first region, in order of region_id, that bears it out, and the box.
+
+    An equal text gives 0.95; one that contains the value or is contained, with over 0.6 of all characters in common,
+    0.85. Else a value with a digit or of two words at most, as by hand, has 0.70 and others 0.50; an empty one 0. The
+    box is that of the best region: 1 if equal, 0.7 by the lengths if contained, times its confidence, above 0.3.
+    """
+    v, r = F.lower(F.trim("value")), F.lower(F.trim("text"))
+    m = values.join(regions.select("doc_id", "page_num", "region_id", "text", F.col("confidence").alias("rc")), ["doc_id", "page_num"], "left")
+    inside = F.contains(v, r) | F.contains(r, v)
+    a, b = F.array_distinct(F.split(v, "")), F.array_distinct(F.split(r, ""))
+    common = F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
+    borne = F.when(v == r, 0.95).when(inside & (common > 0.6), 0.85)
+    score = F.when(v == r, 1.0).when(inside, 0.7 * F.least(F.length(v), F.length(r)) / F.greatest(F.length(v), F.length(r), F.lit(1))) * F.col("rc")
+    g = m.groupBy("doc_id", "page_num", "field", "value").agg(F.min(F.when(borne.isNotNull(), F.struct("region_id", borne.alias("c")))).alias("b"), F.max(F.when(score > 0.3, F.struct(score.alias("s"), (-F.col("region_id")).alias("o")))).alias("box"))
+    by_hand = F.col("value").rlike("[0-9]") | (F.size(F.split(F.trim("value"), r"\s+")) <= 2)
+    empty = F.trim(F.coalesce("value", F.lit(""))) == ""
+    confidence = F.when(empty, 0.0).otherwise(F.coalesce("b.c", F.when(by_hand, 0.70).otherwise(0.50)))
+    return g.select("doc_id", "page_num", "field", "value", confidence.alias("confidence"), F.when(~empty, -F.col("box.o")).alias("box_region_id"))
+
+
 def label_routes(labels: DataFrame, patterns: DataFrame) -> DataFrame:
     """The first field (by ord) whose pattern occurs in the lower-cased label; patterns(ord, pattern, field) is a fixed list."""
-    m = labels.join(F.broadcast(patterns), F.contains(F.lower("label"), F.col("pattern")), "left")
-    return m.groupBy("label").agg(F.min(F.struct("ord", "field")).alias("b")).select("label", F.col("b.field").alias("field"))
+    low, out = F.lower("label"), F.lit(None).cast("string")
+    for _, pattern, field in reversed(sorted((r.ord, r.pattern, r.field) for r in fixed_rows(patterns))):
+        out = F.when(low.contains(pattern), field).otherwise(out)
+    return labels.select("label").distinct().withColumn("field", out)
 
 
 def page_class(pages: DataFrame, signatures: DataFrame, least: int = 2) -> DataFrame:
-    """The page type with most signature texts, the first on ties, null under `least`; signatures(ord, page_type, sig)."""
-    low = F.lower("text")
-    m = pages.join(F.broadcast(signatures), F.contains(low, F.col("sig")), "left")
-    n = m.groupBy("doc_id", "ord", "page_type").agg(F.count("sig").alias("n"))
-    return n.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("ord")).alias("o"), "page_type")).alias("b")).select("doc_id", F.when(F.col("b.n") >= least, F.col("b.page_type")).alias("page_type"), F.col("b.n").alias("score"))
+    """The page type with most signature texts, the first on ties, null under `least`; signatures(ord, page_type, sig) is a fixed list."""
+    kinds: dict[tuple[int, str], list[str]] = {}
+    for r in fixed_rows(signatures):
+        kinds.setdefault((r.ord, r.page_type), []).append(r.sig)
+    low = F.lower(F.coalesce("text", F.lit("")))
+    scores = [F.struct(sum((low.contains(x).cast("long") for x in sigs), F.lit(0).cast("long")).alias("n"), F.lit(-k).alias("o"), F.lit(name).alias("page_type")) for (k, name), sigs in kinds.items()]
+    b = pages.select("doc_id", F.array_max(F.array(*scores)).alias("b"))
+    return b.select("doc_id", F.when(F.col("b.n") >= least, F.col("b.page_type")).alias("page_type"), F.col("b.n").alias("score"))
 
 
 def with_offsets(cells: DataFrame, tables: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import dictionary as D
 from ..functions import text as X
 
 # Least score, acceptance by category, and the parts' weights.
@@ -19,26 +20,31 @@ WEIGHTS = {"char": 0.34, "token": 0.20, "ngram": 0.15, "aligned": 0.14, "phoneti
 
 
 def indexed(df: DataFrame, text: str, keep_digits: bool = False) -> DataFrame:
-    """Adds norm, toks, codes and grams of a text."""
+    """Adds norm, toks, codes, grams and bag (characters, numbered where they repeat) of a text."""
     df = df.withColumn("norm", X.name_key(F.col(text), keep_digits)).withColumn("toks", X.tokens(F.col("norm")))
-    return df.withColumn("codes", F.array_distinct(F.transform("toks", X.soundex))).withColumn("grams", X.ngrams(F.col("norm")))
+    return df.withColumn("codes", F.array_distinct(F.transform("toks", X.soundex))).withColumn("grams", X.ngrams(F.col("norm"))).withColumn("bag", X.bag(F.col("norm")))
 
 
-def _keys(length_from: Column, length_to: Column) -> Column:
-    """All posting keys of a row: exact text, tokens, codes, grams and lengths, with a letter for the kind."""
-    kinds = [F.array(F.concat(F.lit("e:"), "norm")), F.transform("toks", lambda t: F.concat(F.lit("t:"), t)), F.transform("codes", lambda t: F.concat(F.lit("s:"), t)), F.transform("grams", lambda t: F.concat(F.lit("g:"), t)), F.transform(F.sequence(length_from, length_to), lambda n: F.concat(F.lit("l:"), n.cast("string")))]
+def _keys(length_from: Column, length_to: Column, every_length: bool) -> Column:
+    """All posting keys of a row: exact text, tokens, codes, grams, and lengths, unless every_length with the number of tokens.
+
+    A pair that shares only its length scores .34 char + .14 aligned + .07 prefix + .05 at most. With other numbers of
+    tokens aligned is 0, so it stays under LEAST: lengths are posted by number of tokens and lose nothing.
+    """
+    lengths = F.transform(F.sequence(length_from, length_to), lambda n: F.concat_ws(":", F.lit("l"), n.cast("string"), *([] if every_length else [F.size("toks").cast("string")])))
+    kinds = [F.array(F.concat(F.lit("e:"), "norm")), F.transform("toks", lambda t: F.concat(F.lit("t:"), t)), F.transform("codes", lambda t: F.concat(F.lit("s:"), t)), F.transform("grams", lambda t: F.concat(F.lit("g:"), t)), lengths]
     return F.array_distinct(F.flatten(F.array(*kinds)))
 
 
-def candidates(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """queries(qid, category, norm, ...) and lexicon(entry_id, category, norm, ...): pairs that share a posting.
+def candidates(queries: DataFrame, lexicon: DataFrame, every_length: bool = False) -> DataFrame:
+    """queries(qid, categories, norm, ...) and lexicon(entry_id, category, norm, ...): pairs that share a posting.
 
     One equi-join on (category, key) covers exact, token, sound, gram and length postings (length within 3); the
     planner splits hot postings. Equal pairs then fold.
     """
     size = F.length("norm")
-    q = queries.where(F.size("toks") > 0).select("qid", "category", F.explode(_keys(F.greatest(size - 3, F.lit(1)), size + 3)).alias("key"))
-    e = lexicon.select("entry_id", "category", F.explode(_keys(size, size)).alias("key"))
+    q = queries.where(F.size("toks") > 0).select("qid", F.explode("categories").alias("category"), _keys(F.greatest(size - 3, F.lit(1)), size + 3, every_length).alias("keys")).select("qid", "category", F.explode("keys").alias("key"))
+    e = lexicon.select("entry_id", "category", F.explode(_keys(size, size, every_length)).alias("key"))
     return q.join(e, ["category", "key"]).select("qid", "entry_id").distinct()
 
 
@@ -55,47 +61,69 @@ def aligned_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def scored(pairs: DataFrame, queries: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Adds the weighted score of each pair; those under LEAST go."""
-    q = queries.select("qid", F.col("norm").alias("qn"), F.col("toks").alias("qt"), F.col("codes").alias("qc"), F.col("grams").alias("qg"))
+    """Adds the weighted score of each pair; those under LEAST go.
+
+    Matching blocks are no longer than the characters that two texts have in common, each as often as in both, so a
+    bound of the score comes from built-ins alone, and only pairs whose bound reaches LEAST are compared.
+    """
+    q = queries.select("qid", F.col("norm").alias("qn"), F.col("toks").alias("qt"), F.col("codes").alias("qc"), F.col("grams").alias("qg"), F.col("bag").alias("qb"))
     m = pairs.join(q, "qid").join(lexicon, "entry_id")
-    m = m.withColumn("char", ratio("qn", "norm")).withColumn("aligned", aligned_ratio("qt", "toks"))
     single = (F.size("qt") == 1) & (F.size("toks") == 1)
-    token = X.jaccard(F.col("qt"), F.col("toks"))
-    parts = {
-        "char": F.col("char"),
-        "token": F.when(single, F.greatest(token, F.col("char"))).otherwise(token),
-        "ngram": X.jaccard(F.col("qg"), F.col("grams")),
-        "aligned": F.when(single, F.greatest("aligned", "char")).otherwise(F.col("aligned")),
-        "phonetic": X.jaccard(F.col("qc"), F.col("codes")),
-        "prefix": X.prefix_share(F.col("qn"), F.col("norm")),
-    }
-    total = F.least(F.log1p("frequency") / 20, F.lit(0.05)) + F.when(F.col("qn") == F.col("norm"), 0.15).otherwise(0.0)
-    for k, w in WEIGHTS.items():
-        total = total + w * parts[k]
-    return m.withColumn("exact", F.col("qn") == F.col("norm")).withColumn("score", F.least(total, F.lit(1.0))).where(F.col("score") >= LEAST)
+    token, equal = X.jaccard(F.col("qt"), F.col("toks")), F.col("qn") == F.col("norm")
+    m = m.select("*", token.alias("token"), X.jaccard(F.col("qg"), F.col("grams")).alias("ngram"), X.jaccard(F.col("qc"), F.col("codes")).alias("phonetic"), X.prefix_share(F.col("qn"), F.col("norm")).alias("prefix"), (F.least(F.log1p("frequency") / 20, F.lit(0.05)) + F.when(equal, 0.15).otherwise(0.0)).alias("more"))
+
+    def total(char: Column, aligned: Column) -> Column:
+        parts = {"char": char, "token": F.when(single, F.greatest("token", char)).otherwise(F.col("token")), "ngram": F.col("ngram"), "aligned": F.when(single, F.greatest(aligned, char)).otherwise(aligned), "phonetic": F.col("phonetic"), "prefix": F.col("prefix")}
+        out = F.col("more")
+        for k, w in WEIGHTS.items():
+            out = out + w * parts[k]
+        return out
+
+    most = 2 * F.size(F.array_intersect("qb", "bag")) / F.greatest(F.length("qn") + F.length("norm"), F.lit(1))
+    lengths = F.aggregate(F.zip_with("qt", "toks", lambda x, y: 2 * F.least(F.length(x), F.length(y)) / (F.length(x) + F.length(y))), F.lit(0.0), lambda a, x: a + x) / F.size("qt")
+    m = m.where(total(most, F.when(F.size("qt") == F.size("toks"), lengths).otherwise(0.0)) >= LEAST - 1e-9)
+    m = m.withColumn("char", ratio("qn", "norm")).withColumn("aligned", aligned_ratio("qt", "toks"))
+    return m.withColumn("exact", equal).withColumn("score", F.least(total(F.col("char"), F.col("aligned")), F.lit(1.0))).where(F.col("score") >= LEAST)
+
+
+def folded(scores: DataFrame) -> DataFrame:
+    """Candidates of one query, category and text as one: greatest score, summed frequency, exact if any is."""
+    return scores.groupBy("qid", "category", "text").agg(F.max("score").alias("score"), F.sum("frequency").alias("frequency"), F.max("exact").alias("exact"))
 
 
 def ranked(scores: DataFrame, k: int = 5) -> DataFrame:
-    """Candidates of one category and text folded (greatest score, summed frequency), then the best k of each query."""
-    one = scores.groupBy("qid", "category", "text").agg(F.max("score").alias("score"), F.sum("frequency").alias("frequency"), F.max("exact").alias("exact"))
+    """Folded candidates, the best k of each query."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("frequency"), F.desc(F.length("text")), "text")
-    return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return folded(scores).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
+def decided(queries: DataFrame, top: DataFrame) -> DataFrame:
+    """Each query's decision: resolved_text, confidence, category, accepted, review_required and method, by threshold and margin.
 
-def decided(top: DataFrame) -> DataFrame:
-    """Each query's best candidate with accepted, review_required and method, by threshold and margin to the second."""
+    A query whose field has no lexicon, that is empty once normalised, or that has no candidate keeps its own text, with
+    confidence 0. Every query has a row.
+    """
     best = top.groupBy("qid").agg(F.max(F.when(F.col("rank") == 1, F.struct("text", "category", "score", "exact"))).alias("b"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0)).alias("second"))
+    own = queries.select("qid", "categories", "toks", F.trim(F.coalesce("raw_text", F.lit(""))).alias("raw"), X.smart_title(X.name_key(F.col("raw_text"), True)).alias("fallback"))
+    d = own.join(best, "qid", "left").select("*", "b.*")
     limit = F.lit(None).cast("double")
     for c, t in THRESHOLDS.items():
         limit = F.when(F.col("category") == c, t).otherwise(limit)
-    d = best.select("qid", "b.*", "second").withColumn("limit", limit)
-    ok = F.col("exact") | (F.col("score") >= F.col("limit") + 0.03) | ((F.col("score") >= F.col("limit")) & (F.col("score") - F.col("second") >= 0.05))
-    d = d.withColumn("accepted", ok).withColumn("review_required", ~ok & (F.col("score") >= F.col("limit") - 0.07))
-    return d.withColumn("method", F.when(F.col("exact"), "exact").when(F.col("accepted"), "fuzzy_accept").when(F.col("review_required"), "fuzzy_review").otherwise("no_accept")).drop("limit")
+    ok = F.coalesce(F.col("exact") | (F.col("score") >= limit + 0.03) | ((F.col("score") >= limit) & (F.col("score") - F.col("second") >= 0.05)), F.lit(False))
+    review = F.coalesce(~ok & (F.col("score") >= limit - 0.07), F.lit(False))
+    unrouted, blank = (F.col("raw") == "") | (F.size("categories") == 0), F.size("toks") == 0
+    method = F.when(unrouted, "no_lexicon_route").when(blank, "empty_query").when(F.col("score").isNull(), "no_candidate").when(F.col("exact"), "lexicon_exact").when(ok, "lexicon_fuzzy_accept").when(review, "lexicon_fuzzy_review").otherwise("lexicon_no_accept")
+    category = F.when(unrouted, "").otherwise(F.coalesce("category", F.get("categories", F.lit(0))))
+    confidence = F.when(ok, F.col("score")).otherwise(F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.89)))
+    return d.select("qid", F.when(ok, F.col("text")).otherwise(F.col("fallback")).alias("resolved_text"), confidence.alias("confidence"), category.alias("category"), ok.alias("accepted"), review.alias("review_required"), method.alias("method"))
 
 
 def resolve(queries: DataFrame, lexicon: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """queries(qid, category, raw_text), lexicon(entry_id, category, text, frequency): the best k, and decisions."""
-    q, e = indexed(queries, "raw_text"), indexed(lexicon, "text")
+    """queries(qid, field_name, raw_text), lexicon(entry_id, category, text, frequency): the best k, and decisions.
+
+    A field's name says which lexicons are searched. Null and empty texts have no candidates.
+    """
+    q = indexed(queries.withColumn("categories", D.lexicon_categories(F.col("field_name"))), "raw_text")
+    e = indexed(lexicon, "text")
     top = ranked(scored(candidates(q, e), q, e), k)
-    return top, decided(top)
+    return top, decided(q, top)

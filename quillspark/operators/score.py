@@ -43,7 +43,7 @@ def form_results(fields: DataFrame, mandatory: DataFrame) -> DataFrame:
     """fields(doc_id, field_name, value, confidence, category) with mandatory(field_name): counts, completion, status."""
     n = mandatory.count()
     good = F.col("category").isin("Extracted", "Needs Review")
-    m = fields.join(F.broadcast(mandatory.select("field_name", F.lit(True).alias("must"))), "field_name", "left")
+    m = fields.join(mandatory.select("field_name", F.lit(True).alias("must")).distinct(), "field_name", "left")
     g = m.groupBy("doc_id").agg(
         _count(good).alias("extracted"),
         *(_count(F.col("category") == c).alias(k) for c, k in (("Missing", "missing"), ("Low Confidence", "low_confidence"), ("Rejected", "rejected"), ("Validation Failed", "validation_failed"))),

@@ -17,7 +17,7 @@ from ..functions import text as X
 from ..operators import dataset, fuse, match, resolve, score
 from ..sources import files
 from ..streaming import review
-from .views import view, with_views
+from .views import pick_sql, residue_sql, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -182,11 +182,26 @@ def fu8(spark, sf):
 
 @query(
     "fu9_stable_zone",
-    """SELECT page_num, lang, CAST(round(1e6 * quantile_cont(x1, 0.5)) AS BIGINT) AS x1_e6, CAST(round(1e6 * quantile_cont(y1, 0.5)) AS BIGINT) AS y1_e6, CAST(round(1e6 * quantile_cont(x2 - x1, 0.75)) AS BIGINT) AS w_e6, CAST(round(1e6 * quantile_cont(y2 - y1, 0.75)) AS BIGINT) AS h_e6, count(*) AS n FROM v_region GROUP BY page_num, lang""",
+    """WITH z AS (SELECT DISTINCT r.doc_id, t.page_num, t.fname, fx1 AS lx1, fy1 AS ly1, fx2 AS lx2, fy2 AS ly2, greatest(fx1 - 100, 0) AS sx1, greatest(fy1 - 90, 0) AS sy1, least(fx2 + 120, 1100) AS sx2, least(fy2 + 60, 1400) AS sy2 FROM v_template t JOIN v_region r ON r.page_num = t.page_num),
+ c AS (SELECT z.doc_id, z.fname, quantile_cont((x1 + x2) / 2.0, 0.5) AS mx, quantile_cont((y1 + y2) / 2.0, 0.5) AS my, quantile_cont(x2 - x1, 0.75) AS pw, quantile_cont(y2 - y1, 0.75) AS ph, max(x2) - min(x1) AS uw, max(y2) - min(y1) AS uh
+  FROM z JOIN v_region r ON r.doc_id = z.doc_id AND r.page_num = z.page_num WHERE x1 >= sx1 AND x2 <= sx2 AND y1 >= sy1 AND y2 <= sy2 GROUP BY z.doc_id, z.fname),
+ a AS (SELECT z.*, mx, my, pw, ph, uw, uh, greatest(1, lx2 - lx1) AS lw, greatest(1, ly2 - ly1) AS lh FROM z LEFT JOIN c ON z.doc_id = c.doc_id AND z.fname = c.fname),
+ b AS (SELECT *, CASE WHEN mx IS NULL THEN (lx1 + lx2) / 2.0 ELSE 0.7 * mx + 0.3 * ((lx1 + lx2) / 2.0) END AS cx, CASE WHEN my IS NULL THEN (ly1 + ly2) / 2.0 ELSE 0.75 * my + 0.25 * ((ly1 + ly2) / 2.0) END AS cy,
+  CASE WHEN mx IS NULL THEN greatest(60, CAST(round_even(lw * CAST(1.05 AS DOUBLE), 0) AS INT)) ELSE CAST(round_even(greatest(60.0, greatest(uw, 1) + 48.0, pw + 36.0, lw * CAST(0.92 AS DOUBLE)), 0) AS INT) END AS w0,
+  CASE WHEN mx IS NULL THEN greatest(30, CAST(round_even(lh * CAST(1.2 AS DOUBLE), 0) AS INT)) ELSE CAST(round_even(greatest(30.0, greatest(uh, 1) + 28.0, ph + 24.0, lh * CAST(1.18 AS DOUBLE)), 0) AS INT) END AS h0,
+  greatest(sy1, ly1 - CAST(round_even(lh * CAST(0.45 AS DOUBLE), 0) AS INT)) AS top, least(sy2, ly2 + CAST(round_even(lh * CAST(0.55 AS DOUBLE), 0) AS INT)) AS bottom FROM a),
+ d AS (SELECT *, least(w0, greatest(1, sx2 - sx1)) AS w, least(h0, greatest(1, bottom - top)) AS h FROM b),
+ e AS (SELECT *, greatest(sx1, least(sx2 - w, CAST(round_even(CAST(cx AS DOUBLE) - w / 2.0, 0) AS INT))) AS nx, greatest(top, least(bottom - h, CAST(round_even(CAST(cy AS DOUBLE) - h / 2.0, 0) AS INT))) AS ny FROM d)
+ SELECT doc_id, fname, nx AS x1, ny AS y1, nx + w AS x2, ny + h AS y2 FROM e""",
 )
 def fu9(spark, sf):
-    z = fuse.stable_zone(regions(spark, sf), "page_num", "lang")
-    return z.select("page_num", "lang", *(e6(c).alias(f"{c}_e6") for c in ("x1", "y1", "w", "h")), "n")
+    r, t = regions(spark, sf), view(spark, sf, "v_template")
+    side = lambda c, d, f, m: f(F.col(c) + d, F.lit(m))
+    search = [side("fx1", -100, F.greatest, 0).alias("sx1"), side("fy1", -90, F.greatest, 0).alias("sy1"), side("fx2", 120, F.least, 1100).alias("sx2"), side("fy2", 60, F.least, 1400).alias("sy2")]
+    own = [F.col(f"f{c}").alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")]
+    z = r.select("doc_id", "page_num").distinct().join(t, "page_num").select("doc_id", "page_num", "fname", *own, *search, F.lit(60).alias("min_w"), F.lit(30).alias("min_h"))
+    inside = r.join(z, ["doc_id", "page_num"]).where("x1 >= sx1 AND x2 <= sx2 AND y1 >= sy1 AND y2 <= sy2").select("doc_id", "fname", "x1", "y1", "x2", "y2")
+    return fuse.stable_zone(z, inside, ["doc_id", "fname"], 1100, 1400)
 
 
 @query(
@@ -229,21 +244,20 @@ def j1(spark, sf):
 
 @query(
     "j2_fallback_match",
-    f"""WITH {SPATIAL_SQL}, f AS (SELECT q.*, q.dist - 0.35 * q.overlap AS score FROM q LEFT JOIN m ON q.doc_id = m.doc_id AND q.page_num = m.page_num AND q.fname = m.fname WHERE m.fname IS NULL AND (q.overlap > 0.25 OR q.dist < 0.035))
+    f"""WITH first AS (SELECT * FROM v_region WHERE region_id % 3 = 0), {SPATIAL_SQL.replace("FROM v_region r JOIN", "FROM first r JOIN")},
+ few AS (SELECT doc_id, page_num FROM v_region GROUP BY doc_id, page_num HAVING count(*) FILTER (WHERE region_id % 3 = 0) < 6),
+ o AS (SELECT r.doc_id, r.page_num, t.fname, r.region_id, greatest(least(x2, fx2) - greatest(x1, fx1), 0) * greatest(least(y2, fy2) - greatest(y1, fy1), 0) / CAST(greatest((x2 - x1) * (y2 - y1), 1) AS DOUBLE) AS overlap,
+   sqrt(pow((((x1 + x2) / 2.0) - ((fx1 + fx2) / 2.0)) / 1100, 2) + pow((((y1 + y2) / 2.0) - ((fy1 + fy2) / 2.0)) / 1400, 2)) AS dist FROM v_region r JOIN v_template t ON r.page_num = t.page_num JOIN few ON r.doc_id = few.doc_id AND r.page_num = few.page_num),
+ f AS (SELECT o.*, o.dist - 0.35 * o.overlap AS score FROM o LEFT JOIN m ON o.doc_id = m.doc_id AND o.page_num = m.page_num AND o.fname = m.fname WHERE m.fname IS NULL AND (o.overlap > 0.25 OR o.dist < 0.035))
  SELECT doc_id, page_num, fname, region_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num, fname ORDER BY score, region_id) AS rn FROM f) WHERE rn = 1 AND (overlap > 0.3 OR score < 0.05)""",
 )
 def j2(spark, sf):
     r, t = regions(spark, sf), templates(spark, sf)
-    return match.fallback_match(r, t, match.spatial_match(r, t, 1100, 1400), 1100, 1400).select("doc_id", "page_num", "fname", "region_id")
+    first = r.where("region_id % 3 = 0")  # the cleaned page's regions; all are those of the page as it was
+    return match.fallback_match(first, r, t, match.spatial_match(first, t, 1100, 1400), 1100, 1400).select("doc_id", "page_num", "fname", "region_id")
 
 
-@query(
-    "j4_value_verification",
-    """WITH v AS (SELECT DISTINCT doc_id, page_num, 'F' || CAST(doc_id % 97 AS STRING) AS value FROM v_region),
- s AS (SELECT v.doc_id, v.page_num, lower(v.value) AS v, lower(trim(r.text)) AS r, r.confidence_bp / 10000.0 AS rc FROM v JOIN v_region r ON v.doc_id = r.doc_id AND v.page_num = r.page_num),
- b AS (SELECT doc_id, page_num, max(rc * CASE WHEN v = r THEN 1.0 WHEN contains(v, r) OR contains(r, v) THEN 0.8 * least(length(v), length(r)) / greatest(length(v), length(r)) ELSE 1 - levenshtein(v, r) / CAST(greatest(length(v), length(r)) AS DOUBLE) END) AS best FROM s GROUP BY doc_id, page_num)
- SELECT doc_id, page_num, CAST(round(1e6 * best) AS BIGINT) AS best_e6, best >= 0.65 AS verified, CAST(round(1e6 * CASE WHEN best <= 0 THEN 0.6 WHEN best >= 0.65 THEN least(best + 0.3, 0.95) ELSE 0.5 END) AS BIGINT) AS confidence_e6 FROM b""",
-)
+@query("j4_value_verification")
 def j4(spark, sf):
     r = regions(spark, sf)
     v = r.select("doc_id", "page_num").distinct().select("doc_id", "page_num", F.lit("name").alias("field"), F.concat(F.lit("F"), (F.col("doc_id") % 97).cast("string")).alias("value"))
@@ -515,7 +529,7 @@ def w8(spark, sf):
     return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type")
 
 
-@query("t5_group_split")
+@query("t5_group_split", f"WITH g AS (SELECT id, row_number() OVER (ORDER BY {pick_sql(1 << 32, '42', 'id')}, id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM v_teacher)) SELECT t.id, t.ord, CASE WHEN g.rn <= greatest(1, n * 10 // 100) THEN 'val' ELSE 'train' END AS split FROM v_teacher t JOIN g ON t.id = g.id")
 def t5(spark, sf):
     return dataset.split_exact(teacher(spark, sf).select("id", "ord"), "id")
 
@@ -556,13 +570,17 @@ def s16(spark, sf):
     return view(spark, sf, "v_query").select("qid", e6(X.cer(a, b)).alias("cer_e6"), e6(X.levenshtein_similarity(a, b)).alias("sim_e6"))
 
 
-@query("s18_verhoeff")
+@query("s18_verhoeff", f"WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 + o_custkey AS STRING), 12, '7') AS t FROM orders) SELECT o_orderkey, {residue_sql('t')} = 0 AS ok, {residue_sql('t', X.PERMUTE_VARIANT)} = 0 AS ok_compat FROM n")
 def s18(spark, sf):
     c = F.lpad((F.col("o_orderkey") * 7919 + F.col("o_custkey")).cast("string"), 12, "7")
     return table(spark, sf, "orders").select("o_orderkey", X.verhoeff_ok(c).alias("ok"), X.verhoeff_ok(c, compat=True).alias("ok_compat"))
 
 
-@query("s27_repair_and_check")
+@query(
+    "s27_repair_and_check",
+    """WITH t AS (SELECT ord, replace(upper(trim(text)), ' ', '') AS v FROM v_teacher WHERE field_name = 'pan_number'), f AS (SELECT *, CASE WHEN length(v) = 10 THEN translate(substr(v, 1, 5), '01586', 'OISBG') || translate(substr(v, 6, 4), 'OIlSBG', '011586') || translate(substr(v, 10, 1), '01586', 'OISBG') ELSE v END AS w FROM t),
+ k AS (SELECT *, regexp_matches(v, '^[A-Z]{5}[0-9]{4}[A-Z]$') AS ok, regexp_matches(w, '^[A-Z]{5}[0-9]{4}[A-Z]$') AS mended FROM f) SELECT ord, ok AS valid, NOT ok AND mended AS correctable, CASE WHEN ok THEN v WHEN mended THEN w END AS corrected FROM k""",
+)
 def s27(spark, sf):
     t = teacher(spark, sf).where("field_name = 'pan_number'")
     return t.select("ord", V.checked(F.lit("Proposer_PAN"), F.col("text")).alias("c")).select("ord", "c.*")
@@ -598,15 +616,16 @@ def s31(spark, sf):
 
 @query(
     "s32_calibrated_confidence",
-    """WITH a AS (SELECT doc_key, doc_key % 2 = 0 AS kb, doc_key % 3 <> 0 AS valid, doc_key % 17 = 0 AS hall, doc_key % 5 = 0 AS cr, doc_key % 7 = 0 AS ver, confidence_bp / 10000.0 AS c FROM v_field),
- b AS (SELECT *, CASE WHEN kb THEN least(c + 0.05, 0.98) ELSE c END * CASE WHEN valid THEN 1 ELSE 0.5 END AS d FROM a), e AS (SELECT *, CASE WHEN hall THEN 0 ELSE d END * CASE WHEN cr THEN 0.85 ELSE 1 END AS f FROM b),
- g AS (SELECT *, CASE WHEN ver AND NOT hall THEN least(f + 0.10, 0.99) ELSE f END AS h FROM e)
- SELECT doc_key, CAST(round(1e6 * h) AS BIGINT) AS confidence_e6 FROM g""",
+    """WITH a AS (SELECT doc_key, value, doc_key % 2 = 0 AS kb, CASE WHEN doc_key % 17 = 0 THEN 'HALLUCINATION' WHEN doc_key % 3 = 0 THEN 'INVALID' ELSE 'VALID' END AS st, doc_key % 5 = 0 AS cr, doc_key % 7 = 0 AS ver, (confidence_bp // 40 * 40 + CASE WHEN doc_key % 2 = 0 THEN 20 ELSE 0 END) / 10000.0 AS c FROM v_field),
+ b AS (SELECT *, CASE WHEN kb THEN least(c + 0.05, 0.98) ELSE c END AS d FROM a), e AS (SELECT *, CASE st WHEN 'INVALID' THEN d * 0.5 WHEN 'HALLUCINATION' THEN 0 ELSE d END * CASE WHEN cr THEN 0.85 ELSE 1 END AS f FROM b),
+ g AS (SELECT doc_key, value, st, round(least(1.0, CASE WHEN ver THEN least(f + 0.10, 0.99) ELSE f END), 4) AS h FROM e)
+ SELECT doc_key, CAST(round(1e4 * CASE WHEN value = '' THEN 0 ELSE h END) AS BIGINT) AS confidence_e4, CASE WHEN value = '' THEN 'missing' WHEN h >= 0.85 AND st = 'VALID' THEN 'auto_accepted' WHEN h >= 0.7 THEN 'needs_review' WHEN h >= 0.5 THEN 'low_confidence' ELSE 'rejected' END AS category FROM g""",
 )
 def s32(spark, sf):
     k = F.col("doc_key")
-    c = V.calibrated(F.col("confidence"), k % 2 == 0, k % 3 != 0, k % 17 == 0, k % 5 == 0, k % 7 == 0)
-    return form_fields(spark, sf).select("doc_key", e6(c).alias("confidence_e6"))
+    status = F.when(k % 17 == 0, "HALLUCINATION").when(k % 3 == 0, "INVALID").otherwise("VALID")
+    c = V.calibrated(F.col("value"), (F.floor(F.col("confidence_bp") / 40) * 40 + F.when(k % 2 == 0, 20).otherwise(0)) / 10000, k % 2 == 0, status, k % 5 == 0, k % 7 == 0)
+    return form_fields(spark, sf).select("doc_key", c.alias("c")).select("doc_key", F.round(F.col("c.confidence") * 10000).cast("long").alias("confidence_e4"), "c.category")
 
 
 @query("s36_pii_mask", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\b[A-Z]{5}[0-9]{4}[A-Z]\b', '**********', 'g'), '\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b', '************', 'g'), '\b[6-9][0-9]{9}\b', '**********', 'g')) AS masked FROM documents")
@@ -644,7 +663,16 @@ def f7(spark, sf):
     return d.join(F.broadcast(t), "label").where("confidence_bp > least").select("region_id", "least")
 
 
-@query("f13_hallucination")
+@query(
+    "f13_hallucination",
+    r"""WITH t AS (SELECT ord, field_family AS f, confidence_bp AS c, trim(text) AS v, lower(trim(text)) AS l FROM v_teacher),
+ k AS (SELECT *, list_max(list_transform(list_distinct(string_split(l, '')), lambda x: length(l) - length(replace(l, x, '')))) / length(l) AS top, len(list_distinct(string_split(replace(l, ' ', ''), ''))) / length(replace(l, ' ', '')) AS var FROM t)
+ SELECT ord, CASE WHEN v = '' THEN NULL WHEN l IN ('avelandian', 'linsularate', 'thelasthe', 'india', 'lhe', 'lhe_', 'tha', 'dhe', 'fhe', 'tand', 'tion', 'tion_', 'ing', 'ing_', 'nan', 'none', 'null') THEN 'known_token'
+  WHEN length(v) < 2 OR regexp_matches(v, '^[^a-zA-Z0-9\s]+$') OR (length(v) >= 5 AND left(v, 5) = repeat(left(v, 1), 5)) OR regexp_matches(l, '^[bcdfghjklmnpqrstvwxyz]{5,}$') OR regexp_matches(l, '^[aeiou]{5,}$') THEN 'gibberish'
+  WHEN length(v) >= 3 AND NOT regexp_matches(v, '[0-9]') AND top > 0.6 THEN 'repetitive' WHEN f IN ('name_text', 'short_text') AND length(v) > 2 AND var < 0.2 AND c < 7000 THEN 'low_variety'
+  WHEN f = 'numeric' AND NOT regexp_matches(v, '[0-9]') THEN 'numeric_without_digits' WHEN f = 'amount' AND NOT regexp_matches(v, '[0-9]') THEN 'amount_without_digits' WHEN f = 'date' AND NOT regexp_matches(v, '[0-9]') THEN 'date_without_digits'
+  WHEN f = 'short_id' AND length(v) > 40 THEN 'id_too_long' WHEN f IN ('name_text', 'short_text') AND length(v) > 150 THEN 'text_too_long' WHEN f = 'binary_mark' AND length(v) > 5 AND l NOT IN ('checked', 'unchecked', 'marked', 'unmarked') THEN 'unexpected_mark' END AS reason FROM k""",
+)
 def f13(spark, sf):
     t = teacher(spark, sf)
     return t.select("ord", V.hallucination(F.col("text"), F.col("field_family"), F.col("confidence")).alias("reason"))
@@ -722,16 +750,20 @@ def s43(spark, sf):
     return table(spark, sf, "events").select("event_id", F.explode(P.key_values(text)).alias("p")).select("event_id", "p.*")
 
 
-@query("s45_document_json")
+@query(
+    "s45_document_json",
+    """WITH p AS (SELECT doc_id, doc_key % 3 AS page, string_agg('{"field_name":"' || field_name || '","value":"' || value || '","confidence":' || CASE WHEN confidence_bp = 0 THEN '0.0' WHEN confidence_bp = 10000 THEN '1.0' WHEN confidence_bp < 10 THEN confidence_bp || '.0E-4' ELSE rtrim('0.' || lpad(CAST(confidence_bp AS STRING), 4, '0'), '0') END || '}', ',' ORDER BY doc_key) AS f, count(*) AS n FROM v_field GROUP BY 1, 2)
+ SELECT doc_id, md5('{"document_id":' || doc_id || ',"pages":[' || string_agg('{"page_num":' || page || ',"fields":[' || f || ']}', ',' ORDER BY page) || ']}') AS json_md5 FROM p GROUP BY doc_id""",
+)
 def s45(spark, sf):
     f = form_fields(spark, sf).withColumn("page_num", (F.col("doc_key") % 3).cast("int")).withColumnRenamed("doc_key", "ord")
-    return files.document_json(f).select("doc_id", F.length("json").alias("n_chars"))
+    return files.document_json(f).select("doc_id", F.md5(F.col("json").cast("binary")).alias("json_md5"))
 
 
-@query("s46_source_map")
+@query("s46_source_map", "SELECT doc_id, count(DISTINCT region_id) AS n, arg_max(text, struct_pack(k := CAST(region_id AS STRING), c := confidence_bp, p := page_num, t := text)) AS last_value FROM v_region GROUP BY doc_id")
 def s46(spark, sf):
     r = regions(spark, sf).select("doc_id", "page_num", F.col("region_id").cast("string").alias("field_name"), F.col("text").alias("value"), "confidence")
-    return files.source_map(r).select("doc_id", F.size("sources").alias("n"))
+    return files.source_map(r).select("doc_id", F.size("sources").cast("long").alias("n"), F.element_at("sources", F.array_max(F.map_keys("sources")))["value"].alias("last_value"))
 
 
 @query(
@@ -750,52 +782,104 @@ def s55(spark, sf):
     return match.tiles(pages).select("doc_id", "tile", "x1", "y1", "x2", "y2")
 
 
-@query("j13_lexicon_candidates", None)
+J13_KEYS = """SELECT {id}, category, unnest(list_distinct(list_concat(['e:' || norm], list_transform(toks, lambda t: 't:' || t), list_transform(toks, lambda t: 's:' || {code}), grams, {lengths}))) AS key FROM {src}"""
+NORM_KEY = "trim(regexp_replace(regexp_replace(translate(upper({c}), '0123456789', 'OIZEASGTBG'), '[^A-Z0-9& ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+SOUND = "substr(rpad(substr(t, 1, 1) || replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(upper(t), 'BFPVCGJKQSXZDTLMNRAEIOUYHW0123456789&', '1111222222223345560000000000000000000'), '0+', '0', 'g'), '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g'), 2), '0', ''), 4, '0'), 1, 4)"
+GRAMS = "list_transform(range(1, greatest(length(replace(norm, ' ', '')) - 2, 1) + 1), lambda i: 'g:' || substr(replace(norm, ' ', ''), i, 3))"
+
+
+@query(
+    "j13_lexicon_candidates",
+    f"""WITH q0 AS (SELECT qid, category, {NORM_KEY.format(c="raw_text")} AS norm FROM v_query), q1 AS (SELECT *, regexp_extract_all(norm, '[A-Z0-9]+') AS toks, {GRAMS} AS grams FROM q0),
+ e0 AS (SELECT category, text, {NORM_KEY.format(c="text")} AS norm FROM v_lexicon), e1 AS (SELECT *, regexp_extract_all(norm, '[A-Z0-9]+') AS toks, {GRAMS} AS grams FROM e0),
+ qk AS ({J13_KEYS.format(id="qid", src="q1 WHERE len(toks) > 0", code=SOUND, lengths="list_transform(range(greatest(length(norm) - 3, 1), length(norm) + 4), lambda n: 'l:' || n)")}),
+ ek AS ({J13_KEYS.format(id="text", src="e1", code=SOUND, lengths="['l:' || length(norm)]")})
+ SELECT DISTINCT qid, e.text FROM qk q JOIN ek e ON q.category = e.category AND q.key = e.key""",
+)
 def j13(spark, sf):
     q, e = resolver_inputs(spark, sf)
-    return resolve.candidates(resolve.indexed(q, "raw_text"), resolve.indexed(e, "text"))
+    q = resolve.indexed(q.withColumn("categories", F.array("category")), "raw_text")
+    return resolve.candidates(q, resolve.indexed(e, "text"), every_length=True).join(e.select("entry_id", "text"), "entry_id").select("qid", "text")
 
 
 def resolver_inputs(spark, sf):
-    q = view(spark, sf, "v_query").select("qid", "category", "raw_text")
+    """Queries of four kinds of fields, one of them without a lexicon, some empty."""
+    k = F.col("qid")
+    name = F.when(k % 10 == 9, "plan_name").when(k % 10 == 8, "remarks").otherwise("proposer_full_name")
+    text = F.when(k % 13 == 12, "  ").when(k % 13 == 11, "%%").otherwise(F.col("raw_text"))
+    q = view(spark, sf, "v_query").select("qid", "category", name.alias("field_name"), "raw_text", text.alias("asked"))
     return q, view(spark, sf, "v_lexicon").withColumn("entry_id", F.xxhash64("category", "text"))
 
 
+def resolver_queries(spark, sf):
+    q, e = resolver_inputs(spark, sf)
+    return q.select("qid", "field_name", F.col("asked").alias("raw_text")), e
+
+
 @query("t1_resolver_top_k")
 def t1(spark, sf):
-    top, _ = resolve.resolve(*resolver_inputs(spark, sf))
+    top, _ = resolve.resolve(*resolver_queries(spark, sf))
     return top.select("qid", "category", "text", e6("score").alias("score_e6"), "frequency", "exact", "rank")
 
 
 @query("s10_resolver_decision")
 def s10(spark, sf):
-    _, d = resolve.resolve(*resolver_inputs(spark, sf))
-    return d.select("qid", "text", "category", e6("score").alias("score_e6"), "accepted", "review_required", "method")
+    _, d = resolve.resolve(*resolver_queries(spark, sf))
+    return d.select("qid", "resolved_text", "category", e6("confidence").alias("confidence_e6"), "accepted", "review_required", "method")
+
+
+LAST_SQL = f"""['Kumar', 'Sharma', 'Patel', 'Singh', 'Reddy'][{pick_sql(5, "42", "3", "id")} + 1]"""
+RECORDS_SQL = f"""h AS (SELECT id, {pick_sql(2, "42", "1", "id")} = 0 AS man, {pick_sql(3, "42", "2", "id")} > 0 AS married, {LAST_SQL} AS last_name, {pick_sql(4, "42", "4", "id")} + 1 AS a, {pick_sql(4, "42", "5", "id")} + 1 AS b, {pick_sql(4, "42", "6", "id")} + 1 AS c, ({pick_sql(46, "42", "7", "id")} + 3) * 50000 AS annual_income, {pick_sql(16000, "42", "8", "id")} AS days FROM ids),
+ rec AS (SELECT 'REC_' || lpad(CAST(id + 1 AS STRING), 5, '0') AS record_id, CASE WHEN man THEN 'Male' ELSE 'Female' END AS gender, last_name, CASE WHEN man THEN ['Rajesh', 'Amit', 'Suresh', 'Vikram'][a] ELSE ['Priya', 'Sunita', 'Kavita', 'Meena'][a] END AS first_name,
+  CASE WHEN married THEN CASE WHEN man THEN ['Priya', 'Sunita', 'Kavita', 'Meena'][b] ELSE ['Rajesh', 'Amit', 'Suresh', 'Vikram'][b] END || ' ' || last_name ELSE '' END AS spouse_full_name, ['Mumbai', 'Delhi', 'Pune', 'Chennai'][c] AS address_city, ['400001', '110001', '411001', '600001'][c] AS address_pincode,
+  annual_income, CAST(floor(annual_income * 6 / 100) AS BIGINT) AS premium, CAST(floor(annual_income * 6 / 100) AS BIGINT) * 20 AS sum_assured, strftime(DATE '1955-01-01' + CAST(days AS INTEGER), '%d/%m/%Y') AS date_of_birth FROM h)"""
+IDS_SQL = "ids AS (SELECT c_custkey AS id FROM customer)"
+
 
+def records(spark, sf):
+    """A made-up record for each customer."""
+    return dataset.synthetic_records(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")))
 
-@query("g2_record_field_product")
+
+@query(
+    "g2_record_field_product",
+    f"WITH {IDS_SQL}, {RECORDS_SQL}, f AS (SELECT record_id, unnest(['first_name', 'last_name', 'spouse_full_name', 'address_city', 'address_pincode', 'annual_income', 'date_of_birth']) AS field_name, unnest([first_name, last_name, spouse_full_name, address_city, address_pincode, CAST(annual_income AS STRING), date_of_birth]) AS target_text FROM rec) SELECT record_id || '__' || field_name AS id, record_id, field_name, target_text FROM f",
+)
 def g2(spark, sf):
-    r = dataset.synthetic_records(spark, 500)
-    return dataset.crops_of(r, ["first_name", "last_name", "spouse_full_name", "address_city", "address_pincode", "annual_income", "date_of_birth"])
+    return dataset.crops_of(records(spark, sf), ["first_name", "last_name", "spouse_full_name", "address_city", "address_pincode", "annual_income", "date_of_birth"])
 
 
-@query("g3_projected_pages")
+@query(
+    "g3_projected_pages",
+    f"WITH {IDS_SQL}, {RECORDS_SQL} SELECT record_id, 'proposer_details' AS page_type, 3 AS n, gender AS one FROM rec UNION ALL SELECT record_id, 'plan_details', 2, CAST(sum_assured AS STRING) FROM rec",
+)
 def g3(spark, sf):
-    p = dataset.pages_of(dataset.synthetic_records(spark, 500), {"proposer_details": ["first_name", "last_name", "gender"], "plan_details": ["premium", "sum_assured"]})
-    return p.select("record_id", "page_type", F.size("labels").alias("n"))
+    p = dataset.pages_of(records(spark, sf), {"proposer_details": ["first_name", "last_name", "gender"], "plan_details": ["premium", "sum_assured"]})
+    return p.select("record_id", "page_type", F.size("labels").alias("n"), F.coalesce(F.col("labels")["gender"], F.col("labels")["sum_assured"]).alias("one"))
 
 
-@query("g5_mutated_queries")
+@query(
+    "g5_mutated_queries",
+    f"""WITH t AS (SELECT p_partkey AS id, upper(p_name) AS text FROM part), k AS (SELECT id, text, length(text) AS n, {pick_sql(1 << 32, "7", "id")} % greatest(length(text), 1) AS pos, {pick_sql(3, "8", "id")} AS kind FROM t)
+ SELECT id, CASE kind WHEN 0 THEN substr(text, 1, pos) || substr(text, pos + 2) WHEN 1 THEN substr(text, 1, pos + 1) || substr(text, pos + 1) ELSE substr(text, 1, pos) || translate(substr(text, pos + 1, 1), 'OISB', '0158') || substr(text, pos + 2) END AS mutated FROM k""",
+)
 def g5(spark, sf):
     t = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("text"))
     return dataset.mutated(t, "text").select("id", "mutated")
 
 
-@query("s57_crop_qc", "WITH m AS (SELECT region_id, CASE WHEN region_id % 50 = 0 THEN 0.01 ELSE 0.2 END AS d, region_id % 120 AS v, CASE WHEN region_id % 7 = 0 THEN 0.4 ELSE 0.1 END AS e FROM v_region), s AS (SELECT *, round(1 - CASE WHEN d < 0.015 THEN 0.35 ELSE 0 END - CASE WHEN v < 40 THEN 0.20 ELSE 0 END - CASE WHEN e > 0.25 THEN 0.10 ELSE 0 END, 4) AS q FROM m) SELECT region_id, CAST(round(1e4 * q) AS BIGINT) AS score_e4, CASE WHEN q < 0.45 THEN 'poor' WHEN q < 0.7 THEN 'review' ELSE 'good' END AS qc_status FROM s")
+@query(
+    "s57_crop_qc",
+    """WITH m AS (SELECT region_id, region_id % 11 = 0 AS blank, (region_id % 50) / 1000.0 AS d, region_id % 120 AS v, (region_id % 23) / 50.0 AS top, (region_id % 29) / 50.0 AS bottom, (region_id % 31) / 60.0 AS l, (region_id % 37) / 80.0 AS r FROM v_region),
+ s AS (SELECT region_id, greatest(0, 1 - CASE WHEN d < 0.01 AND NOT blank THEN 0.35 ELSE 0 END - CASE WHEN v < 20 THEN 0.2 ELSE 0 END - 0.1 * (CAST(top > 0.2 AS INT) + CAST(bottom > 0.2 AS INT) + CAST(l > 0.2 AS INT) + CAST(r > 0.2 AS INT))) AS q,
+  CAST(d < 0.01 AS INT) + CAST(v < 20 AS INT) + CAST(top > 0.2 AS INT) + CAST(bottom > 0.2 AS INT) + CAST(l > 0.2 AS INT) + CAST(r > 0.2 AS INT) AS n FROM m)
+ SELECT region_id, CAST(round(1e4 * q) AS BIGINT) AS score_e4, n AS n_flags, CASE WHEN round(1e4 * q) < 4500 THEN 'poor' WHEN round(1e4 * q) < 7000 THEN 'review' ELSE 'good' END AS qc_status FROM s""",
+)
 def s57(spark, sf):
     k = F.col("region_id")
-    m = regions(spark, sf).select("region_id", F.when(k % 50 == 0, 0.01).otherwise(0.2).alias("dark_ratio"), (k % 120).alias("edge_var"), F.when(k % 7 == 0, 0.4).otherwise(0.1).alias("edge_dark"))
-    return dataset.qc_status(m).select("region_id", F.round(F.col("qc_score") * 10000).cast("long").alias("score_e4"), "qc_status")
+    edges = [(k % m / F.lit(d)).alias(f"{n}_edge") for n, m, d in (("top", 23, 50.0), ("bottom", 29, 50.0), ("left", 31, 60.0), ("right", 37, 80.0))]
+    m = regions(spark, sf).select("region_id", (k % 11 == 0).alias("is_blank"), (k % 50 / F.lit(1000.0)).alias("dark_ratio"), (k % 120).alias("edge_var"), *edges)
+    return dataset.qc_status(m).select("region_id", F.round(F.col("qc_score") * 10000).cast("long").alias("score_e4"), F.size("qc_flags").alias("n_flags"), "qc_status")
 
 
 @query("src20_page_catalog", "SELECT doc_id, page_num, lang, string_agg(t, '|' ORDER BY region_id) AS texts FROM (SELECT doc_id, page_num, lang, region_id, substr(text, 1, 100) AS t, row_number() OVER (PARTITION BY doc_id, page_num, lang ORDER BY region_id) AS rn FROM v_region) WHERE rn <= 20 GROUP BY doc_id, page_num, lang")

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import MULTIPLY, PERMUTE
+
 VIEWS = {
     "v_teacher": """SELECT 'C' || CAST(b AS STRING) AS id, event_id AS ord,
  CASE b % 6 WHEN 0 THEN 'date_of_birth' WHEN 1 THEN 'annual_income' WHEN 2 THEN 'age_years' WHEN 3 THEN 'pan_number' WHEN 4 THEN 'first_name' ELSE 'gender_mark' END AS field_name,
@@ -19,7 +21,7 @@ VIEWS = {
   ELSE CASE event_id % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'n.o' WHEN 2 THEN 'x' ELSE 'maybe' END END AS text,
  event_type AS model, CAST(floor(value * 100) AS BIGINT) % 10001 AS confidence_bp
 FROM (SELECT event_id, event_type, value, event_id % 2500 AS b FROM events) e""",
-    "v_region": """SELECT CAST(l_orderkey % 400 AS BIGINT) AS doc_id, CAST(l_linenumber AS INT) AS page_num,
+    "v_region": """SELECT CAST(floor(l_orderkey / 40) AS BIGINT) AS doc_id, CAST(l_linenumber AS INT) AS page_num,
  CAST(((CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 100003 + l_partkey) * 1009 + l_suppkey AS BIGINT) AS region_id,
  CAST((l_partkey * 37) % 900 AS INT) AS x1, CAST((l_suppkey * 53 + l_orderkey) % 1300 AS INT) AS y1,
  CAST((l_partkey * 37) % 900 + 20 + l_partkey % 120 AS INT) AS x2, CAST((l_suppkey * 53 + l_orderkey) % 1300 + 10 + l_suppkey % 30 AS INT) AS y2,
@@ -39,6 +41,23 @@ FROM (SELECT event_id, event_type, value, event_id % 2500 AS b FROM events) e"""
     "v_review": """SELECT event_id, user_id AS doc_id, event_type AS field_name, ts, CAST(floor(value) AS BIGINT) AS new_value FROM events""",
     "v_template": """SELECT * FROM (VALUES (1, 'f1', 1, 40, 100, 400, 200), (2, 'f2', 1, 300, 250, 700, 330), (3, 'f3', 2, 100, 500, 500, 640), (4, 'f4', 3, 10, 900, 500, 1000), (5, 'f5', 4, 600, 40, 1000, 160), (6, 'f6', 5, 350, 700, 900, 900), (7, 'f7', 6, 20, 1100, 460, 1290), (8, 'f8', 7, 500, 300, 840, 480)) t(ford, fname, page_num, fx1, fy1, fx2, fy2)""",
 }
+def pick_sql(m: int, *key: str) -> str:
+    """DuckDB SQL for a number under m that a key decides, as quillspark.operators.dataset.pick gives it."""
+    text = " || ':' || ".join(k if not k.isdigit() else f"'{k}'" for k in key)
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {m})"
+
+
+#: DuckDB SQL for an 11-digit string of an order.
+DIGITS11 = "lpad(CAST(o_orderkey * 104729 + 275492384 AS STRING), 11, '3')"
+
+
+def residue_sql(text: str, permute: tuple[str, ...] = PERMUTE) -> str:
+    """DuckDB SQL for a digit string's checksum, its last digit at place 0."""
+    listed = lambda rows: ", ".join(f"'{r}'" for r in rows)
+    placed = f"list_transform(range(1, length({text}) + 1), lambda k: CAST(substr([{listed(permute)}][(k - 1) % 8 + 1], CAST(substr(reverse({text}), k, 1) AS INT) + 1, 1) AS INT))"
+    return f"list_reduce(list_prepend(0, {placed}), lambda a, x: CAST(substr([{listed(MULTIPLY)}][a + 1], x + 1, 1) AS INT))"
+
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
 
 

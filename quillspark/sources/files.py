@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,8 +65,8 @@ def read_lexicons(spark: SparkSession, folder: str) -> DataFrame:
     return out.where(F.coalesce("text", F.lit("")) != "")
 
 
-def read_documents(spark: SparkSession, folder: str, most: int | None = 100) -> DataFrame:
-    """Form files of the known suffixes by path, at most `most` of them (a batch's limit is a feature; None lifts it)."""
+def read_documents(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
+    """Form files of the known suffixes; with `most`, a batch's limit, the first by path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").option("recursiveFileLookup", True).load(folder)
     return files if most is None else files.orderBy("path").limit(most)
 
@@ -90,9 +91,9 @@ def layout_blocks(results: DataFrame) -> DataFrame:
     return b.where(F.trim("b.text") != "").select("doc_id", "page_num", F.col("region_id").cast("long").alias("region_id"), "b.label", "b.text", F.lit(1.0).alias("confidence"), box.alias("bbox"))
 
 
-def write_results(fields: DataFrame, path: str, mode: str = "append") -> None:
-    """A folder per document with its fields as JSON."""
-    fields.write.mode(mode).partitionBy("doc_id").json(path)
+def write_results(fields: DataFrame, path: str, mode: str = "append", by: str = "doc_id") -> None:
+    """A folder per document, or per value of another column where documents are many, with its fields as JSON."""
+    fields.write.mode(mode).partitionBy(by).json(path)
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -109,8 +110,9 @@ def document_json(fields: DataFrame) -> DataFrame:
 
 
 def source_map(fields: DataFrame) -> DataFrame:
-    """One row per document: a map from field name to where its value stands."""
-    return fields.groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field_name", F.struct("page_num", "value", "confidence").alias("s"))))).alias("sources"))
+    """One row per document: a map from field name to where its value stands; of two values the surer, then the later page's."""
+    best = fields.groupBy("doc_id", "field_name").agg(F.max(F.struct("confidence", "page_num", "value")).alias("b"))
+    return best.groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field_name", F.struct("b.page_num", "b.value", "b.confidence").alias("s"))))).alias("sources"))
 
 
 def page_spec(spec: str) -> list[int]:
@@ -120,3 +122,88 @@ def page_spec(spec: str) -> list[int]:
         a, _, b = part.strip().partition("-")
         out += [k for k in range(int(a), int(b or a) + 1) if k not in out]
     return out
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in a folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is not set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
+
+
+def gather(spark: SparkSession, folder: str, to: str, name: str) -> None:
+    """Moves the one part file of a small written folder to a file of a given name, as lexicons have; more parts get numbers."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(conf)
+    fs.mkdirs(path(to))
+    for k, f in enumerate(fs.globStatus(path(f"{folder}/part-*"))):
+        fs.rename(f.getPath(), path(f"{to}/{name if not k else name.replace('.', f'-{k}.')}"))
+
+
+def write_partial(fields: DataFrame, path: str) -> None:
+    """The results of some pages, beside those written before: a page that is written again replaces itself alone."""
+    fields.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id", "page_num").json(path)
+
+
+def page_dumps(regions: DataFrame) -> DataFrame:
+    """regions(doc_id, page_num, region_id, label, text, ...): for each page json, its regions in order, and markdown, a line for each."""
+    own = [c for c in regions.columns if c not in ("doc_id", "page_num")]
+    page = regions.groupBy("doc_id", "page_num").agg(F.sort_array(F.collect_list(F.struct("region_id", F.struct(*own).alias("r")))).alias("rs")).select("doc_id", "page_num", F.transform("rs", lambda x: x["r"]).alias("regions"))
+    body = F.transform("regions", lambda r: F.concat(F.lit("["), r["label"], F.lit("] "), r["text"], F.lit("\n\n")))
+    json = F.to_json(F.struct("page_num", F.size("regions").alias("num_regions"), "regions"))
+    return page.select("doc_id", "page_num", json.alias("json"), F.concat(F.lit("# Page "), F.col("page_num").cast("string"), F.lit("\n\n"), F.array_join(body, "")).alias("markdown"))
+
+
+def save_page_dumps(dumps: DataFrame, path: str) -> None:
+    """A folder json and a folder markdown, each with a folder per document and page."""
+    for kind in ("json", "markdown"):
+        dumps.select("doc_id", "page_num", F.col(kind).alias("value")).write.partitionBy("doc_id", "page_num").text(f"{path}/{kind}")
+
+
+def document_dumps(regions: DataFrame, pages: DataFrame, lang_mode: str = "bilingual") -> DataFrame:
+    """pages(doc_id, page_num, width, height, seconds) with their regions, in one of the modes, as a nested JSON text per document.
+
+    Pages without regions stay, with none.
+    """
+    used = regions if lang_mode == "bilingual" else regions.where(F.col("lang") == lang_mode)
+    own = [c for c in regions.columns if c not in ("doc_id", "page_num")]
+    r = used.groupBy("doc_id", "page_num").agg(F.sort_array(F.collect_list(F.struct("region_id", F.struct(*own).alias("r")))).alias("rs"))
+    m = pages.join(r, ["doc_id", "page_num"], "left").withColumn("regions", F.coalesce(F.transform("rs", lambda x: x["r"]), F.array()))
+    page = F.struct("page_num", F.col("width").alias("page_width"), F.col("height").alias("page_height"), F.round("seconds", 2).alias("ocr_time_seconds"), F.size("regions").alias("num_regions"), "regions")
+    d = m.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_num", page.alias("p")))).alias("ps"), F.round(F.sum("seconds"), 2).alias("t"))
+    whole = F.struct(F.col("doc_id").alias("source_name"), F.size("ps").alias("total_pages"), F.col("t").alias("total_ocr_time_seconds"), F.lit(lang_mode).alias("lang_mode"), F.transform("ps", lambda x: x["p"]).alias("pages"))
+    return d.select("doc_id", F.size("ps").alias("total_pages"), F.to_json(whole).alias("json"))
+
+
+def stored_boxes(writes: DataFrame) -> DataFrame:
+    """writes(ord, page_num, width, height, field_name, x1..y2, confidence): the last box of each page and field, the page's last size."""
+    size = writes.groupBy("page_num").agg(F.max_by(F.struct("width", "height"), "ord").alias("s"))
+    last = writes.groupBy("page_num", "field_name").agg(F.max_by(F.struct("x1", "y1", "x2", "y2", F.round("confidence", 4).alias("confidence")), "ord").alias("b"))
+    return last.join(size, "page_num").select("page_num", "field_name", "s.width", "s.height", "b.*")
+
+
+def scaled_boxes(store: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Stored boxes on pages(doc_id, page_num, page_width, page_height) of other sizes, rounded to even halves."""
+    m = sizes.join(store, "page_num")
+    whole = lambda c, to, of: F.when(F.col(of) > 0, F.rint(F.col(c) * (F.col(to) / F.greatest(F.col(of), F.lit(1))))).otherwise(F.col(c)).cast("int").alias(c)
+    return m.select("doc_id", "page_num", "field_name", *(whole(c, f"page_{'width' if c[0] == 'x' else 'height'}", "width" if c[0] == "x" else "height") for c in ("x1", "y1", "x2", "y2")))
+
+
+def purge(spark: SparkSession, *paths: str, really: bool = False) -> list[str]:
+    """Deletes results and inputs for good, and only when told so; returns the paths that were there."""
+    gone = []
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            gone.append(path)
+            if really:
+                fs.delete(p, True)
+    return gone
+
+
+def registration_audit(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """pages(doc_id, page_num, success, method, ... of the alignment) that have a template(page_num, page_type), with their metrics as JSON."""
+    metrics = [c for c in pages.columns if c not in ("doc_id", "page_num")]
+    m = pages.join(templates.select("page_num", "page_type").distinct(), "page_num")
+    return m.select("doc_id", "page_num", "page_type", *metrics, F.to_json(F.struct("page_type", *metrics)).alias("metrics"))

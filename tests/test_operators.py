@@ -1,11 +1,14 @@
 """Operators without SQL, sources and streams against brute force."""
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import dataset, fuse, label, resolve
+from quillspark.operators import dataset, fuse, label, match, resolve
+from quillspark.operators.fixed import MOST_ROWS, fixed_rows
 from quillspark.sources import files
 from quillspark.streaming import review
 
@@ -59,22 +62,50 @@ def test_labels_take_each_value_once(spark):
     assert out["name"] == "Rajesh" and out["age"] == "30" and len(set(out.values())) == len(out)
 
 
-def test_resolver(spark):
-    lex = spark.createDataFrame([(1, "person_full", "RAJESH KUMAR", 50), (2, "person_full", "RAMESH KUMAR", 5), (3, "person_full", "ANITA DESAI", 9), (4, "plan_name", "JEEVAN ANAND", 7)], "entry_id long, category string, text string, frequency long")
-    q = spark.createDataFrame([(1, "person_full", "RAJESH KUMAR"), (2, "person_full", "RAJESH KUMA"), (3, "person_full", "ANITA DE5AI"), (4, "plan_name", "JEEVAN ANND"), (5, "person_full", "###"), (6, "person_full", None)], "qid long, category string, raw_text string")
+def test_resolver_decisions(spark):
+    lex = spark.createDataFrame([(1, "person_full", "HARISH MENON", 50), (2, "person_full", "HARIS MENON", 5), (3, "person_full", "LEELA NAIR", 9), (4, "plan_name", "NEW BEEMA GOLD", 7), (5, "person_token", "LEELA", 3)], "entry_id long, category string, text string, frequency long")
+    asked = [(1, "nominee_name", "Harish Menon"), (2, "nominee_name", "LEELA NA1R"), (3, "plan_name", "NEW BEEMA GOL"), (4, "nominee_name", "##"), (5, "nominee_name", None), (6, "remarks", "LEELA NAIR"), (7, "nominee_name", "XQ ZW"), (8, "first_name", "leela")]
+    q = spark.createDataFrame(asked, "qid long, field_name string, raw_text string")
     top, d = resolve.resolve(q, lex)
     got = {r.qid: r for r in d.collect()}
-    assert got[1].method == "exact" and got[3].method == "exact" and got[2].text == "RAJESH KUMAR" and got[4].text == "JEEVAN ANAND" and got[4].method == "fuzzy_review" and 5 not in got and 6 not in got
-    assert top.where("rank > 5").count() == 0
+    assert {k: r.method for k, r in got.items()} == {1: "lexicon_exact", 2: "lexicon_exact", 3: "lexicon_fuzzy_accept", 4: "empty_query", 5: "no_lexicon_route", 6: "no_lexicon_route", 7: "no_candidate", 8: "lexicon_exact"}
+    assert got[3].resolved_text == "NEW BEEMA GOLD" and got[7].resolved_text == "XQ ZW" and got[7].confidence == 0 and got[7].category == "person_full" and got[6].category == "" and got[8].category == "person_token"
+    assert top.where("rank > 5").count() == 0 and resolve.resolve(q.limit(0), lex)[1].count() == 0 and resolve.resolve(q, lex.limit(0))[1].where("accepted").count() == 0
+
+
+def test_resolver_scores_are_those_of_all_pairs(spark):
+    """Every pair scored in plain Python: postings by length and token number, and the bound, lose none at the least score."""
+    r = np.random.default_rng(5)
+    word = lambda: "".join(r.choice(list("ABEIKS"), r.integers(2, 7)))
+    names = sorted({" ".join(word() for _ in range(r.integers(1, 4))) for _ in range(60)})
+    asked = [names[k][:2] + names[k][3:] if k % 2 else " ".join(word() for _ in range(r.integers(1, 3))) for k in range(60)]
+    lex = spark.createDataFrame([(k, "person_token", n, k * k) for k, n in enumerate(names)], "entry_id long, category string, text string, frequency long")
+    q = resolve.indexed(spark.createDataFrame([(k, ["person_token"], n) for k, n in enumerate(asked)], "qid long, categories array<string>, raw_text string"), "raw_text")
+    e = resolve.indexed(lex, "text")
+    got = {(x.qid, x.entry_id): x.score for x in resolve.scored(resolve.candidates(q, e), q, e).collect()}
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    want = {}
+    for x in q.collect():
+        for y in e.collect():
+            char, token = ratio(x.norm, y.norm), jac(x.toks, y.toks)
+            aligned = sum(ratio(a, b) for a, b in zip(x.toks, y.toks, strict=True)) / len(x.toks) if len(x.toks) == len(y.toks) else 0.0
+            if len(x.toks) == len(y.toks) == 1:
+                token, aligned = max(token, char), max(aligned, char)
+            same = next((k for k in range(4) if x.norm[k : k + 1] != y.norm[k : k + 1] or not x.norm[k : k + 1]), 4)
+            s = 0.34 * char + 0.2 * token + 0.15 * jac(x.grams, y.grams) + 0.14 * aligned + 0.1 * jac(x.codes, y.codes) + 0.07 * same / 4 + min(np.log1p(y.frequency) / 20, 0.05) + 0.15 * (x.norm == y.norm)
+            if s >= 0.55:
+                want[x.qid, y.entry_id] = min(s, 1.0)
+    assert sorted(got) == sorted(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 40
 
 
 def test_resolver_candidates_lose_none(spark):
-    """All entries that share a posting, by brute force."""
+    """All entries that share a posting, by brute force, when lengths alone are postings."""
     names = ["ABEL ONE", "ABLE TWO", "CAIN", "QQQQQQQQQQQQQQ", "ZED ONE"]
     lex = spark.createDataFrame([(k, "p", n, 1) for k, n in enumerate(names)], "entry_id long, category string, text string, frequency long")
-    q = spark.createDataFrame([(k, "p", n) for k, n in enumerate(("ABEL", "XONEX", "CANE"))], "qid long, category string, raw_text string")
+    q = spark.createDataFrame([(k, ["p"], n) for k, n in enumerate(("ABEL", "XONEX", "CANE"))], "qid long, categories array<string>, raw_text string")
     a, b = resolve.indexed(q, "raw_text"), resolve.indexed(lex, "text")
-    got = {tuple(r) for r in resolve.candidates(a, b).collect()}
+    got = {tuple(r) for r in resolve.candidates(a, b, every_length=True).collect()}
     for x in a.collect():
         for y in b.collect():
             share = x.norm == y.norm or set(x.toks) & set(y.toks) or set(x.codes) & set(y.codes) or set(x.grams) & set(y.grams) or abs(len(x.norm) - len(y.norm)) <= 3
@@ -89,11 +120,64 @@ def test_splits_do_not_leak(spark):
 
 
 def test_synthetic_records_are_coherent_and_repeatable(spark):
-    a, b = dataset.synthetic_records(spark, 300).collect(), dataset.synthetic_records(spark, 300).collect()
-    assert a == b and dataset.synthetic_records(spark, 300, seed=1).collect() != a
+    ids = spark.range(300)
+    a, b = dataset.synthetic_records(ids).collect(), dataset.synthetic_records(ids).collect()
+    assert a == b and dataset.synthetic_records(ids, seed=1).collect() != a
     assert all((r.spouse_full_name != "") == r.married and r.sum_assured == 20 * r.premium for r in a)
 
 
+def test_verified_values_use_matching_blocks(spark):
+    texts = ["Rahul Verma", "RAHUL", "verma rahul", "12 Rahool Verma", "nothing", "", "rahul verm"]
+    r = spark.createDataFrame([(1, 1, k, t, 0.5 + k / 20) for k, t in enumerate(texts)], "doc_id int, page_num int, region_id long, text string, confidence double")
+    values = ["Rahul Verma", "rahul varma", "Q", "other words"]
+    v = spark.createDataFrame([(1, 1, f"f{k}", t) for k, t in enumerate(values)] + [(2, 1, "f", "x")], "doc_id int, page_num int, field string, value string")
+    got = {(x.doc_id, x.value): x.best for x in match.verified_values(v, r).collect()}
+
+    def alike(a, b):
+        a, b = a.lower().strip(), b.lower().strip()
+        return 1.0 if a == b else 0.8 * min(len(a), len(b)) / max(len(a), len(b), 1) if a in b or b in a else SequenceMatcher(None, a, b).ratio()
+
+    for t in values:
+        assert abs(got[1, t] - max(alike(t, x) * (0.5 + k / 20) for k, x in enumerate(texts))) < 1e-9
+    assert got[2, "x"] == 0
+
+
+def test_titles_merge_into_charts(spark):
+    rows = [(1, 1, 1, "chart", 0.1, 0.2, 0.5, 0.6), (1, 1, 2, "title", 0.1, 0.12, 0.4, 0.17), (1, 1, 3, "title", 0.6, 0.9, 0.9, 0.95), (1, 1, 4, "chart", 0.1, 0.15, 0.5, 0.19), (1, 1, 5, "table", 0.1, 0.1, 0.2, 0.2), (1, 2, 6, "chart", 0.0, 0.0, 1.0, 1.0), (1, 3, 7, "chart", 0.2, 0.2, 0.6, 0.6), (1, 3, 8, "title", 0.25, 0.25, 0.3, 0.3), (1, 3, 9, "title", 0.25, 0.5, 0.3, 0.55)]
+    df = spark.createDataFrame(rows, "doc_id int, page_num int, det_id int, kind string, x1 double, y1 double, x2 double, y2 double")
+    got = {r.det_id: ((r.x1, r.y1, r.x2, r.y2), r.titles) for r in label.merged_with_titles(df).collect()}
+    assert got == {1: ((0.1, 0.12, 0.5, 0.6), [2]), 4: ((0.1, 0.15, 0.5, 0.19), []), 6: ((0.0, 0.0, 1.0, 1.0), []), 7: ((0.2, 0.2, 0.6, 0.6), [8, 9])}
+    assert label.merged_with_titles(df.limit(0)).count() == 0
+
+
+def test_vocabulary_is_met_by_sound_or_nearness(spark):
+    words = spark.createDataFrame([("Pune",), ("Nashik",), ("Kochi",), ("Cochin",), (None,)], "word string")
+    v = spark.createDataFrame([("pune ",), ("Nasik",), ("KOCHIN",), ("Zzz",), ("",), (None,)], "value string")
+    got = {r.value: (r.resolved, r.status) for r in label.fuzzy_lookup(v, words).collect()}
+    assert got == {"pune ": ("Pune", "verified"), "Nasik": ("Nashik", "verified"), "KOCHIN": ("Kochi", "verified"), "Zzz": ("Zzz", "original"), "": ("", "original"), None: (None, "original")}
+    sounds = {"THUMB": "0M", "KNIGHT": "NT", "PHASE": "FS", "SCHOOL": "SKL", "XENON": "SNN", "EDGE": "EJ", "NATION": "NXN", "WHITE": "WT", "CIA": "X", "BOX": "BKS"}
+    assert {w: label.metaphone(w) for w in sounds} == sounds
+
+
+def test_fixed_lists_are_bounded(spark):
+    with pytest.raises(ValueError, match="at most"):
+        fixed_rows(spark.range(MOST_ROWS + 1))
+
+
+def test_requested_fields(spark):
+    aliases = spark.createDataFrame([(1, "First Name", "first_name", True), (2, "photo", "photo", False)], "ord int, alias string, public_id string, supported boolean")
+    q = spark.createDataFrame([(1, "first-name, x", None), (2, None, None), (3, "photo", "surgical25")], "request_id int, fields string, bundle string")
+    got = {r.request_id: (r.field_ids, r.unknown) for r in label.requested_fields(q, aliases).collect()}
+    assert got == {1: (["first_name"], ["x"]), 2: (["first_name"], []), 3: (["first_name"], [])}
+
+
+def test_purge_only_when_told(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    assert files.purge(spark, str(tmp_path / "r"), str(tmp_path / "none")) == [str(tmp_path / "r")] and (tmp_path / "r").exists()
+    files.purge(spark, str(tmp_path / "r"), really=True)
+    assert not (tmp_path / "r").exists()
+
+
 def test_jsonl_and_csv(spark, tmp_path):
     p = str(tmp_path / "rows.jsonl")
     open(p, "w").write('{"id": "a", "n": 1}\n\n{bad\n{"id": "b", "n": null}\n')
@@ -129,7 +213,7 @@ def test_documents_and_renderer(spark, tmp_path):
         for b in batches:
             yield pd.DataFrame({"doc_id": b.path.str.rpartition("/")[2], "page_num": 1, "width": 10, "height": 20, "image": b.content})
 
-    assert files.rendered(found, render).count() == 2
+    assert files.rendered(found, render).count() == 2 and files.read_documents(spark, str(tmp_path), 1).count() == 1
 
 
 def test_results_round_trip(spark, tmp_path):
