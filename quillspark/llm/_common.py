@@ -12,8 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one Python step holds at a time; a longer document is a step of its own.
-STEP_BYTES = 4 << 20
+#: Bytes of text that one Python step holds at a time; a longer document is a step of its own. A step's arrays take some
+#: forty times as much, so this bounds a worker's memory.
+STEP_BYTES = 1 << 20
+#: The same for operators that return a row for each step and bucket, of which there should be few.
+GROUP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 
 from . import _common as C
 
-#: Slots for pieces that a worker remembers; it starts anew when 70 % are taken. Bounds its memory: 24 bytes a slot.
-SLOTS = 1 << 21
+#: Slots for pieces that a worker remembers, at first and at most: they double when 70 % are taken, and at most start
+#: anew. Bounds its memory: 24 bytes a slot.
+FIRST_SLOTS, SLOTS = 1 << 16, 1 << 20
 #: Pieces that go to the encoder at a time.
 MISSES = 50_000
 
@@ -90,6 +91,8 @@ class Coder:
         vocab = spec["model"]["vocab"]
         self.tokens: dict[int, bytes] = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items() if all(c in alphabet for c in t)}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        if any(x.get(k) for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("only added tokens that stand for their very strings are understood")
         pre = spec["pre_tokenizer"]
         if spec["normalizer"] or spec["post_processor"] or pre["type"] != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"]:
             raise ValueError("only byte-level tokenizers with the usual splitting pattern are understood")
@@ -104,13 +107,35 @@ class Coder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.checks = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
-        self.at, self.size = np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.uint32)
-        self.store, self.stored, self.taken = np.zeros(1 << 20, np.uint32), 0, 0
+        self._empty(FIRST_SLOTS)
+        self.store, self.stored = np.zeros(1 << 16, np.uint32), 0
+
+    def _empty(self, slots: int) -> None:
+        self.keys, self.checks = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.at, self.size = np.zeros(slots, np.uint32), np.zeros(slots, np.uint32)
+        self.taken = 0
+
+    def _room(self, new: int) -> bool:
+        """Doubles the slots until `new` more pieces fit; false if that is beyond the bound and all is forgotten."""
+        slots = len(self.keys)
+        while self.taken + new > 0.7 * slots and slots < SLOTS:
+            slots *= 2
+        if self.taken + new > 0.7 * slots:
+            self._forget()
+            return False
+        if slots > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            key, check, at, size = self.keys[old], self.checks[old], self.at[old], self.size[old]
+            self._empty(slots)
+            self._place(key, check, at, size)
+        return True
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
 
     def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Each piece's slot, or -1."""
-        slot = (key >> np.uint64(64 - 21)).astype(np.int64) & (SLOTS - 1)
+        slot, last = self._slot(key), len(self.keys) - 1
         out = np.full(len(key), -1, np.int64)
         left = np.arange(len(key))
         while len(left):
@@ -119,7 +144,7 @@ class Coder:
             same = (there == key[left]) & (self.checks[s] == check[left])
             out[left[same]] = s[same]
             left = left[~same & (there != 0)]
-            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+            slot[left] = (slot[left] + 1) & last
         return out
 
     def _add(self, key: np.ndarray, check: np.ndarray, ids: list[np.ndarray]) -> None:
@@ -130,8 +155,11 @@ class Coder:
         self.store[self.stored : self.stored + len(flat)] = flat
         at = self.stored + np.cumsum(sizes) - sizes
         self.stored += len(flat)
+        self._place(key, check, at, sizes)
+
+    def _place(self, key: np.ndarray, check: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> None:
         self.taken += len(key)
-        slot = (key >> np.uint64(64 - 21)).astype(np.int64) & (SLOTS - 1)
+        slot, last = self._slot(key), len(self.keys) - 1
         left = np.arange(len(key))
         while len(left):
             s = slot[left]
@@ -140,14 +168,14 @@ class Coder:
             won = free & (self.keys[s] == key[left]) & (self.checks[s] == check[left])
             self.at[s[won]], self.size[s[won]] = at[left[won]], sizes[left[won]]
             left = left[~won]
-            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+            slot[left] = (slot[left] + 1) & last
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and each text's number of ids. Null counts as empty."""
         listed = texts.to_pylist()
         alone: dict[int, np.ndarray] = {}
         for k, t in enumerate(listed):
-            if t and "<" in t and any(x in t for x in self.special):
+            if t and any(x in t for x in self.special):
                 alone[k] = self._alone(t)
         counts = np.zeros(len(listed), np.int64)
         for _ in range(2):
@@ -189,9 +217,9 @@ class Coder:
         if len(lost):
             _, one = np.unique(key[lost], return_index=True)
             new = lost[one]
-            if self.taken + len(new) > 0.7 * SLOTS:
-                self._forget()
+            if not self._room(len(new)):
                 _, new = np.unique(key, return_index=True)
+                self._room(len(new))
             for k in range(0, len(new), MISSES):
                 some = new[k : k + MISSES]
                 ids = self.encode_pieces(self, [data[a:b].tobytes().decode() for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)])
@@ -283,6 +311,17 @@ class ForcedCuts:
         return out
 
 
+_SHARED: dict[tuple[str, str], Coder] = {}
+
+
+def shared_coder(path: str, make: Callable[[], Callable], name: str) -> Coder:
+    """This worker's coder for a tokenizer file and a way to encode pieces: tasks of a worker follow one another."""
+    if (path, name) not in _SHARED:
+        _SHARED.clear()
+        _SHARED[path, name] = Coder(path, make())
+    return _SHARED[path, name]
+
+
 def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Ids of every whole text, and the text decoded from them: columns doc_id, ids (binary), decoded.
 
@@ -292,7 +331,7 @@ def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(tokenizer, ForcedCuts())
+        coder = shared_coder(tokenizer, ForcedCuts, "forced cuts")
         for b in C.steps(batches, "text"):
             ids, counts = coder.encode(b.column(1))
             raw = ids.astype("<u4").tobytes()
@@ -306,7 +345,7 @@ def digests(df: DataFrame, tokenizer: str) -> DataFrame:
     """For each document of encode_decode's kind: doc_id, n_tokens, and SHA-256 of ids and of the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(tokenizer, ForcedCuts())
+        coder = shared_coder(tokenizer, ForcedCuts, "forced cuts")
         for b in C.steps(batches, "text"):
             ids, counts = coder.encode(b.column(1))
             raw = ids.astype("<u4").tobytes()

@@ -165,7 +165,7 @@ def word_table(docs: DataFrame, groups: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained, other, home = Counter(), set(), None
-        for b in C.steps(batches, "text"):
+        for b in C.steps(batches, "text", C.GROUP_BYTES):
             home = b.column(0)[0].as_py() if home is None else home
             for i, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if held_out(i):
@@ -270,7 +270,7 @@ def score(docs: DataFrame, vocabulary: str, groups: int | None = None) -> DataFr
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heard, keys = [], None
-        for b in C.steps(batches, "text"):
+        for b in C.steps(batches, "text", C.GROUP_BYTES):
             if keys is None:
                 heard += [x.as_buffer().to_pybytes() for x in b.column(3).drop_null()]
                 b = b.filter(b.column(3).is_null())

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _common as C
-from .bpe import Coder, by_library
+from .bpe import by_library, shared_coder
 
 BLOCK = 128
 #: Share of a block's differences that the packed width must hold; the others are exceptions.
@@ -142,7 +142,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int, shards:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(tokenizer, by_library)
+        coder = shared_coder(tokenizer, lambda: by_library, "library")
         rest, at, docs, known, counts, blocks, n = np.zeros(0, np.uint32), 0, [], [], [], [], 0
 
         def section(ids: np.ndarray) -> bytes:

@@ -79,11 +79,15 @@ def test_forced_cuts_are_never_inside_a_token():
 
 
 def test_remembered_pieces_are_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "SLOTS", 1 << 21)
-    coder = bpe.Coder(T, bpe.by_library)
-    coder.taken = bpe.SLOTS  # the next new piece makes it start anew
-    ids, _ = coder.encode(pa.array(["hello brave new world"]))
-    assert ids.tolist() == ids_of("hello brave new world") and coder.taken < 10
+    monkeypatch.setattr(bpe, "FIRST_SLOTS", 16)
+    monkeypatch.setattr(bpe, "SLOTS", 256)
+    coder, sizes = bpe.Coder(T, bpe.by_library), set()
+    for k in range(100):  # 300 pieces: the table doubles, then starts anew
+        text = f"alpha{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]} {'abcdefghij'[k // 10] * 3}{'xyz'[k % 3]} b{'cdfg'[k % 4]}{'hjkl'[k // 25]}"
+        ids, _ = coder.encode(pa.array([text]))
+        sizes.add(len(coder.keys))
+        assert ids.tolist() == ids_of(text) and coder.taken <= 0.7 * len(coder.keys)
+    assert sizes == {16, 32, 64, 128, 256}
 
 
 def test_bpe_digests(docs, empty):
