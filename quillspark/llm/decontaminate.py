@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 WIDTH = 10
-#: Characters of items in one automaton; a larger benchmark is scanned for in blocks of this size.
-BLOCK_CHARS = 4_000_000
+#: Characters of items in one automaton, and in one broadcast; a larger benchmark is scanned for in blocks of this size.
+BLOCK_CHARS = 1_000_000
+#: Bytes of text that are scanned for all blocks, one after the other, if there are several: each automaton is built once for them.
+BLOCKS_STEP = 32 << 20
 
 _TABLE = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else 32 for b in range(256))
 _NORMAL = np.frombuffer(_TABLE, np.uint8) != 32
@@ -76,21 +78,22 @@ def hit_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(chars[s].tolist(), chars[e].tolist(), strict=True))
 
 
-def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[list[tuple[str, str]]]:
-    """The stated query set, in blocks of bounded size. Items of a null id or without words are left out."""
+def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[list[tuple[str, str]]]:
+    """The stated query set, in blocks of BLOCK_CHARS or one item, one at a time. Items of a null id or text are left out."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    blocks, size = [], BLOCK_CHARS
+    block, size = [], 0
     for r in rows.orderBy("i", "t").toLocalIterator():
-        if size + len(r.t) > BLOCK_CHARS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.i, r.t))
+        if block and size + len(r.t) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append((r.i, r.t))
         size += len(r.t)
-    return blocks
+    if block:
+        yield block
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[str] | None = None) -> DataFrame:
-    """Scans every whole text once for each block of the benchmark, one block unless it is very large.
+    """Scans every whole text with one automaton; a benchmark of over BLOCK_CHARS makes one for each block of its items.
 
     Returns the columns `keep` (doc_id by default), n_words, n_hit, n_items, items_sha256, contaminated and spans
     (start, end in code points of the original text). Null and empty texts have no words: zeros and no spans. An item
@@ -98,16 +101,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, kee
     benchmark hits nothing. Clashing names do no harm: only the named columns are read.
     """
     keep = keep or ["doc_id"]
-    blocks = item_blocks(benchmark)
-    bc = docs.sparkSession.sparkContext.broadcast(blocks)
+    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark)]  # each of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [automaton(b, width) for b in bc.value] if len(bc.value) < 2 else None
-        for b in C.steps(batches, "__text"):
+        only = automaton(blocks[0].value if blocks else [], width) if len(blocks) < 2 else None
+        for b in C.steps(batches, "__text", C.STEP_BYTES if len(blocks) < 2 else BLOCKS_STEP):
             texts = b.column(len(keep)).to_pylist()
             sums = [None] * len(texts)
-            for block in bc.value or [[]]:
-                a = (tables or [None])[0] if tables is not None else automaton(block, width)
+            for block in blocks or [None]:
+                a = only if len(blocks) < 2 else automaton(block.value, width)
                 for k, t in enumerate(texts):
                     n, hit, items = scan(a, t)
                     if sums[k] is None:
