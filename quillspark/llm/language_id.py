@@ -117,27 +117,40 @@ def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
     return np.log((c + 200 * mean) / (c.sum(1, keepdims=True) + 200)).astype(np.float32)
 
 
-def host_priors(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """A prior per host over the languages: array column prior, in the order of languages.
+#: The levels of a host's prior, from the host up.
+LEVELS = ("host", "domain", "suffix", "whole")
 
-    rows: host, declared. Counts per host and declared language, over all rows, are smoothed with the distribution of
-    the parent: the last two labels, then the suffix, then all rows, then even shares.
+
+def host_counts(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+    """Declared languages of each host, of its domain (the last two labels), of its suffix and of all rows: host and, for each level, an array of counts.
+
+    rows: host, declared. A host without a dot is its own domain and suffix. Counts are sums over all rows; hosts are
+    summed again for the levels above, so a hot host is one row there.
     """
     names = [f"c{k}" for k in range(len(languages))]
-    hosts = rows.where(F.col("host").isNotNull()).groupBy("host").agg(*(F.sum((F.col("declared") == lang).cast("long")).alias(n) for lang, n in zip(languages, names, strict=True)))
-    hosts = hosts.select("host", F.element_at(F.split("host", r"\."), -1).alias("suffix"), F.array_join(F.slice(F.split("host", r"\."), -2, 2), ".").alias("domain"), *(F.coalesce(n, F.lit(0)).alias(n) for n in names)) if names else hosts
-    hosts = hosts.withColumn("domain", F.when(F.instr("host", ".") > 0, F.col("domain")).otherwise(F.col("host")))
+    hosts = rows.where(F.col("host").isNotNull()).groupBy("host").agg(*(F.count_if(F.col("declared") == lang).alias(n) for lang, n in zip(languages, names, strict=True)))
+    parts = F.split("host", r"\.")
+    hosts = hosts.select("*", F.element_at(parts, -1).alias("suffix"), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), ".").alias("domain"))
+    listed = F.array(*names)
+    summed = lambda key: hosts.groupBy(key).agg(F.array(*(F.sum(n) for n in names)).alias(f"of_{key}"))
+    whole = hosts.agg(F.array(*(F.coalesce(F.sum(n), F.lit(0)) for n in names)).alias("of_whole"))
+    return hosts.select("host", "domain", "suffix", listed.alias("of_host")).join(summed("domain"), "domain").join(summed("suffix"), "suffix").crossJoin(F.broadcast(whole)).select("host", *(f"of_{k}" for k in LEVELS))  # whole is one row
 
-    def smoothed(counts: list[Column], parent: list[Column]) -> Column:
-        n = sum(counts[1:], counts[0])
-        return F.array(*((c + HOST_WEIGHT * p) / (n + HOST_WEIGHT) for c, p in zip(counts, parent, strict=True)))
 
-    sums = [F.sum(n).alias(n) for n in names]
-    whole = hosts.agg(*sums).select(smoothed([F.coalesce(n, F.lit(0)) for n in names], [F.lit(1 / len(languages))] * len(names)).alias("p_all"))
-    of = lambda col: [F.col(col)[k] for k in range(len(names))]
-    suffixes = hosts.groupBy("suffix").agg(*sums).crossJoin(F.broadcast(whole)).select("suffix", smoothed([F.col(n) for n in names], of("p_all")).alias("p_suffix"))  # whole is one row
-    domains = hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes, "suffix").select("domain", smoothed([F.col(n) for n in names], of("p_suffix")).alias("p_domain"))
-    return hosts.join(domains, "domain").select("host", smoothed([F.col(n) for n in names], of("p_domain")).alias("prior"))
+def prior_of(counts: list[list[int]], own: int | None = None) -> np.ndarray:
+    """A host's prior over the languages: counts of its levels, from the host up, each smoothed with the level above, the last with even shares.
+
+    own: the place of the language that the row itself declares, which is left out of all counts: a row's declaration is
+    evidence of its own and does not count twice.
+    """
+    p = np.full(len(counts[0]), 1 / len(counts[0]))
+    for level in reversed(counts):
+        c = np.asarray(level, np.float64)
+        if own is not None:
+            c = c.copy()
+            c[own] = max(c[own] - 1, 0)
+        p = (c + HOST_WEIGHT * p) / (c.sum() + HOST_WEIGHT)
+    return p
 
 
 def identify(docs: DataFrame, text: str, declared: Column | None = None, host: Column | None = None, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
@@ -147,50 +160,51 @@ def identify(docs: DataFrame, text: str, declared: Column | None = None, host: C
     languages and 'none of them', a class of even trigrams that a declared language outside the list speaks for. A text without letters
     (null, empty, marks only) has detected_lang null, posterior 0 and is not kept. Evidence that is missing adds
     nothing; equal posteriors go to the language first in the list. Repeated rows are judged
-    alike. Columns of docs named as the new ones are replaced.
+    alike, an empty table gives no rows. Columns of docs named as the new ones are replaced; any other names do.
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("detected_lang", "posterior", "kept")]
     none = F.lit(None).cast("string")
-    base = docs.select(*(F.col(f"`{c}`") for c in own), (none if declared is None else declared).alias("__declared"), (none if host is None else host).alias("__host"))
-    marked = docs.select(F.col(f"`{text}`").alias("text"), (none if declared is None else declared).alias("declared"), (none if host is None else host).alias("host"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(f"`{text}`").alias("text"), (none if declared is None else declared).alias("declared"), (none if host is None else host).alias("host"))
+    marked = packed.select("text", "declared", "host")
     table = spark.sparkContext.broadcast(fit(marked, languages))
     if host is None:
-        joined = base.withColumn("__prior", F.lit(None).cast("array<double>"))
+        joined = packed.select("row", "text", "declared", "host", *(F.lit(None).cast("array<long>").alias(f"of_{k}") for k in LEVELS))
     else:
-        priors = C.written(host_priors(marked.select("host", "declared"), languages), "host-priors").withColumnsRenamed({"host": "__host", "prior": "__prior"})
-        joined = base.join(C.broadcast_if_small(priors, priors.count(), BROADCAST_HOSTS), "__host", "left").select(*(F.col(f"`{c}`") for c in own), "__declared", "__host", "__prior")
+        counts = C.written(host_counts(marked.select("host", "declared"), languages), "host-counts")
+        joined = packed.join(C.broadcast_if_small(counts, counts.count(), BROADCAST_HOSTS), "host", "left").select("row", "text", "declared", "host", *(f"of_{k}" for k in LEVELS))
     n = len(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = table.value
-        for b in C.steps(batches, text):
-            names = b.schema.names
-            cols = [b.column(k).to_pylist() for k in (names.index(text), names.index("__declared"), names.index("__host"), names.index("__prior"))]
+        for b in C.steps(batches, "text"):
+            texts, said_by, hosts, *levels = (b.column(k).to_pylist() for k in range(1, 4 + len(LEVELS)))
             best, post = [], []
-            for t, d, h, prior in zip(*cols, strict=True):
+            for k, (t, d, h) in enumerate(zip(texts, said_by, hosts, strict=True)):
                 grams = trigrams(t)
                 if not len(grams):
                     best.append(None)
                     post.append(0.0)
                     continue
                 s = np.append(TEXT_WEIGHT * logp[:, grams].astype(np.float64).sum(1), -TEXT_WEIGHT * len(grams) * np.log(BUCKETS))
-                s += np.log([*((1 - UNKNOWN_PRIOR) * x for x in (prior if prior is not None else [1 / n] * n)), UNKNOWN_PRIOR])
-                suffix = SUFFIXES.get(h.rpartition(".")[2]) if h and "." in h else None
-                for said, right in ((primary(d), DECLARED_RIGHT), (suffix, SUFFIX_RIGHT)):
-                    if said in languages:
-                        s += np.log([right if x == said else (1 - right) / n for x in [*languages, None]])
-                    elif said:
+                said, suffix = primary(d), SUFFIXES.get(h.rpartition(".")[2]) if h and "." in h else None
+                counts = [x[k] for x in levels]
+                prior = np.full(n, 1 / n) if counts[0] is None else prior_of(counts, languages.index(d) if d in languages else None)
+                s += np.log([*((1 - UNKNOWN_PRIOR) * prior), UNKNOWN_PRIOR])
+                for code, right in ((said, DECLARED_RIGHT), (suffix, SUFFIX_RIGHT)):
+                    if code in languages:
+                        s += np.log([right if x == code else (1 - right) / n for x in [*languages, None]])
+                    elif code:
                         s += np.log([(1 - right) / n] * n + [right])
                 p = np.exp(s - s.max())
-                k = int(p[:n].argmax())
-                best.append(languages[k])
-                post.append(round(float(p[k] / p.sum()), 6))
+                i = int(p[:n].argmax())
+                best.append(languages[i])
+                post.append(round(float(p[i] / p.sum()), 6))
             kept = [x is not None and p >= MIN_POSTERIOR for x, p in zip(best, post, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in own), pa.array(best, pa.string()), pa.array(post, pa.float64()), pa.array(kept, pa.bool_())], [*own, "detected_lang", "posterior", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(post, pa.float64()), pa.array(kept, pa.bool_())], ["row", "detected_lang", "posterior", "kept"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return joined.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in own), "detected_lang string, posterior double, kept boolean"]))
+    shape = packed.schema["row"].dataType.simpleString()
+    return joined.mapInArrow(run, f"row {shape}, detected_lang string, posterior double, kept boolean").select("row.*", "detected_lang", "posterior", "kept")
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
