@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 #: White space between words.
 SPACES = r"[\x20\x09-\x0D]+"
-#: Lines of site furniture and notices.
-BOILERPLATE = r"(?i)all rights reserved|copyright (\(c\)|©)|privacy policy|terms of (use|service)|cookie (policy|settings)|enable javascript|(licensed|released) under (the|a|cc) |subscribe to our|sign (in|up) to|click here|lorem ipsum"
+#: Lines of site furniture and notices, in the corpus's languages; a parameter of line_fails.
+BOILERPLATE = (
+    r"(?i)all rights reserved|copyright (\(c\)|©)|privacy policy|terms of (use|service)|cookie (policy|settings)|enable javascript|(licensed|released) under (the|a|cc) |subscribe to our|sign (in|up) to|click here|lorem ipsum"
+    r"|alle rechte vorbehalten|datenschutzerkl|nutzungsbedingungen|cookie-einstellungen|newsletter abonnieren|hier klicken|lizenziert unter"
+    r"|todos los derechos reservados|política de (privacidad|cookies)|términos (de uso|y condiciones)|suscríb[ae]te a|haga clic aquí|bajo (la )?licencia"
+    r"|tous droits réservés|politique de confidentialité|conditions d.utilisation|gestion des cookies|abonnez-vous|cliquez ici|sous licence"
+)
 #: Marks between navigation links.
 SEPARATORS = "[|»›•]"
 #: Marks that prose hardly uses, for a line's share of them.
@@ -30,7 +35,7 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, boilerplate: str = BOILERPLATE) -> Column:
     """Punctuation, navigation and boilerplate rules; a line without words is left alone."""
     size = F.length(line)
     some = line.rlike(r"[^\x20\x09-\x0D]")
@@ -40,7 +45,7 @@ def line_fails(line: Column) -> Column:
         (noise * 100 > size * MAX_NOISE_PERCENT)  # punctuation: a line of marks
         | ~line.rlike(r"[A-Za-z0-9\x80-\x{10FFFF}]")  # punctuation: no letter or digit
         | ((bars >= MIN_SEPARATORS) & ~line.rlike(TERMINAL))  # navigation
-        | line.rlike(BOILERPLATE)
+        | line.rlike(boilerplate)
     )
 
 
