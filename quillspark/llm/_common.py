@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,13 +21,9 @@ GROUP_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; the session names it in spark.checkpoint.dir.
 
-    Only where the setting is missing, as in tests on one machine, a folder of our own is made and set.
+    Where the setting is missing, a folder in the warehouse, which they share too.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return root.rstrip("/")
 
 
@@ -80,10 +75,10 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
 
 
 def spread(df: DataFrame, per_task: int = 32 << 20, text: str = "text") -> int:
-    """A number of partitions by the size that the plan's statistics give: about per_task bytes of files each."""
+    """A number of partitions by the size that the plan's statistics give: about per_task bytes of files each, at any size."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     low = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(low, min(size // per_task + 1, 200_000))
+    return max(low, size // per_task + 1)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text"):

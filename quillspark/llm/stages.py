@@ -15,7 +15,11 @@ from .queries import TOKENIZER, table
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is found among the accepted ones; their other columns stay as they were."""
+    """Rows whose language is found among the accepted ones; their other columns stay as they were, whatever their names.
+
+    Null and empty texts, those without letters, and those of other languages go. Repeated rows are judged alike; an empty
+    table gives no rows.
+    """
     names = docs.columns
     own = [f"__c{k}" for k in range(len(names))]
     marked = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)), "text", "lang", "source")
@@ -24,17 +28,23 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, as minhash.first_of_classes says: texts without words, null ones too, all stay.
+
+    Of equal ids and texts one row stays; an empty table gives no rows.
+    """
     return minhash.first_of_classes(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no benchmark window occurs."""
+    """Rows in which no benchmark window occurs. Null and empty texts stay, repeated rows too; an empty table gives no rows."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind; n_chars follows the text where there is such a column."""
+    """Texts with personal data replaced by its kind; n_chars follows the text where there is such a column.
+
+    Null texts stay null, empty ones empty; every row stays.
+    """
     out = pii.redact(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -43,7 +53,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of ids and of the decoded text."""
+    """doc_id, n_tokens, and the SHA-256 of ids and of the decoded text; a null text counts as empty; a row for every row."""
     return bpe.digests(docs, TOKENIZER)
 
 
