@@ -1,7 +1,10 @@
-"""Lists that belong to a form and not to its data."""
+"""Lists that belong to a form and not to its data, and work on one page at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 
 #: Rows that a fixed list may have.
@@ -14,3 +17,17 @@ def fixed_rows(df: DataFrame) -> list[Row]:
     if len(rows) > MOST_ROWS:
         raise ValueError(f"a fixed list has at most {MOST_ROWS} rows")
     return rows
+
+
+def page_by_page(df: DataFrame, page: Callable[[pd.DataFrame], pd.DataFrame], schema: str, *keys: str) -> DataFrame:
+    """The rows that `page` returns for the rows of each page_num (and further keys) of each doc_id.
+
+    A form has few pages, and a page few regions; a group of Arrow data costs more than the work on one of them. So
+    documents are the groups, and are cut into pages where they arrive.
+    """
+
+    def document(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [page(p) for _, p in rows.groupby(["page_num", *keys], sort=False, dropna=False)]
+        return pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
+
+    return df.groupBy("doc_id").applyInPandas(document, schema)

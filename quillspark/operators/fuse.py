@@ -110,45 +110,58 @@ def _iou(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
 
 
 def nms(detections: DataFrame, threshold: float = 0.45, agnostic: bool = False) -> DataFrame:
-    """detections(doc_id, page_num, label, det_id, score, x1..y2) without those that overlap a surer one kept before.
+    """detections(doc_id, page_num, label, det_id, score, x1..y2) without those that overlap a surer one of their page (and label) kept before.
 
-    A page's detections are few and the choice is sequential, so each page (and label) is one Arrow group.
+    A page's detections are few and the choice is sequential; a document is one Arrow group, its pages are slices of it.
     """
-
-    def page(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["score", "det_id"], ascending=[False, True])
-        boxes, left, keep = df[["x1", "y1", "x2", "y2"]].to_numpy(float), np.arange(len(df)), []
-        while len(left):
-            keep.append(left[0])
-            left = left[1:][_iou(boxes[left[0]], boxes[left[1:]]) <= threshold]
+    keys = ["page_num"] if agnostic else ["page_num", "label"]
+
+    def document(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values([*keys, "score", "det_id"], ascending=[True] * len(keys) + [False, True])
+        boxes, keep = df[["x1", "y1", "x2", "y2"]].to_numpy(float), []
+        code = df.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        for left in np.split(np.arange(len(df)), np.flatnonzero(np.diff(code)) + 1):
+            while len(left):
+                keep.append(left[0])
+                left = left[1:][_iou(boxes[left[0]], boxes[left[1:]]) <= threshold] if len(left) > 1 else left[1:]
         return df.iloc[keep]
 
-    return detections.groupBy("doc_id", "page_num", *([] if agnostic else ["label"])).applyInPandas(page, detections.schema)
+    return detections.groupBy("doc_id").applyInPandas(document, detections.schema)
 
 
 def fuse_boxes(detections: DataFrame, threshold: float = 0.5, least: float = 0.0) -> DataFrame:
-    """Weighted box fusion per page and label: clusters by the best overlap with a cluster's fused box, in score order."""
-
-    def page(df: pd.DataFrame) -> pd.DataFrame:
-        df = df[df.score >= least].sort_values(["score", "det_id"], ascending=[False, True])
-        fused: list[np.ndarray] = []
-        members: list[list[np.ndarray]] = []
-        for row in df[["x1", "y1", "x2", "y2", "score"]].to_numpy(float):
-            if fused:
-                overlap = _iou(row[:4], np.asarray(fused))
-                k = int(overlap.argmax())
-                if overlap[k] > threshold:
-                    members[k].append(row)
-                    m = np.asarray(members[k])
-                    fused[k] = (m[:, :4] * m[:, 4:]).sum(0) / m[:, 4].sum()
-                    continue
-            fused.append(row[:4])
-            members.append([row])
-        head = df.iloc[:1]
-        return pd.DataFrame([{"doc_id": head.doc_id.iat[0], "page_num": head.page_num.iat[0], "label": head.label.iat[0], "cluster": k, "score": float(np.mean([r[4] for r in m])), "n": len(m), **dict(zip(("x1", "y1", "x2", "y2"), map(float, b), strict=True))} for k, (b, m) in enumerate(zip(fused, members, strict=True))], columns=["doc_id", "page_num", "label", "cluster", "score", "n", "x1", "y1", "x2", "y2"])
+    """Weighted box fusion per page and label: clusters by the best overlap with a cluster's fused box, in score order.
+
+    A document is one Arrow group, its pages are slices of it.
+    """
+
+    def clusters(rows: np.ndarray) -> list[tuple[int, float, int, np.ndarray]]:
+        fused, weight, mean, n = np.zeros((len(rows), 4)), np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows), int)
+        m = 0
+        for row in rows:
+            k = m
+            if m:
+                overlap = _iou(row[:4], fused[:m])
+                best = int(overlap.argmax())
+                k = best if overlap[best] > threshold else m
+            if k == m:
+                m += 1
+            total = weight[k] + row[4]
+            fused[k] = row[:4] if not n[k] else (fused[k] * weight[k] + row[:4] * row[4]) / total if total else fused[k]
+            weight[k], mean[k], n[k] = total, mean[k] + row[4], n[k] + 1
+        return [(k, float(mean[k] / n[k]), int(n[k]), fused[k]) for k in range(m)]
+
+    def document(df: pd.DataFrame) -> pd.DataFrame:
+        df = df[df.score >= least].sort_values(["page_num", "label", "score", "det_id"], ascending=[True, True, False, True])
+        rows, out = df[["x1", "y1", "x2", "y2", "score"]].to_numpy(float), []
+        code = df.groupby(["page_num", "label"], sort=False, dropna=False).ngroup().to_numpy()
+        doc, page, label = (df[c].to_numpy() for c in ("doc_id", "page_num", "label"))
+        for at in np.split(np.arange(len(df)), np.flatnonzero(np.diff(code)) + 1) if len(df) else []:
+            out += [(doc[at[0]], page[at[0]], label[at[0]], k, score, n, *map(float, box)) for k, score, n, box in clusters(rows[at])]
+        return pd.DataFrame(out, columns=["doc_id", "page_num", "label", "cluster", "score", "n", "x1", "y1", "x2", "y2"])
 
     kinds = dict(detections.dtypes)
-    return detections.groupBy("doc_id", "page_num", "label").applyInPandas(page, f"doc_id {kinds['doc_id']}, page_num {kinds['page_num']}, label {kinds['label']}, cluster int, score double, n int, x1 double, y1 double, x2 double, y2 double")
+    return detections.groupBy("doc_id").applyInPandas(document, f"doc_id {kinds['doc_id']}, page_num {kinds['page_num']}, label {kinds['label']}, cluster int, score double, n int, x1 double, y1 double, x2 double, y2 double")
 
 
 def stable_zone(zones: DataFrame, boxes: DataFrame, by: list[str], width: int, height: int) -> DataFrame:

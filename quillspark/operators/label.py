@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from .fixed import fixed_rows
+from .fixed import fixed_rows, page_by_page
 
 # Bonuses by where a value stands to its label.
 INSIDE, RIGHT, BELOW_RIGHT, BELOW = 0.35, 0.30, 0.20, 0.10
@@ -26,7 +26,7 @@ def _prefix(a: str, b: str, most: int = 4) -> int:
 
 
 def jaro(a: str, b: str, transpositions: bool = True) -> float:
-    """Jaro similarity; without transpositions the third part counts as 1."""
+    """Jaro similarity, half an odd number of transpositions rounded down; without transpositions the third part counts as 1."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -43,7 +43,7 @@ def jaro(a: str, b: str, transpositions: bool = True) -> float:
     if not m:
         return 0.0
     order = [j for _, j in hits]
-    swapped = sum(a[i] != b[j] for (i, _), j in zip(hits, sorted(order), strict=True)) / 2 if transpositions else 0
+    swapped = sum(a[i] != b[j] for (i, _), j in zip(hits, sorted(order), strict=True)) // 2 if transpositions else 0
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
 
 
@@ -193,14 +193,14 @@ def merged_with_titles(boxes: DataFrame, kinds: tuple[str, ...] = ("chart",), mo
             out.append((o.doc_id, o.page_num, o.det_id, *map(float, box), names[taken].tolist()))
         return pd.DataFrame(out, columns=["doc_id", "page_num", "det_id", "x1", "y1", "x2", "y2", "titles"])
 
-    return boxes.groupBy("doc_id", "page_num").applyInPandas(page, f"doc_id {ids['doc_id']}, page_num {ids['page_num']}, det_id {ids['det_id']}, x1 double, y1 double, x2 double, y2 double, titles array<{ids['det_id']}>")
+    return page_by_page(boxes, page, f"doc_id {ids['doc_id']}, page_num {ids['page_num']}, det_id {ids['det_id']}, x1 double, y1 double, x2 double, y2 double, titles array<{ids['det_id']}>")
 
 
 def label_values(regions: DataFrame, labels: DataFrame) -> DataFrame:
     """regions(doc_id, page_num, region_id, text, confidence, x1..y2), labels(ord, field, pattern): one value per field.
 
     A field's label is the region that holds its pattern with most confidence times length; fields choose in order of
-    ord, and each value goes once. The choice is sequential, so each page, a few dozen regions, is one Arrow group.
+    ord, and each value goes once. The choice is sequential, so pages, a few dozen regions each, are cut from their document's Arrow group.
     """
     listed = [(r.field, r.pattern) for r in sorted(fixed_rows(labels.select("ord", "field", "pattern")))]
     fields: dict[str, list[str]] = {}
@@ -243,7 +243,7 @@ def label_values(regions: DataFrame, labels: DataFrame) -> DataFrame:
             out.append((df.doc_id[0], df.page_num[0], field, df.region_id[k], df.region_id[v], df.text[v], float(s[v])))
         return pd.DataFrame(out, columns=["doc_id", "page_num", "field", "label_id", "region_id", "value", "score"])
 
-    return regions.groupBy("doc_id", "page_num").applyInPandas(page, f"doc_id {kinds['doc_id']}, page_num {kinds['page_num']}, field string, label_id long, region_id long, value string, score double")
+    return page_by_page(regions, page, f"doc_id {kinds['doc_id']}, page_num {kinds['page_num']}, field string, label_id long, region_id long, value string, score double")
 
 
 def cell_leads(cells: DataFrame, labels: DataFrame) -> DataFrame:
@@ -313,7 +313,7 @@ def titles_of(boxes: DataFrame, most: float = 0.1) -> DataFrame:
     """boxes(doc_id, page_num, det_id, kind, x1..y2 in shares of the page): each title's table or chart, greedily.
 
     Distance is vertical plus half the horizontal gap; an overlap of over a quarter of the title makes it 0, a title
-    inside a chart counts ten times. Tables choose first; nothing is used twice. A page is one Arrow group.
+    inside a chart counts ten times. Tables choose first; nothing is used twice.
     """
     kinds = dict(boxes.dtypes)
 
@@ -342,14 +342,14 @@ def titles_of(boxes: DataFrame, most: float = 0.1) -> DataFrame:
                     out.append((df.doc_id.iat[0], df.page_num.iat[0], o, t, d))
         return pd.DataFrame(out, columns=["doc_id", "page_num", "det_id", "title_id", "distance"])
 
-    return boxes.groupBy("doc_id", "page_num").applyInPandas(page, f"doc_id {kinds['doc_id']}, page_num {kinds['page_num']}, det_id long, title_id long, distance double")
+    return page_by_page(boxes, page, f"doc_id {kinds['doc_id']}, page_num {kinds['page_num']}, det_id long, title_id long, distance double")
 
 
 def widened(boxes: DataFrame, ratio: float = 0.1) -> DataFrame:
     """Boxes of a page widened by a share of their size, then drawn back where two that were apart would overlap.
 
-    The earlier box (by det_id) takes the gap first, and none is cut into its old self: the order matters, so a page is
-    one Arrow group.
+    The earlier box (by det_id) takes the gap first, and none is cut into its old self: the order matters, so this works
+    page by page.
     """
 
     def page(df: pd.DataFrame) -> pd.DataFrame:
@@ -377,4 +377,4 @@ def widened(boxes: DataFrame, ratio: float = 0.1) -> DataFrame:
         df[["x1", "y1", "x2", "y2"]] = new
         return df
 
-    return boxes.groupBy("doc_id", "page_num").applyInPandas(page, boxes.schema)
+    return page_by_page(boxes, page, boxes.schema)

@@ -53,7 +53,11 @@ def j8(spark, sf):
     return cells.join(grid, ["r", "c"]).select("region_id", "field")
 
 
-@query("j10_fuzzy_label_fields")
+@query(
+    "j10_fuzzy_label_fields",
+    """WITH k AS (SELECT * FROM (VALUES (1, 'small brass', 'brass'), (2, 'steel', 'steel'), (3, 'economy', 'economy'), (4, 'standrd', 'standard')) t(ord, keyword, field)), m AS (SELECT DISTINCT p_type AS label, ord, field, CASE WHEN contains(lower(p_type), keyword) THEN 0.9 ELSE jaro_winkler_similarity(lower(p_type), keyword) END AS s, contains(lower(p_type), keyword) AS inside FROM part, k)
+ SELECT label, field, CAST(round(1e6 * s) AS BIGINT) AS score_e6 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, ord) AS rn FROM m WHERE inside OR s > 0.85) WHERE rn = 1""",
+)
 def j10(spark, sf):
     k = spark.createDataFrame([(1, "small brass", "brass"), (2, "steel", "steel"), (3, "economy", "economy"), (4, "standrd", "standard")], "ord int, keyword string, field string")
     return label.label_fields(table(spark, sf, "part").select(F.col("p_type").alias("label")), k).select("label", "field", e6("score").alias("score_e6"))
@@ -71,7 +75,16 @@ def j12(spark, sf):
     return out.select(F.col("doc_id").alias("conv_id"), F.md5(F.col("value").cast("binary")).alias("value"))
 
 
-@query("j17_title_assignment")
+@query(
+    "j17_title_assignment",
+    """WITH RECURSIVE r AS (SELECT doc_id, page_num, region_id, region_id % 3 AS kind, x1 / CAST(1100 AS DOUBLE) AS x1, y1 / CAST(1400 AS DOUBLE) AS y1, x2 / CAST(1100 AS DOUBLE) AS x2, y2 / CAST(1400 AS DOUBLE) AS y2 FROM v_region),
+ p AS (SELECT o.doc_id, o.page_num, o.kind, o.region_id AS o, t.region_id AS t, greatest(o.y1 - t.y2, t.y1 - o.y2, 0) AS dy, greatest(o.x1 - t.x2, t.x1 - o.x2, 0) AS dx, greatest(least(o.x2, t.x2) - greatest(o.x1, t.x1), 0) * greatest(least(o.y2, t.y2) - greatest(o.y1, t.y1), 0) / greatest((t.x2 - t.x1) * (t.y2 - t.y1), 1e-9) AS share FROM r o JOIN r t ON o.doc_id = t.doc_id AND o.page_num = t.page_num WHERE o.kind > 0 AND t.kind = 0),
+ q AS (SELECT *, CASE WHEN kind = 2 AND share > 0.9 THEN (dy + dx / 2 + 0.01) * 10 WHEN share > 0.25 THEN 0 ELSE dy + dx / 2 END AS d FROM p),
+ k AS (SELECT doc_id, page_num, o, t, d, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY kind, d, o, t) AS k FROM q WHERE d < 0.1),
+ w AS (SELECT doc_id, page_num, k, [o] AS os, [t] AS ts, true AS took FROM k WHERE k = 1
+  UNION ALL SELECT k.doc_id, k.page_num, k.k, CASE WHEN list_contains(w.os, k.o) OR list_contains(w.ts, k.t) THEN w.os ELSE list_append(w.os, k.o) END, CASE WHEN list_contains(w.os, k.o) OR list_contains(w.ts, k.t) THEN w.ts ELSE list_append(w.ts, k.t) END, NOT (list_contains(w.os, k.o) OR list_contains(w.ts, k.t)) FROM w JOIN k ON k.doc_id = w.doc_id AND k.page_num = w.page_num AND k.k = w.k + 1)
+ SELECT k.doc_id, k.page_num, k.o AS det_id, k.t AS title_id, CAST(round(1e6 * k.d) AS BIGINT) AS distance_e6 FROM k JOIN w ON k.doc_id = w.doc_id AND k.page_num = w.page_num AND k.k = w.k WHERE w.took""",
+)
 def j17(spark, sf):
     k = F.col("region_id") % 3
     r = regions(spark, sf).select("doc_id", "page_num", F.col("region_id").alias("det_id"), F.when(k == 0, "title").when(k == 1, "table").otherwise("chart").alias("kind"), *((F.col(c) / F.lit(1100.0 if c[0] == "x" else 1400.0)).alias(c) for c in ("x1", "y1", "x2", "y2")))
@@ -176,9 +189,14 @@ def s6(spark, sf):
     return view(spark, sf, "v_query").select("qid", F.transform(X.tokens(X.name_key(F.col("raw_text"))), X.soundex).alias("codes")).select("qid", F.array_join("codes", " ").alias("codes"))
 
 
-@query("s13_jaro_winkler")
+@query("s13_jaro_winkler", "SELECT qid, CAST(round(1e6 * jaro_winkler_similarity(raw_text, truth)) AS BIGINT) AS jw_e6 FROM v_query")
 def s13(spark, sf):
-    return view(spark, sf, "v_query").select("qid", e6(label.jaro_winkler_udf("raw_text", "truth")).alias("jw_e6"), e6(label.boosted_ratio("raw_text", "truth")).alias("boosted_e6"))
+    return view(spark, sf, "v_query").select("qid", e6(label.jaro_winkler_udf("raw_text", "truth")).alias("jw_e6"))
+
+
+@query("s13_boosted_ratio")
+def s13_boosted(spark, sf):
+    return view(spark, sf, "v_query").select("qid", e6(label.boosted_ratio("raw_text", "truth")).alias("boosted_e6"))
 
 
 @query("s14_fuzzy_vocabulary")

@@ -162,7 +162,14 @@ def fu6(spark, sf):
     return out.select("doc_id", "page_num", "label", "cluster", "n", e6("score").alias("score_e6"), e6("x1").alias("x1_e6"))
 
 
-@query("fu7_nms")
+@query(
+    "fu7_nms",
+    """WITH RECURSIVE d AS (SELECT doc_id, page_num, region_id % 4 AS label, region_id AS det_id, {'a': CAST(x1 AS DOUBLE), 'b': CAST(y1 AS DOUBLE), 'c': CAST(x2 AS DOUBLE), 'd': CAST(y2 AS DOUBLE), 'i': region_id} AS box, row_number() OVER (PARTITION BY doc_id, page_num, region_id % 4 ORDER BY confidence_bp DESC, region_id) AS k FROM v_region),
+ w AS (SELECT doc_id, page_num, label, k, [box] AS kept FROM d WHERE k = 1
+  UNION ALL SELECT d.doc_id, d.page_num, d.label, d.k, CASE WHEN len(list_filter(list_transform(w.kept, lambda q: {'s': greatest(least(q.c, d.box.c) - greatest(q.a, d.box.a), 0) * greatest(least(q.d, d.box.d) - greatest(q.b, d.box.b), 0), 't': (q.c - q.a) * (q.d - q.b) + (d.box.c - d.box.a) * (d.box.d - d.box.b)}), lambda z: z.s / greatest(z.t - z.s, 1e-9) > 0.3)) = 0 THEN list_append(w.kept, d.box) ELSE w.kept END
+   FROM w JOIN d ON d.doc_id = w.doc_id AND d.page_num = w.page_num AND d.label = w.label AND d.k = w.k + 1),
+ l AS (SELECT doc_id, page_num, label, arg_max(kept, k) AS kept FROM w GROUP BY 1, 2, 3) SELECT doc_id, page_num, label, unnest(kept).i AS det_id FROM l""",
+)
 def fu7(spark, sf):
     return fuse.nms(detections(spark, sf), 0.3).select("doc_id", "page_num", "label", "det_id")
 
@@ -306,9 +313,6 @@ def w3(spark, sf):
     return match.rows_by_gap(regions(spark, sf)).select("region_id", "row_no")
 
 
-_SQL["w3_rows_by_gap"] = _SQL["w3_rows_by_gap"].replace("WITH ", "WITH RECURSIVE ", 1).replace(", RECURSIVE o AS", ", o AS", 1)
-
-
 @query(
     "j22_contained_box_anti_join",
     """SELECT a.region_id FROM v_region a WHERE NOT EXISTS (SELECT 1 FROM v_region b WHERE a.doc_id = b.doc_id AND a.page_num = b.page_num AND a.region_id <> b.region_id AND b.x1 <= a.x1 AND b.y1 <= a.y1 AND b.x2 >= a.x2 AND b.y2 >= a.y2

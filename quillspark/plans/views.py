@@ -74,4 +74,7 @@ def with_views(sql: str) -> str:
     if not heads:
         return sql
     body = sql.strip()
-    return f"WITH {heads}, {body[4:].lstrip()}" if body.upper().startswith("WITH") else f"WITH {heads} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{heads}, {body[len(start) :]}"
+    return f"WITH {heads} {body}"
