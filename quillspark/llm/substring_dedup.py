@@ -6,8 +6,10 @@ A hit's neighbourhood is then extended: all windows of WIDTH words around hits a
 of equal neighbours is a maximal exact repeat. What is found in a smaller doc_id goes.
 
 Nothing is paired: blocks, probes and windows meet in buckets of their hashes, each bucket holds the least document of a
-hash, and only hits come back. Probes travel packed, some 7 bytes each. A passage in a third of all documents is a
-few hashes in a few buckets with one entry per occurrence.
+hash, and only hits come back. Probes travel packed, some 7 bytes each. What the documents read together (GROUP_BYTES)
+already settle among themselves is combined before the shuffle: of a passage that many of them share a bucket gets two
+entries, and the other places go straight to their documents. So a passage in a third of all documents does not gather in
+one bucket with all its occurrences, but with two for each such group.
 """
 
 from __future__ import annotations
@@ -125,6 +127,35 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2].astype("<u4").tobytes() for x in out], pa.binary())], ["doc", "row", "places"])
 
 
+def _settled(doc: np.ndarray, row: np.ndarray, place: np.ndarray, groups: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Places that are known to be hits, as rows of _SCHEMA: they pass a bucket, dealt by their documents, unread."""
+    for b in _mentions(doc, row, place, groups):
+        home = np.asarray(b.column(0))
+        marked = [b"m" + p for p in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(home % buckets, pa.int32()), b.column(1), b.column(2), pa.array(marked, pa.binary()), pa.array([b""] * len(home), pa.binary()), pa.array([int(h).to_bytes(4, "little") for h in home], pa.binary())], ["bucket", "docs", "counts", "places", "blocks", "hashes"])
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
+    """A bucket's rows: mentions that were settled before, as rows of _MENTIONS, and entries."""
+    settled, entries = [], []
+    for b in batches:
+        known = np.asarray([p[:1] == b"m" for p in b.column(3).to_pylist()], bool)
+        if known.any():
+            k = b.filter(pa.array(known))
+            settled.append(pa.RecordBatch.from_arrays([pa.array([int.from_bytes(h, "little") for h in k.column(5).to_pylist()], pa.int32()), k.column(1), k.column(2), pa.array([p[1:] for p in k.column(3).to_pylist()], pa.binary())], ["home", "docs", "counts", "places"]))
+        if not known.all():
+            entries.append(b.filter(pa.array(~known)))
+    return settled, entries
+
+
+def _least_by(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by key, then document; where each key begins; and the number of each entry's key, in that order."""
+    order = np.lexsort((doc, key))
+    k = key[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def _entries(bucket_rows: Iterator[pa.RecordBatch], width: int):
     got = [_unpacked(b, width) for b in bucket_rows if b.num_rows]
     return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else None
@@ -166,10 +197,23 @@ def repeats(docs: DataFrame, groups: int | None = None, texts: bool = True) -> D
             ids = np.asarray(b.column(0), np.int64)
             h, place = h[at], at - w.first[doc]
             payload = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
-            yield from _rows(((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), ids[doc], np.zeros(len(doc), np.int64), place, payload, place % BLOCK == 0, buckets)
+            bucket, ids, block, none = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), ids[doc], place % BLOCK == 0, np.zeros(len(doc), np.int64)
+            # A key with a reference block and two documents here is a hit wherever it occurs: its first and last entry speak for all.
+            order, at, nth = _least_by((h & np.uint64((1 << 40) - 1)) | (bucket.astype(np.uint64) << np.uint64(40)), ids)
+            end = np.append(at[1:], len(order))
+            sure = np.logical_or.reduceat(block[order], at) & (ids[order[at]] < ids[order[end - 1]])
+            spoken, speaker = sure[nth], np.zeros(len(order), bool)
+            speaker[at], speaker[end - 1] = True, True
+            block = block.copy()
+            block[order[spoken & speaker]] = True
+            known, sent = order[spoken & ~speaker], np.sort(order[~spoken | speaker])
+            yield from _settled(ids[known], none[known], place[known], groups, buckets)
+            yield from _rows(bucket[sent], ids[sent], none[sent], place[sent], payload[sent], block[sent], buckets)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _entries(batches, HASH_BYTES)
+        settled, entries = _apart(batches)
+        yield from settled
+        got = _entries(iter(entries), HASH_BYTES)
         if got is None:
             return
         bucket, doc, row, place, block, payload = got
@@ -211,10 +255,18 @@ def repeats(docs: DataFrame, groups: int | None = None, texts: bool = True) -> D
             one, two = (C.windows(w.hashes(s), WIDTH)[at] for s in (0, 1))
             ids, keys = np.asarray(b.column(0), np.int64), np.asarray(b.column(3), np.int64)
             payload = np.ascontiguousarray(np.stack([one, two], 1).astype("<u8").view(np.uint8).reshape(-1, 16)[:, :LONG_HASH_BYTES])
-            yield from _rows(((one >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), ids[doc], keys[doc], at - w.first[doc], payload, None, buckets)
+            bucket, ids, keys, place = ((one >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), ids[doc], keys[doc], at - w.first[doc]
+            # What begins here in a smaller document goes; the least document of each window here speaks for it.
+            order, first, nth = _least_by(one ^ C.mixed(two), ids)
+            later_here = ids[order] > ids[order[first]][nth]
+            known, sent = order[later_here], np.sort(order[~later_here])
+            yield from _settled(ids[known], keys[known], place[known], groups, buckets)
+            yield from _rows(bucket[sent], ids[sent], keys[sent], place[sent], payload[sent], None, buckets)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _entries(batches, LONG_HASH_BYTES)
+        settled, entries = _apart(batches)
+        yield from settled
+        got = _entries(iter(entries), LONG_HASH_BYTES)
         if got is None:
             return
         _, doc, row, place, _, payload = got

@@ -216,6 +216,22 @@ def test_substring_dedup(spark, docs, empty):
     assert rows_of(substring_dedup.repeats(many, 3).drop("kept_text")) == run_sql(substring_dedup.ORACLE_SQL, many)
 
 
+def test_substring_dedup_of_a_passage_in_every_document(spark):
+    r = random.Random(17)
+    passage = [f"p{k}" for k in range(70)]
+    rows = []
+    for k in range(240):
+        own = [f"x{r.randint(0, 10**6)}" for _ in range(r.randint(0, 60))]
+        cut = r.randint(0, len(own))
+        rows.append((k // 2 if k % 40 == 0 else k, " ".join(own[:cut] + passage[: r.choice([49, 50, 70])] + own[cut:] + ["y"] * r.choice([0, 0, 120]))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring_dedup.repeats(df, groups=5).drop("kept_text", "text")
+    assert rows_of(got.select("doc_id", "kept_sha256", "n_removed", "n_words")) == run_sql(substring_dedup.ORACLE_SQL, df)
+    doc = np.repeat(np.arange(240), 2)
+    order, at, nth = substring_dedup._least_by(np.tile([7, 9], 240).astype(np.uint64), doc)
+    assert at.tolist() == [0, 240] and doc[order[at]].tolist() == [0, 0] and nth.tolist() == [0] * 240 + [1] * 240
+
+
 def test_quality(docs, empty):
     assert rows_of(quality.judge(docs)) == run_sql(quality.ORACLE_SQL, docs)
     assert quality.judge(empty).count() == 0
