@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import dataset, fuse, label, match, resolve
 from quillspark.operators.fixed import MOST_ROWS, fixed_rows
 from quillspark.sources import files
+from quillspark.sources.desk import Desk
 from quillspark.streaming import review
 
 BOX = "doc_id long, page_num int, label int, det_id long, score double, x1 double, y1 double, x2 double, y2 double"
@@ -244,3 +245,22 @@ def test_majority_and_tiles_on_odd_input(spark):
     out = fuse.majority_vote(v).collect()
     assert [(r.id, r.value, round(r.confidence, 6)) for r in out] == [("b", "x", round(0.6 * (0.7 + 0.3 * 2 / 3), 6))]
     assert fuse.majority_vote(v.limit(0)).count() == 0
+
+
+def test_desk(spark, tmp_path):
+    d = Desk(spark, str(tmp_path / "desk"))
+    assert d.results().count() == 0 and d.log().count() == 0 and d.purge() == []
+    d.upload(spark.createDataFrame([("a", "f1"), ("b", "f2"), ("a", "f3")], "doc_id string, path string"))
+
+    def extract(uploads):
+        return uploads.select("doc_id", F.lit(1).alias("page_num"), F.lit("name").alias("field_name"), F.col("path").alias("value"), F.lit(0.5).alias("confidence"), F.lit("Needs Review").alias("category"))
+
+    d.process(extract)
+    d.process(extract, spark.createDataFrame([("b",)], "doc_id string"))
+    assert d.results().count() == 2 and d.to_review().count() == 2 and d.results("b").first().value == "f2"
+    d.review(spark.createDataFrame([("a", "name", "Asha", "me")], "doc_id string, field_name string, new_value string, reviewer string"))
+    a = d.results("a").first()
+    assert (a.value, a.confidence, a.reviewer) == ("Asha", 1.0, "me") and [r.doc_id for r in d.to_review().collect()] == ["b"]
+    assert d.log(2).count() == 2 and len(d.purge()) == 4 and d.results().count() == 2
+    d.purge(really=True)
+    assert d.results().count() == 0
