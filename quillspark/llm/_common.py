@@ -81,6 +81,14 @@ def spread(df: DataFrame, per_task: int = 32 << 20, text: str = "text") -> int:
     return max(low, size // per_task + 1)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names for columns of our own that no column of the input has, whatever their case."""
+    lead = "__"
+    while any(c.lower().startswith(lead) for c in taken):
+        lead += "_"
+    return [lead + w for w in wanted]
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text"):
     """Tells rows apart that have the same id but other texts; null texts count as empty."""
     return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))

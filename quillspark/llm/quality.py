@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _common as C
+
 #: White space between words.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Lines of site furniture and notices, in the corpus's languages; a parameter of line_fails.
@@ -56,14 +58,15 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     kept_names = [F.col(f"`{c}`") for c in docs.columns if c not in ("clean_text", "n_lines", "n_lines_removed", "lost_chars", "all_chars")]
     lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")
-    staged = docs.select(*kept_names, lines.alias("__lines")).withColumn("__kept", F.filter("__lines", lambda x: ~line_fails(x)))
+    all_lines, left = C.free_names(docs.columns, "lines", "kept")
+    staged = docs.select(*kept_names, lines.alias(all_lines)).withColumn(left, F.filter(all_lines, lambda x: ~line_fails(x)))
     return (
-        staged.withColumn("clean_text", F.array_join("__kept", "\n"))
-        .withColumn("n_lines", F.size("__lines").cast("long"))
-        .withColumn("n_lines_removed", (F.size("__lines") - F.size("__kept")).cast("long"))
-        .withColumn("all_chars", F.length(F.array_join("__lines", "")).cast("long"))
-        .withColumn("lost_chars", F.col("all_chars") - F.length(F.array_join("__kept", "")))
-        .drop("__lines", "__kept")
+        staged.withColumn("clean_text", F.array_join(left, "\n"))
+        .withColumn("n_lines", F.size(all_lines).cast("long"))
+        .withColumn("n_lines_removed", (F.size(all_lines) - F.size(left)).cast("long"))
+        .withColumn("all_chars", F.length(F.array_join(all_lines, "")).cast("long"))
+        .withColumn("lost_chars", F.col("all_chars") - F.length(F.array_join(left, "")))
+        .drop(all_lines, left)
     )
 
 
@@ -104,11 +107,15 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """docs' kept rows with their cleaned text, all columns kept."""
+    """docs' rows that keep half of their characters or more, with their cleaned text; all columns, whatever their names.
+
+    Null texts become empty and stay, as nothing is lost of them; repeated rows are judged alike; an empty table gives none.
+    """
     names = docs.columns
-    j = clean(docs)
+    own = C.free_names([], *(f"c{k}" for k in range(len(names))))
+    j = clean(docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)), "text"))
     ok = 100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("all_chars")
-    return j.where(ok).select(*(F.col("clean_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names))
+    return j.where(ok).select(*(F.col("clean_text").alias("text") if c == "text" else F.col(o).alias(c) for c, o in zip(names, own, strict=True)))
 
 
 ORACLE_SQL = r"""

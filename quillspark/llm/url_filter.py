@@ -46,7 +46,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """The longest rule that fits, as struct(rule, verdict); null if none does. Rules: (verdict, host, path prefix)."""
+    """The longest rule that fits, as struct(rule, verdict), the last listed of equally long ones; null if none does. Rules: (verdict, host, path prefix)."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith(f".{h}")) & (path.startswith(p) if p else F.lit(True))

@@ -241,6 +241,15 @@ def test_quality(docs, empty):
     assert "rights" not in cleaned[15] and "menu" not in cleaned[15] and cleaned[0] == ""
 
 
+def test_line_cleaning_of_texts(spark, docs, empty):
+    rows = [(1, "Good line here, of some length.\nHome | News | About\nAlle Rechte vorbehalten 2020\nAnother good line, as long.", "a"), (2, "a | b | c\nok.", "b"), (3, None, None), (4, "", "d"), (4, "", "d")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, __lines string").withColumn("clean_text", F.lit("mine")).withColumn("__c0", F.lit(5))
+    out = sorted(quality.filtered(df).collect(), key=str)
+    assert quality.filtered(df).columns == df.columns and all(r.clean_text == "mine" and r["__c0"] == 5 for r in out)
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, "Good line here, of some length.\nAnother good line, as long."), (3, ""), (4, ""), (4, "")]
+    assert quality.clean(df).first()["__lines"] == "a" and quality.filtered(empty).count() == 0
+
+
 def test_decontamination(spark, docs, empty):
     texts = base_texts()
     bench = spark.createDataFrame([(1, " ".join(texts[5].split()[30:55])), (2, "QUICK, brown fox"), (10, texts[6]), (3, None), (4, ""), (2, "QUICK, brown fox"), (None, "one")], "item_id long, text string")
