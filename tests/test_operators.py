@@ -264,3 +264,10 @@ def test_desk(spark, tmp_path):
     assert d.log(2).count() == 2 and len(d.purge()) == 4 and d.results().count() == 2
     d.purge(really=True)
     assert d.results().count() == 0
+
+
+def test_corrections_per_window(spark):
+    ts = pd.Timestamp("2024-01-01")
+    rows = [("f", (ts + pd.Timedelta(minutes=m)).to_pydatetime()) for m in (0, 9, 10, 25)] + [("g", ts.to_pydatetime())]
+    out = review.counts_by_window(spark.createDataFrame(rows, "field_name string, ts timestamp")).collect()
+    assert sorted((r.field_name, r.n) for r in out) == [("f", 1), ("f", 1), ("f", 2), ("g", 1)]
