@@ -186,7 +186,7 @@ def _between(members: DataFrame, sets: DataFrame) -> DataFrame:
     bulk = F.greatest(F.count("*") / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES)
     dealt = own.groupBy("band", "out").agg(F.ceil(bulk).alias("blocks"))
     outside = dealt.where("out").select("band", F.col("blocks").alias("others"))
-    dealt = dealt.join(outside, "band")
+    dealt = C.written(dealt.join(outside, "band"), "dealt")
     placed = own.join(dealt, ["band", "out"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
     blocks = C.written(placed.groupBy("band", "out", "block").agg(F.first("others").alias("others"), F.collect_list(F.struct("node", "root", "shingles")).alias("y")), "blocks")
     from_block = F.when(F.col("out"), F.col("block")).otherwise(F.lit(0))
@@ -200,7 +200,8 @@ def roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
     nodes = C.written(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "nodes")
     exploded = nodes.select("node", F.explode("bands").alias("band"))
     first = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
-    groups = exploded.groupBy("band").agg(F.count("*").alias("n"), *first).where("n > 1")
+    # Written, as are other sums by band: a join with a sum of the same rows would keep a band in one task, one with a table is split.
+    groups = C.written(exploded.groupBy("band").agg(F.count("*").alias("n"), *first).where("n > 1"), "groups")
     rows = C.written(exploded.join(groups, "band"), "bands")
     used = rows.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = docs.select("doc_id", "text").join(used, F.col("doc_id").eqNullSafe(F.col("rep"))).where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("node")).select("node", "text")
@@ -219,12 +220,13 @@ def roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
     rooted = large.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("of"))
     parted = sizes.groupBy("band").agg(F.max_by("root", F.struct("of", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
+    parted = C.written(parted, "parted")
     members = C.written(rooted.join(parted, "band"), "members")
     if not members.isEmpty():
         joined = components(_between(members, sets)).select(F.col("node").alias("root"), F.col("root").alias("top"))
         alone = joined.join(found.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
         found = C.written(found.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone), "roots")
-    C.drop_written(nodes, rows, sets, members)
+    C.drop_written(nodes, groups, rows, sets, parted, members)
     return found
 
 
