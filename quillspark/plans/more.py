@@ -91,10 +91,18 @@ def j17(spark, sf):
     return label.titles_of(r).select("doc_id", "page_num", "det_id", "title_id", e6("distance").alias("distance_e6"))
 
 
-@query("j19_alias_lookup", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'b1' WHEN 'MACHINERY' THEN 'm1' END AS public_id FROM customer")
+SEGMENT_ALIASES = [("Buil-ding", "b1"), ("machi nery.", "m1"), ("BUILDING", "b2"), ("House Hold", "h1"), ("auto mobiles", "a1")]
+
+
+@query(
+    "j19_alias_lookup",
+    f"""WITH a AS (SELECT regexp_replace(lower(alias), '[^a-z0-9]', '', 'g') AS k, min(public_id) AS public_id FROM (VALUES {", ".join(map(str, SEGMENT_ALIASES))}) t(alias, public_id) GROUP BY 1), c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN lower(c_mktsegment) || '.' ELSE substr(c_mktsegment, 1, 4) || ' - ' || substr(c_mktsegment, 5) END AS name FROM customer)
+ SELECT c_custkey, public_id FROM c LEFT JOIN a ON regexp_replace(lower(name), '[^a-z0-9]', '', 'g') = k""",
+)
 def j19(spark, sf):
-    aliases = spark.createDataFrame([("Buil-ding", "b1"), ("machi nery.", "m1"), ("BUILDING", "b1")], "alias string, public_id string")
-    return label.alias_lookup(table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("name")), aliases).select("c_custkey", "public_id")
+    k = F.col("c_custkey") % 3
+    name = F.when(k == 0, F.col("c_mktsegment")).when(k == 1, F.concat(F.lower("c_mktsegment"), F.lit("."))).otherwise(F.concat(F.substring("c_mktsegment", 1, 4), F.lit(" - "), F.substring("c_mktsegment", 5, 99)))
+    return label.alias_lookup(table(spark, sf, "customer").select("c_custkey", name.alias("name")), spark.createDataFrame(SEGMENT_ALIASES, "alias string, public_id string")).select("c_custkey", "public_id")
 
 
 @query("j21_page_route", "SELECT doc_id, coalesce(CASE doc_id % 10 WHEN 1 THEN 'cover' WHEN 2 THEN 'plan' END, CASE WHEN contains(lower(text), 'the ') THEN 'english' END) AS page_type FROM documents")
@@ -225,10 +233,17 @@ def s21(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(R.cleaned(F.col("text")).cast("binary")).alias("cleaned"))
 
 
-@query("s22_marital", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Unmarried' WHEN 1 THEN 'Married' WHEN 2 THEN 'Widowed' END AS status FROM events")
+MARITAL = ["un-Unmarried!", "Marr ied Married", "widow", "?", "DIVORCED 2010", "single.", "re-divorcee", "mARRIED (2nd)", "x unmarr y", "", "Widower / single"]
+
+
+@query(
+    "s22_marital",
+    f"""WITH t AS (SELECT event_id, upper(regexp_replace({MARITAL}[event_id % {len(MARITAL)} + 1], '[^A-Za-z0-9_ /.()-]', '', 'g')) AS u FROM events)
+ SELECT event_id, CASE WHEN contains(u, 'UNMARR') THEN 'Unmarried' WHEN contains(u, 'MARR') THEN 'Married' WHEN contains(u, 'SINGLE') THEN 'Single' WHEN contains(u, 'DIVORC') THEN 'Divorced' WHEN contains(u, 'WIDOW') THEN 'Widowed' END AS status FROM t""",
+)
 def s22(spark, sf):
-    k = F.col("event_id") % 4
-    return table(spark, sf, "events").select("event_id", R.marital(F.when(k == 0, "un-Unmarried!").when(k == 1, "Marr ied Married").when(k == 2, "widow").otherwise("?")).alias("status"))
+    text = F.element_at(F.array(*map(F.lit, MARITAL)), (F.col("event_id") % len(MARITAL) + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", R.marital(text).alias("status"))
 
 
 @query(
@@ -352,9 +367,9 @@ def a14(spark, sf):
     return g
 
 
-@query("a16_sequence_confidence", "SELECT event_id, CAST(round(1e6 * (0.9 + (event_id % 10) / 20.0 * 0 + greatest(0.1 * (event_id % 10), 0.5)) / 2) AS BIGINT) AS c_e6 FROM events")
+@query("a16_sequence_confidence", "SELECT event_id, CAST(round(1e6 * (greatest((event_id % 7) / 10.0, 0.3) + greatest(0.1 * (event_id % 10), 0.5)) / 2) AS BIGINT) AS c_e6 FROM events")
 def a16(spark, sf):
-    steps = F.array(F.array(F.lit(0.9), F.lit(0.1)), F.array(F.lit(0.1) * (F.col("event_id") % 10), F.lit(0.5)))
+    steps = F.array(F.array(F.col("event_id") % 7 / F.lit(10.0), F.lit(0.3)), F.array(F.lit(0.1) * (F.col("event_id") % 10), F.lit(0.5)))
     return table(spark, sf, "events").select("event_id", e6(score.sequence_confidence(steps)).alias("c_e6"))
 
 
