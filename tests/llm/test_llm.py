@@ -380,6 +380,30 @@ def test_minhash_large_groups(spark):
     assert minhash.classes(df.limit(0)).count() == 0 and minhash.first_of_classes(df.limit(0)).count() == 0
 
 
+def test_minhash_blocks_of_a_group_lose_no_link(spark, monkeypatch):
+    """A large group of near copies of which few are links, in blocks of 7 nodes."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    r = random.Random(23)
+    base = [f"b{k}" for k in range(100)]
+    rows = []
+    for k in range(110):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randint(0, 99)] = f"z{r.randint(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+    brute = brute_classes(rows)
+    assert got_classes(spark.createDataFrame(rows, "doc_id long, text string")) == brute and 5 < len(brute) < 100
+
+
+def test_blocks_give_a_forest_of_roots():
+    sets = {b"a": [1, 2, 3, 4, 5], b"b": [1, 2, 3, 4, 5], b"c": [1, 2, 3, 4, 6], b"d": [9]}
+    node = lambda n, root: {"node": n, "root": root, "shingles": np.asarray(sets[n], np.uint64).tobytes()}
+    kind = pa.list_(pa.struct([("node", pa.binary()), ("root", pa.binary()), ("shingles", pa.binary())]))
+    x, y = [node(b"a", b"a"), node(b"c", b"c")], [node(b"b", b"b"), node(b"d", b"d"), node(b"a", b"a")]
+    out = list(minhash._blocks(iter([pa.RecordBatch.from_arrays([pa.array([x], kind), pa.array([y], kind)], ["x", "y"])])))
+    assert [sorted(map(tuple, zip(*(c.to_pylist() for c in b.columns), strict=True))) for b in out] == [[(b"a", b"b")]]
+
+
 def test_minhash_keeps_links_of_low_weighted_similarity(spark):
     """Of each group two texts are a link; they share shingles of repeated words, and over 72 of 384 register bits differ."""
     rows = []
