@@ -74,11 +74,15 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
             yield batch.slice(a, b - a)
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of df by the plan's statistics: of a written table, those of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame, per_task: int = 32 << 20, text: str = "text") -> int:
     """A number of partitions by the size that the plan's statistics give: about per_task bytes of files each, at any size."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     low = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(low, size // per_task + 1)
+    return max(low, size_of(df) // per_task + 1)
 
 
 def free_names(taken: list[str], *wanted: str) -> list[str]:

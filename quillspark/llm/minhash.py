@@ -40,6 +40,8 @@ LEADERS = 2
 MATES = 3
 #: Nodes of a block, and bytes of their shingles, on average; columns of a block's matrix at a time.
 BLOCK, BLOCK_BYTES, COLUMNS = 256, 2 << 20, 4096
+#: Nodes that a task remembers as joined, and bytes of links that it reads together.
+JOINED, EDGES_BYTES = 1 << 17, 4 << 20
 
 
 def shingles(w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,15 +115,54 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())], ["node", "shingles"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Jaccard similarity of pairs as two counts: common shingles and all shingles."""
+class Joined:
+    """Which nodes a task's links have joined so far. It starts anew beyond JOINED nodes, which only costs work."""
+
+    def __init__(self):
+        self.up: dict[bytes, bytes] = {}
+
+    def top(self, k: bytes) -> bytes:
+        up = self.up
+        while (above := up.get(k, k)) != k:
+            up[k] = k = up.get(above, above)
+        return k
+
+    def join(self, a: bytes, b: bytes) -> None:
+        if len(self.up) > JOINED:
+            self.up.clear()
+        self.up[self.top(b)] = self.top(a)
+
+
+def _links(pairs: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links of pairs (a, b, their shingles). Nodes that a task's earlier links join are not compared: no class depends on it."""
+    joined = Joined()
+    for b in batches:
+        out = []
+        for p, q, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            if joined.top(p) != joined.top(q):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both * DENOMINATOR >= (len(x) + len(y) - both) * NUMERATOR:
+                    joined.join(p, q)
+                    out.append((p, q))
+        yield from _links(out)
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) without those between nodes that a task's earlier links join already."""
+    joined = Joined()
     for b in batches:
-        both, either = [], []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both.append(len(np.intersect1d(x, y, assume_unique=True)))
-            either.append(len(x) + len(y) - both[-1])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
+        out = []
+        for p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if joined.top(p) != joined.top(q):
+                joined.join(p, q)
+                out.append((p, q))
+        yield from _links(out)
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -176,8 +217,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code = code[: len(sizes[0])], code[len(sizes[0]) :]
             linked = (both * DENOMINATOR >= either * NUMERATOR) & (code[0][:, None] != code[1][None, :])
             if linked.any():
-                out = _joined(names.tolist(), linked, code)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
+                yield from _links(_joined(names.tolist(), linked, code))
 
 
 def _between(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,7 +232,7 @@ def _between(members: DataFrame, sets: DataFrame) -> DataFrame:
     from_block = F.when(F.col("out"), F.col("block")).otherwise(F.lit(0))
     met = blocks.select("band", F.explode(F.sequence(from_block, F.col("others") - 1)).alias("block"), "y")
     pairs = blocks.where("out").select("band", "block", F.col("y").alias("x")).join(met, ["band", "block"]).select("x", "y")
-    return C.written(pairs.mapInArrow(_blocks, "a binary, b binary"), "between").distinct()
+    return C.written(pairs.mapInArrow(_blocks, "a binary, b binary"), "between")
 
 
 def roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -214,7 +254,7 @@ def roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
     star = large.select("node", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS))))).alias("leader")).where("node != leader").select(*_pair("node", "leader"))
     pairs = small.unionByName(star).distinct()
     full = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
-    seen = C.written(full.select("a", "b", "x", "y").mapInArrow(_compared, "a binary, b binary, both long, either long").where(F.col("both") * DENOMINATOR >= F.col("either") * NUMERATOR).select("a", "b"), "links")
+    seen = C.written(full.select("a", "b", "x", "y").mapInArrow(_linked, "a binary, b binary"), "links")
     found = components(seen)
     C.drop_written(seen)
     rooted = large.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
@@ -231,8 +271,13 @@ def roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node of each component of edges(a, b); minima over neighbours, with shortcuts, until still."""
-    both = C.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    """node, root: the least node of each component of edges(a, b); minima over neighbours, with shortcuts, until still.
+
+    The rounds join the edges again and again; so a task first leaves out edges that join nothing new among those it reads.
+    """
+    few = C.written(edges.select("a", "b").coalesce(C.size_of(edges) // EDGES_BYTES + 1).mapInArrow(_forest, "a binary, b binary"), "forest")
+    both = C.written(few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    C.drop_written(few)
     labels = C.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
         seen = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("root").alias("near"))

@@ -404,6 +404,20 @@ def test_blocks_give_a_forest_of_roots():
     assert [sorted(map(tuple, zip(*(c.to_pylist() for c in b.columns), strict=True))) for b in out] == [[(b"a", b"b")]]
 
 
+def test_links_of_a_task_are_a_forest(monkeypatch):
+    """Pairs of three near copies and an odd text: two links join the copies; with nothing remembered there are all three."""
+    sets = {n: np.asarray(v, np.uint64).tobytes() for n, v in {b"a": [1, 2, 3, 4, 5], b"b": [1, 2, 3, 4, 5], b"c": [1, 2, 3, 4], b"d": [1, 2, 9]}.items()}
+    pairs = [(x, y) for x in sets for y in sets if x < y]
+    columns = [pa.array(c, pa.binary()) for c in zip(*((x, y, sets[x], sets[y]) for x, y in pairs), strict=True)]
+    halves = [pa.RecordBatch.from_arrays([c[k : k + 3] for c in columns], ["a", "b", "x", "y"]) for k in (0, 3)]
+    linked = lambda: [r for b in minhash._linked(iter(halves)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert linked() == [(b"a", b"b"), (b"a", b"c")]
+    every = [pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)], ["a", "b"])]
+    assert [b.num_rows for b in minhash._forest(iter(every * 2))] == [3]
+    monkeypatch.setattr(minhash, "JOINED", 0)
+    assert linked() == [(b"a", b"b"), (b"a", b"c"), (b"b", b"c")]
+
+
 def test_minhash_keeps_links_of_low_weighted_similarity(spark):
     """Of each group two texts are a link; they share shingles of repeated words, and over 72 of 384 register bits differ."""
     rows = []
