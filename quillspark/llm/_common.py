@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -61,8 +62,25 @@ def drop_written(*frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that each holds about `most` bytes of the column text, one row at least."""
+#: What this worker keeps from task to task of one operator.
+KEPT: dict = {}
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which a worker that goes on to other tasks would hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that each holds about `most` bytes of the column text, one row at least.
+
+    Unless keep is set, the task is of an operator that keeps nothing, and what other tasks have kept goes.
+    """
+    if KEPT and not keep:
+        KEPT.clear()
+        give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -72,6 +90,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def size_of(df: DataFrame) -> int:

@@ -311,15 +311,12 @@ class ForcedCuts:
         return out
 
 
-_SHARED: dict[tuple[str, str], Coder] = {}
-
-
 def shared_coder(path: str, make: Callable[[], Callable], name: str) -> Coder:
     """This worker's coder for a tokenizer file and a way to encode pieces: tasks of a worker follow one another."""
-    if (path, name) not in _SHARED:
-        _SHARED.clear()
-        _SHARED[path, name] = Coder(path, make())
-    return _SHARED[path, name]
+    if (path, name) not in C.KEPT:
+        C.KEPT.clear()
+        C.KEPT[path, name] = Coder(path, make())
+    return C.KEPT[path, name]
 
 
 def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -332,7 +329,7 @@ def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared_coder(tokenizer, ForcedCuts, "forced cuts")
-        for b in C.steps(batches, "text"):
+        for b in C.steps(batches, "text", keep=True):
             ids, counts = coder.encode(b.column(1))
             raw = ids.astype("<u4").tobytes()
             ends = (4 * np.concatenate([[0], np.cumsum(counts)])).tolist()
@@ -346,7 +343,7 @@ def digests(df: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared_coder(tokenizer, ForcedCuts, "forced cuts")
-        for b in C.steps(batches, "text"):
+        for b in C.steps(batches, "text", keep=True):
             ids, counts = coder.encode(b.column(1))
             raw = ids.astype("<u4").tobytes()
             ends = (4 * np.concatenate([[0], np.cumsum(counts)])).tolist()

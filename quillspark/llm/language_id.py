@@ -165,20 +165,24 @@ def identify(docs: DataFrame, text: str, declared: Column | None = None, host: C
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("detected_lang", "posterior", "kept")]
     none = F.lit(None).cast("string")
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(f"`{text}`").alias("text"), (none if declared is None else declared).alias("declared"), (none if host is None else host).alias("host"))
+    # The text travels once, in its row.
+    inside = own if text.lower() in (c.lower() for c in own) else [*own, text]
+    at = [c.lower() for c in inside].index(text.lower())
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in inside)).alias("row"), F.col(f"`{text}`").alias("text"), (none if declared is None else declared).alias("declared"), (none if host is None else host).alias("host"))
     marked = packed.select("text", "declared", "host")
     table = spark.sparkContext.broadcast(fit(marked, languages))
     if host is None:
-        joined = packed.select("row", "text", "declared", "host", *(F.lit(None).cast("array<long>").alias(f"of_{k}") for k in LEVELS))
+        joined = packed.select("row", "declared", "host", *(F.lit(None).cast("array<long>").alias(f"of_{k}") for k in LEVELS))
     else:
         counts = C.written(host_counts(marked.select("host", "declared"), languages), "host-counts")
-        joined = packed.join(C.broadcast_if_small(counts, counts.count(), BROADCAST_HOSTS), "host", "left").select("row", "text", "declared", "host", *(f"of_{k}" for k in LEVELS))
+        joined = packed.join(C.broadcast_if_small(counts, counts.count(), BROADCAST_HOSTS), "host", "left").select("row", "declared", "host", *(f"of_{k}" for k in LEVELS))
     n = len(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = table.value
-        for b in C.steps(batches, "text"):
-            texts, said_by, hosts, *levels = (b.column(k).to_pylist() for k in range(1, 4 + len(LEVELS)))
+        with_text = (pa.RecordBatch.from_arrays([b.column(0).field(at), *b.columns], ["text", *b.schema.names]) for b in batches)
+        for b in C.steps(with_text, "text"):
+            texts, _, said_by, hosts, *levels = (b.column(k).to_pylist() if k != 1 else None for k in range(4 + len(LEVELS)))
             best, post = [], []
             for k, (t, d, h) in enumerate(zip(texts, said_by, hosts, strict=True)):
                 grams = trigrams(t)
@@ -201,16 +205,16 @@ def identify(docs: DataFrame, text: str, declared: Column | None = None, host: C
                 best.append(languages[i])
                 post.append(round(float(p[i] / p.sum()), 6))
             kept = [x is not None and p >= MIN_POSTERIOR for x, p in zip(best, post, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(post, pa.float64()), pa.array(kept, pa.bool_())], ["row", "detected_lang", "posterior", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(best, pa.string()), pa.array(post, pa.float64()), pa.array(kept, pa.bool_())], ["row", "detected_lang", "posterior", "kept"])
 
     shape = packed.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(run, f"row {shape}, detected_lang string, posterior double, kept boolean").select("row.*", "detected_lang", "posterior", "kept")
+    return joined.mapInArrow(run, f"row {shape}, detected_lang string, posterior double, kept boolean").select(*(F.col(f"row.`{c}`") for c in own), "detected_lang", "posterior", "kept")
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
+def of_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """identify() for documents(text, lang, source): lang is what was declared, source stands for the host."""
-    low = F.lower(F.trim("lang"))
-    return identify(docs, "text", F.when(low != "", low), F.when(F.trim("source") != "", F.trim("source")))
+    low, host = F.lower(F.trim(F.col(f"`{lang}`"))), F.trim(F.col(f"`{source}`"))
+    return identify(docs, text, F.when(low != "", low), F.when(host != "", host))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:

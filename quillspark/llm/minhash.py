@@ -127,10 +127,14 @@ class Joined:
             up[k] = k = up.get(above, above)
         return k
 
+    def stars(self) -> Iterator[pa.RecordBatch]:
+        yield from _links([(self.top(k), k) for k in list(self.up)])
+
     def join(self, a: bytes, b: bytes) -> None:
         if len(self.up) > JOINED:
             self.up.clear()
-        self.up[self.top(b)] = self.top(a)
+        least, other = sorted((self.top(a), self.top(b)))
+        self.up[other] = least
 
 
 def _links(pairs: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +157,17 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _links(out)
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) without those between nodes that a task's earlier links join already."""
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For links (a, b) pairs that join the same nodes: the least node that a task's links join others to, and each of the others."""
     joined = Joined()
     for b in batches:
-        out = []
         for p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if joined.top(p) != joined.top(q):
                 joined.join(p, q)
-                out.append((p, q))
-        yield from _links(out)
+            if len(joined.up) >= JOINED:
+                yield from joined.stars()
+                joined = Joined()
+    yield from joined.stars()
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -273,9 +278,9 @@ def roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each component of edges(a, b); minima over neighbours, with shortcuts, until still.
 
-    The rounds join the edges again and again; so a task first leaves out edges that join nothing new among those it reads.
+    The rounds join the edges again and again; so a task first makes stars of those it reads.
     """
-    few = C.written(edges.select("a", "b").coalesce(C.size_of(edges) // EDGES_BYTES + 1).mapInArrow(_forest, "a binary, b binary"), "forest")
+    few = C.written(edges.select("a", "b").coalesce(C.size_of(edges) // EDGES_BYTES + 1).mapInArrow(_stars, "a binary, b binary"), "stars")
     both = C.written(few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     C.drop_written(few)
     labels = C.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")

@@ -22,8 +22,9 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     names = docs.columns
     own = [f"__c{k}" for k in range(len(names))]
-    marked = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)), "text", "lang", "source")
-    found = language_id.of_documents(marked).where("kept")
+    marked = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)))
+    low = [c.lower() for c in names]
+    found = language_id.of_documents(marked, *(own[low.index(c)] for c in ("text", "lang", "source"))).where("kept")
     return found.select(*(F.col(o).alias(c) for c, o in zip(names, own, strict=True)))
 
 

@@ -155,7 +155,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int, shards:
         def rows(*values: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
 
-        for b in C.steps(batches, "text"):
+        for b in C.steps(batches, "text", keep=True):
             ids, sizes = coder.encode(b.column(1))
             ids = np.insert(ids, np.cumsum(sizes), end_id)
             docs.append(np.asarray(b.column(0).fill_null(0), np.int64))

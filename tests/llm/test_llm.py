@@ -413,8 +413,9 @@ def test_links_of_a_task_are_a_forest(monkeypatch):
     linked = lambda: [r for b in minhash._linked(iter(halves)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     assert linked() == [(b"a", b"b"), (b"a", b"c")]
     every = [pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)], ["a", "b"])]
-    assert [b.num_rows for b in minhash._forest(iter(every * 2))] == [3]
+    assert [b.to_pydict() for b in minhash._stars(iter(every[::-1] * 2))] == [{"a": [b"a"] * 3, "b": [b"b", b"c", b"d"]}]
     monkeypatch.setattr(minhash, "JOINED", 0)
+    assert [b.num_rows for b in minhash._stars(iter(every))] == [1] * 6
     assert linked() == [(b"a", b"b"), (b"a", b"c"), (b"b", b"c")]
 
 
@@ -506,6 +507,25 @@ def test_language_with_declarations_withheld_and_evidence_that_disagrees(spark,
     assert out == {-1: "de", -2: "en", -3: "fr", -4: "es"}  # a long text outweighs its declaration, a short one does not
 
 
+def test_language_sends_each_text_to_python_once(spark, docs, monkeypatch):
+    sent = []
+    send = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a: (sent.append(self.schema), send(self, f, schema, *a))[1])
+    df = docs.withColumnRenamed("n_chars", "kept")
+    for find, names, more in ((language_id.of_documents, df.columns[:-1], ["detected_lang", "posterior", "kept"]), (lambda d: stages.detect_language(spark, d, ""), df.columns, [])):
+        found = find(df)
+        assert sent[-1].names == ["row", "declared", "host", *(f"of_{k}" for k in language_id.LEVELS)] and len(sent[-1]["row"].dataType) == len(names)
+        assert found.columns == [*names, *more] and found.count() > 0
+
+
+def test_workers_keep_a_coder_only_for_its_own_tasks():
+    C.KEPT.clear()
+    coder = bpe.shared_coder(queries.TOKENIZER, bpe.ForcedCuts, "forced cuts")
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b"])], ["text"])
+    assert len(list(C.steps(iter([batch]), keep=True))) == 1 and bpe.shared_coder(queries.TOKENIZER, bpe.ForcedCuts, "forced cuts") is coder
+    assert len(list(C.steps(iter([batch])))) == 1 and not C.KEPT
+
+
 def test_language_keeps_columns_of_any_name(spark, docs):
     odd = docs.withColumnsRenamed({"n_chars": "host"}).withColumn("row", F.lit(1)).withColumn("__declared", F.lit("x")).withColumn("of_host", F.lit(2)).withColumn("kept", F.lit("old"))
     out = language_id.of_documents(odd)
