@@ -122,6 +122,14 @@ def test_postings_are_those_of_distinct_texts_and_stay_off_the_driver(spark):
     assert resolve.texts(resolve.with_text_id(q)).count() == 4
 
 
+def test_decisions_of_one_text_are_the_same_and_postings_stay_off_the_driver(spark):
+    q, lex = asked_often(spark)
+    _, d = resolve.resolve(q, lex)
+    assert "Broadcast" not in plan(d)
+    got = {r.qid: tuple(r)[1:] for r in d.collect()}
+    assert len(got) == 40 and all(got[k] == got[k % 4] for k in got) and [got[k][-1] for k in (0, 2)] == ["lexicon_exact", "no_lexicon_route"]
+
+
 def test_resolver_candidates_lose_none(spark):
     """All entries that share a posting, by brute force, when lengths alone are postings."""
     names = ["ABEL ONE", "ABLE TWO", "CAIN", "QQQQQQQQQQQQQQ", "ZED ONE"]
