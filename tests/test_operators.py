@@ -122,6 +122,16 @@ def test_postings_are_those_of_distinct_texts_and_stay_off_the_driver(spark):
     assert resolve.texts(resolve.with_text_id(q)).count() == 4
 
 
+def test_best_candidates_of_one_text_are_the_same_and_stay_off_the_driver(spark):
+    q, lex = asked_often(spark)
+    top, _ = resolve.resolve(q, lex, 2)
+    assert "Broadcast" not in plan(top)
+    got = {}
+    for r in top.collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.text
+    assert got[0][1] == "ABEL ONE" and all(got[k] == got[k % 4] for k in got) and {k for k in range(40) if k % 4 == 0} <= set(got)
+
+
 def test_decisions_of_one_text_are_the_same_and_postings_stay_off_the_driver(spark):
     q, lex = asked_often(spark)
     _, d = resolve.resolve(q, lex)
