@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import dataset, fuse, label, match, resolve
-from quillspark.operators.fixed import MOST_ROWS, fixed_rows
+from quillspark.operators.fixed import MOST_ROWS, fixed_rows, page_by_page, pairs
 from quillspark.sources import files
 from quillspark.sources.desk import Desk
 from quillspark.streaming import review
@@ -56,6 +56,74 @@ def test_widened_boxes_stay_apart(spark):
             assert not (min(a.x2, b.x2) > max(a.x1, b.x1) and min(a.y2, b.y2) > max(a.y1, b.y1))
 
 
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pages_are_whole_in_batches_of_any_size(spark, small_batches):
+    want = {(d, p): n for n, (d, p) in enumerate(((d, p) for d in ("a", None, "b") for p in (1, 2, None)), 1)} | {("big", 1): 40}
+    df = spark.createDataFrame([k for k, n in want.items() for _ in range(n)], "doc_id string, page_num int")
+
+    def count(rows, page):
+        assert len(set(page)) == page[-1] + 1
+        g = rows.assign(page=page, n=1).groupby("page").agg({"doc_id": "first", "page_num": "first", "n": "sum"})
+        return g.assign(page_num=g.page_num.astype("Int32"))
+
+    got = page_by_page(df, count, "doc_id string, page_num int, n long").collect()
+    assert {(r.doc_id, r.page_num): r.n for r in got} == want and len(got) == len(want)
+    blocks = list(pairs(np.array([0, 2, 5]), np.array([2, 2, 1 << 21])))
+    assert len(blocks) == 2 and sum(len(i) for i, _ in blocks) == 2 + (1 << 21) - 5 and blocks[0][1].tolist() == [0, 1]
+
+
+PLACED = "doc_id long, page_num int, det_id long, kind string, label int, score double, x1 double, y1 double, x2 double, y2 double"
+
+
+@pytest.fixture(scope="module")
+def placed(spark):
+    """Pages of 1 to 30 boxes in the unit square, and one page of 200 of one label."""
+    r, rows = np.random.default_rng(8), []
+    for d, n in [(d, int(r.integers(1, 31))) for d in range(12)] + [(99, 200)]:
+        for _ in range(n):
+            x, y = r.uniform(0, 0.8, 2).round(2)
+            rows.append((d, 1, len(rows), ("title", "table", "chart")[int(r.integers(3))], 0 if d == 99 else int(r.integers(2)), round(r.uniform(), 1), float(x), float(y), float(x + r.uniform(0.02, 0.2)), float(y + r.uniform(0.02, 0.2))))
+    return spark.createDataFrame(rows, PLACED)
+
+
+def pages_of(rows, *keys):
+    out = {}
+    for r in rows:
+        out.setdefault(tuple(r[k] for k in ("doc_id", "page_num", *keys)), []).append(r)
+    return out.values()
+
+
+def runs_of_pages(df):
+    return "MapInPandas" in plan(df) and "FlatMapGroupsInPandas" not in plan(df)
+
+
+def test_titles_go_to_the_nearest(placed, small_batches):
+    want = []
+    for page in pages_of(placed.collect()):
+        titles, used = [t for t in page if t.kind == "title"], set()
+        for kind in ("table", "chart"):
+            found = []
+            for o in (o for o in page if o.kind == kind):
+                for t in titles:
+                    dy, dx = max(o.y1 - t.y2, t.y1 - o.y2, 0.0), max(o.x1 - t.x2, t.x1 - o.x2, 0.0)
+                    share = max(0.0, min(o.x2, t.x2) - max(o.x1, t.x1)) * max(0.0, min(o.y2, t.y2) - max(o.y1, t.y1)) / max((t.x2 - t.x1) * (t.y2 - t.y1), 1e-9)
+                    found.append(((dy + dx / 2 + 0.01) * 10 if kind == "chart" and share > 0.9 else 0.0 if share > 0.25 else dy + dx / 2, o.det_id, t.det_id))
+            taken = set()
+            for d, o, t in sorted(found):
+                if d < 0.1 and o not in taken and t not in used:
+                    taken.add(o)
+                    used.add(t)
+                    want.append((o, t, d))
+    out = label.titles_of(placed.select("doc_id", "page_num", "det_id", "kind", "x1", "y1", "x2", "y2"))
+    assert runs_of_pages(out) and sorted((r.det_id, r.title_id, r.distance) for r in out.collect()) == sorted(want) and len(want) > 50
+
+
 def test_labels_take_each_value_once(spark):
     rows = [(1, 1, 1, "Name", 0.9, 0, 0, 50, 20), (1, 1, 2, "Rajesh", 0.9, 60, 0, 120, 20), (1, 1, 3, "Age", 0.9, 0, 40, 50, 60), (1, 1, 4, "30", 0.9, 60, 40, 90, 60), (1, 1, 5, "Surname", 0.8, 0, 2, 50, 22)]
     df = spark.createDataFrame(rows, "doc_id int, page_num int, region_id long, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
