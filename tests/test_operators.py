@@ -124,6 +124,26 @@ def test_titles_go_to_the_nearest(placed, small_batches):
     assert runs_of_pages(out) and sorted((r.det_id, r.title_id, r.distance) for r in out.collect()) == sorted(want) and len(want) > 50
 
 
+def test_titles_join_the_boxes_beside_them(placed, small_batches):
+    want = {}
+    for page in pages_of(placed.orderBy("det_id").collect()):
+        titles, free = [t for t in page if t.kind == "title"], set()
+        free = {t.det_id for t in titles}
+        for o in (o for o in page if o.kind == "chart"):
+            far = {t.det_id: min(abs(t.y2 - o.y1), abs(o.y2 - t.y1)) + min(abs(t.x1 - o.x1), abs(t.x1 + t.x2 - o.x1 - o.x2) / 2) / 2 for t in titles}
+            least = min(far.values(), default=9.0)
+            for t in titles:
+                if min(t.x2, o.x2) > max(t.x1, o.x1) and min(t.y2, o.y2) > max(t.y1, o.y1):
+                    far[t.det_id] = min(0.09, least / 1.5)
+            near = min((far[t] for t in free), default=9.0)
+            mine = [t for t in titles if t.det_id in free and near <= 0.1 and far[t.det_id] <= min(0.1, near * 1.5)]
+            free -= {t.det_id for t in mine}
+            hull = [o, *mine]
+            want[o.det_id] = (min(b.x1 for b in hull), min(b.y1 for b in hull), max(b.x2 for b in hull), max(b.y2 for b in hull), [t.det_id for t in mine])
+    out = label.merged_with_titles(placed.select("doc_id", "page_num", "det_id", "kind", "x1", "y1", "x2", "y2"), delta=1.5)
+    assert runs_of_pages(out) and {r.det_id: (r.x1, r.y1, r.x2, r.y2, r.titles) for r in out.collect()} == want and any(len(w[4]) > 1 for w in want.values())
+
+
 def test_labels_take_each_value_once(spark):
     rows = [(1, 1, 1, "Name", 0.9, 0, 0, 50, 20), (1, 1, 2, "Rajesh", 0.9, 60, 0, 120, 20), (1, 1, 3, "Age", 0.9, 0, 40, 50, 60), (1, 1, 4, "30", 0.9, 60, 40, 90, 60), (1, 1, 5, "Surname", 0.8, 0, 2, 50, 22)]
     df = spark.createDataFrame(rows, "doc_id int, page_num int, region_id long, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
