@@ -144,6 +144,16 @@ def test_titles_join_the_boxes_beside_them(placed, small_batches):
     assert runs_of_pages(out) and {r.det_id: (r.x1, r.y1, r.x2, r.y2, r.titles) for r in out.collect()} == want and any(len(w[4]) > 1 for w in want.values())
 
 
+def test_labels_choose_for_all_pages_of_a_run(spark, small_batches):
+    rows = []
+    for d in range(9):
+        rows += [(d, 1, 10 * d + k, t, c, x, y, x + 40, y + 20) for k, (t, c, x, y) in enumerate([("Name", 0.9, 0, 0), ("Full Name", 0.2, 0, 300), (f"R{d} Kumar", 0.9, 60, 0), ("Age", 0.9, 0, 40), (f"{30 + d}", 0.9, 60, 40), ("x", 0.9, 45, 0), (None, 0.9, 45, 0)][: 7 - d % 3])]
+    df = spark.createDataFrame(rows, "doc_id int, page_num int, region_id long, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
+    out = label.label_values(df, spark.createDataFrame([(1, "name", "name"), (2, "age", "age")], "ord int, field string, pattern string"))
+    got = {(r.doc_id, r.field): (r.label_id, r.value) for r in out.collect()}
+    assert runs_of_pages(out) and got == {(d, f): v for d in range(9) for f, v in (("name", (10 * d, f"R{d} Kumar")), ("age", (10 * d + 3, f"{30 + d}")))}
+
+
 def test_labels_take_each_value_once(spark):
     rows = [(1, 1, 1, "Name", 0.9, 0, 0, 50, 20), (1, 1, 2, "Rajesh", 0.9, 60, 0, 120, 20), (1, 1, 3, "Age", 0.9, 0, 40, 50, 60), (1, 1, 4, "30", 0.9, 60, 40, 90, 60), (1, 1, 5, "Surname", 0.8, 0, 2, 50, 22)]
     df = spark.createDataFrame(rows, "doc_id int, page_num int, region_id long, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
