@@ -154,6 +154,27 @@ def test_labels_choose_for_all_pages_of_a_run(spark, small_batches):
     assert runs_of_pages(out) and got == {(d, f): v for d in range(9) for f, v in (("name", (10 * d, f"R{d} Kumar")), ("age", (10 * d + 3, f"{30 + d}")))}
 
 
+def test_widening_is_that_of_all_pairs(placed, small_batches):
+    want = {}
+    for page in pages_of(placed.orderBy("det_id").collect()):
+        old = [[b.x1, b.y1, b.x2, b.y2] for b in page]
+        new = [[a - (c - a) * 0.1, b - (d - b) * 0.1, c + (c - a) * 0.1, d + (d - b) * 0.1] for a, b, c, d in old]
+        meet = lambda p, q: min(p[2], q[2]) > max(p[0], q[0]) and min(p[3], q[3]) > max(p[1], q[1])
+        for j in range(len(new)):
+            for i in range(j):
+                if meet(new[i], new[j]) and not meet(old[i], old[j]):
+                    for side, other in ((3, 1), (1, 3), (2, 0), (0, 2)):
+                        if side == 0 or (old[j][other] >= old[i][side] if side > 1 else old[j][other] <= old[i][side]):
+                            f, g = (min, max) if side > 1 else (max, min)
+                            new[i][side] = f(new[i][side], old[j][other])
+                            new[j][other] = g(new[j][other], new[i][side])
+                            break
+        want |= {b.det_id: tuple(n) for b, n in zip(page, new, strict=True)}
+    out = label.widened(placed.select("doc_id", "page_num", "det_id", "x1", "y1", "x2", "y2"))
+    got = {r.det_id: (r.x1, r.y1, r.x2, r.y2) for r in out.collect()}
+    assert runs_of_pages(out) and got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
+
+
 def test_labels_take_each_value_once(spark):
     rows = [(1, 1, 1, "Name", 0.9, 0, 0, 50, 20), (1, 1, 2, "Rajesh", 0.9, 60, 0, 120, 20), (1, 1, 3, "Age", 0.9, 0, 40, 50, 60), (1, 1, 4, "30", 0.9, 60, 40, 90, 60), (1, 1, 5, "Surname", 0.8, 0, 2, 50, 22)]
     df = spark.createDataFrame(rows, "doc_id int, page_num int, region_id long, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
