@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fields as V
 from ..functions import text as X
+from .fixed import page_by_page, pairs
 
 
 def accept_weak_labels(predictions: DataFrame) -> DataFrame:
@@ -101,67 +102,105 @@ def merge_manifests(**tiers: DataFrame) -> DataFrame:
     return out
 
 
-def _iou(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
-    w = np.minimum(box[2], boxes[:, 2]) - np.maximum(box[0], boxes[:, 0])
-    h = np.minimum(box[3], boxes[:, 3]) - np.maximum(box[1], boxes[:, 1])
+def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of boxes along the last axis."""
+    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
     common = np.maximum(w, 0) * np.maximum(h, 0)
-    area = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
-    return common / np.maximum(area(box) + area(boxes) - common, 1e-9)
+    area = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
+    return common / np.maximum(area(a) + area(b) - common, 1e-9)
+
+
+#: Boxes of a group that go with others; a larger group goes alone.
+TOGETHER = 64
+
+
+def _groups(df: pd.DataFrame, page: np.ndarray, keys: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Rows of a run by group (page and keys), the surest first; where each group starts, and how many rows it has."""
+    code = page
+    for k in keys:
+        of = pd.factorize(df[k], use_na_sentinel=False)[0]
+        code = code * (of.max(initial=0) + 1) + of
+    df = df.assign(code=code).sort_values(["code", "score", "det_id"], ascending=[True, False, True])
+    starts = np.flatnonzero(np.diff(df.code.to_numpy(), prepend=-1))
+    return df.drop(columns="code"), starts, np.diff(np.append(starts, len(df)))
 
 
 def nms(detections: DataFrame, threshold: float = 0.45, agnostic: bool = False) -> DataFrame:
     """detections(doc_id, page_num, label, det_id, score, x1..y2) without those that overlap a surer one of their page (and label) kept before.
 
-    A page's detections are few and the choice is sequential; a document is one Arrow group, its pages are slices of it.
+    The pairs of small groups that overlap are found together, and settled in order; a large group goes box by box.
     """
-    keys = ["page_num"] if agnostic else ["page_num", "label"]
 
-    def document(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values([*keys, "score", "det_id"], ascending=[True] * len(keys) + [False, True])
-        boxes, keep = df[["x1", "y1", "x2", "y2"]].to_numpy(float), []
-        code = df.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-        for left in np.split(np.arange(len(df)), np.flatnonzero(np.diff(code)) + 1):
+    def run(df: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        df, starts, sizes = _groups(df, page, [] if agnostic else ["label"])
+        boxes, keep = df[["x1", "y1", "x2", "y2"]].to_numpy(float), np.ones(len(df), bool)
+        first = np.repeat(starts, sizes)
+        for j, i in pairs(np.where(np.repeat(sizes, sizes) <= TOGETHER, first, len(df)), np.arange(len(df))):
+            hit = np.flatnonzero(~(_iou(boxes[i], boxes[j]) <= threshold))
+            for a, b in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
+                if keep[a]:
+                    keep[b] = False
+        for s, n in zip(starts[sizes > TOGETHER], sizes[sizes > TOGETHER], strict=True):
+            left = np.arange(s, s + n)
             while len(left):
-                keep.append(left[0])
-                left = left[1:][_iou(boxes[left[0]], boxes[left[1:]]) <= threshold] if len(left) > 1 else left[1:]
-        return df.iloc[keep]
+                apart = _iou(boxes[left[0]], boxes[left[1:]]) <= threshold
+                keep[left[1:][~apart]] = False
+                left = left[1:][apart]
+        return df[keep]
 
-    return detections.groupBy("doc_id").applyInPandas(document, detections.schema)
+    return page_by_page(detections, run, detections.schema)
 
 
 def fuse_boxes(detections: DataFrame, threshold: float = 0.5, least: float = 0.0) -> DataFrame:
     """Weighted box fusion per page and label: clusters by the best overlap with a cluster's fused box, in score order.
 
-    A document is one Arrow group, its pages are slices of it.
+    Small groups go together, the boxes of one place in each at a time; a large group goes alone.
     """
 
-    def clusters(rows: np.ndarray) -> list[tuple[int, float, int, np.ndarray]]:
-        fused, weight, mean, n = np.zeros((len(rows), 4)), np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows), int)
-        m = 0
-        for row in rows:
-            k = m
-            if m:
-                overlap = _iou(row[:4], fused[:m])
-                best = int(overlap.argmax())
-                k = best if overlap[best] > threshold else m
-            if k == m:
-                m += 1
-            total = weight[k] + row[4]
-            fused[k] = row[:4] if not n[k] else (fused[k] * weight[k] + row[:4] * row[4]) / total if total else fused[k]
-            weight[k], mean[k], n[k] = total, mean[k] + row[4], n[k] + 1
-        return [(k, float(mean[k] / n[k]), int(n[k]), fused[k]) for k in range(m)]
-
-    def document(df: pd.DataFrame) -> pd.DataFrame:
-        df = df[df.score >= least].sort_values(["page_num", "label", "score", "det_id"], ascending=[True, True, False, True])
-        rows, out = df[["x1", "y1", "x2", "y2", "score"]].to_numpy(float), []
-        code = df.groupby(["page_num", "label"], sort=False, dropna=False).ngroup().to_numpy()
-        doc, page, label = (df[c].to_numpy() for c in ("doc_id", "page_num", "label"))
-        for at in np.split(np.arange(len(df)), np.flatnonzero(np.diff(code)) + 1) if len(df) else []:
-            out += [(doc[at[0]], page[at[0]], label[at[0]], k, score, n, *map(float, box)) for k, score, n, box in clusters(rows[at])]
-        return pd.DataFrame(out, columns=["doc_id", "page_num", "label", "cluster", "score", "n", "x1", "y1", "x2", "y2"])
+    def clusters(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """rows(groups, places, 5), nan where a group has no more: number of clusters, and their weights, sums, counts, boxes."""
+        g, most = rows.shape[:2]
+        fused, weight, total, n, m = np.full((g, most, 4), np.nan), np.zeros((g, most)), np.zeros((g, most)), np.zeros((g, most), int), np.zeros(g, int)
+        for place in range(most):
+            at = np.flatnonzero(~np.isnan(rows[:, place, 4]))
+            row, top = rows[at, place], int(m[at].max(initial=0))
+            k = m[at]
+            if top:
+                overlap = _iou(row[:, None, :4], fused[at, :top])
+                overlap = np.where(np.arange(top) < m[at, None], overlap, -1.0)
+                best = overlap.argmax(1)
+                k = np.where(overlap[np.arange(len(at)), best] > threshold, best, k)
+            new = k == m[at]
+            m[at] += new
+            s, w = row[:, 4], weight[at, k] + row[:, 4]
+            old = np.where(new[:, None], row[:, :4], fused[at, k])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mixed = (old * weight[at, k][:, None] + row[:, :4] * s[:, None]) / w[:, None]
+            fused[at, k] = np.where((new | (w == 0))[:, None], old, mixed)
+            weight[at, k], total[at, k], n[at, k] = w, total[at, k] + s, n[at, k] + 1
+        return m, total, n, fused
+
+    def run(df: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        sure = (df.score >= least).to_numpy()
+        df, starts, sizes = _groups(df[sure], page[sure], ["label"])
+        values, out = df[["x1", "y1", "x2", "y2", "score"]].to_numpy(float), []
+        small = np.flatnonzero(sizes <= TOGETHER)
+        for at in ([small] if len(small) else []) + [np.array([g]) for g in np.flatnonzero(sizes > TOGETHER)]:
+            of = np.repeat(np.arange(len(at)), sizes[at])
+            place = np.arange(len(of)) - np.repeat(np.cumsum(sizes[at]) - sizes[at], sizes[at])
+            rows = np.full((len(at), int(sizes[at].max()), 5), np.nan)
+            rows[of, place] = values[starts[at][of] + place]
+            m, total, n, fused = clusters(rows)
+            of = np.repeat(np.arange(len(at)), m)
+            k = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+            head = df.iloc[starts[at][of]]
+            boxes = dict(zip(("x1", "y1", "x2", "y2"), fused[of, k].T, strict=True))
+            out.append(pd.DataFrame({"doc_id": head.doc_id.to_numpy(), "page_num": head.page_num.to_numpy(), "label": head.label.to_numpy(), "cluster": k, "score": total[of, k] / n[of, k], "n": n[of, k], **boxes}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["doc_id", "page_num", "label", "cluster", "score", "n", "x1", "y1", "x2", "y2"])
 
     kinds = dict(detections.dtypes)
-    return detections.groupBy("doc_id").applyInPandas(document, f"doc_id {kinds['doc_id']}, page_num {kinds['page_num']}, label {kinds['label']}, cluster int, score double, n int, x1 double, y1 double, x2 double, y2 double")
+    return page_by_page(detections, run, f"doc_id {kinds['doc_id']}, page_num {kinds['page_num']}, label {kinds['label']}, cluster int, score double, n int, x1 double, y1 double, x2 double, y2 double")
 
 
 def stable_zone(zones: DataFrame, boxes: DataFrame, by: list[str], width: int, height: int) -> DataFrame:

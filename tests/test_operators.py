@@ -175,6 +175,26 @@ def test_widening_is_that_of_all_pairs(placed, small_batches):
     assert runs_of_pages(out) and got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
 
 
+def test_fusion_is_that_of_one_box_after_the_other(placed, small_batches):
+    want = {}
+    for group in pages_of(sorted(placed.collect(), key=lambda r: (-r.score, r.det_id)), "label"):
+        fused = []
+        for r in group:
+            box = np.array([r.x1, r.y1, r.x2, r.y2])
+            i = [max(min(f[0][2], box[2]) - max(f[0][0], box[0]), 0) * max(min(f[0][3], box[3]) - max(f[0][1], box[1]), 0) for f in fused]
+            area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+            iou = [s / max(area(f[0]) + area(box) - s, 1e-9) for s, f in zip(i, fused, strict=True)]
+            if iou and max(iou) > 0.2:
+                f = fused[int(np.argmax(iou))]
+                f[0], f[1], f[2] = (f[0] * f[1] + box * r.score) / (f[1] + r.score) if f[1] + r.score else f[0], f[1] + r.score, f[2] + 1
+            else:
+                fused.append([box, r.score, 1])
+        want |= {(r.doc_id, r.label, k): (f[2], *f[0].round(9)) for k, f in enumerate(fused)}
+    out = fuse.fuse_boxes(placed.drop("kind"), 0.2)
+    got = {(r.doc_id, r.label, r.cluster): (r.n, *np.round((r.x1, r.y1, r.x2, r.y2), 9)) for r in out.collect()}
+    assert runs_of_pages(out) and got == want and max(w[0] for w in want.values()) > 2
+
+
 def test_labels_take_each_value_once(spark):
     rows = [(1, 1, 1, "Name", 0.9, 0, 0, 50, 20), (1, 1, 2, "Rajesh", 0.9, 60, 0, 120, 20), (1, 1, 3, "Age", 0.9, 0, 40, 50, 60), (1, 1, 4, "30", 0.9, 60, 40, 90, 60), (1, 1, 5, "Surname", 0.8, 0, 2, 50, 22)]
     df = spark.createDataFrame(rows, "doc_id int, page_num int, region_id long, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
