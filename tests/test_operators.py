@@ -195,6 +195,20 @@ def test_fusion_is_that_of_one_box_after_the_other(placed, small_batches):
     assert runs_of_pages(out) and got == want and max(w[0] for w in want.values()) > 2
 
 
+def test_suppression_is_that_of_one_box_after_the_other(placed, small_batches):
+    kept = []
+    for group in pages_of(sorted(placed.collect(), key=lambda r: (-r.score, r.det_id))):
+        mine = []
+        for r in group:
+            if not any(k.label == r.label and overlap(k, r) > 0.3 for k in mine):
+                mine.append(r)
+        kept += mine
+    out = fuse.nms(placed.drop("kind"), 0.3)
+    assert runs_of_pages(out) and sorted(r.det_id for r in out.collect()) == sorted(r.det_id for r in kept) and len(kept) < placed.count()
+    apart = fuse.nms(placed.drop("kind").withColumn("label", F.lit(1)), 0.3).count()
+    assert fuse.nms(placed.drop("kind"), 0.3, True).count() == apart
+
+
 def test_labels_take_each_value_once(spark):
     rows = [(1, 1, 1, "Name", 0.9, 0, 0, 50, 20), (1, 1, 2, "Rajesh", 0.9, 60, 0, 120, 20), (1, 1, 3, "Age", 0.9, 0, 40, 50, 60), (1, 1, 4, "30", 0.9, 60, 40, 90, 60), (1, 1, 5, "Surname", 0.8, 0, 2, 50, 22)]
     df = spark.createDataFrame(rows, "doc_id int, page_num int, region_id long, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
