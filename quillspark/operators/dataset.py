@@ -66,19 +66,23 @@ def split_by_group(rows: DataFrame, group: str, seed: int = 42, percent: int = 1
     return rows.withColumn("split", F.when(pick(100, seed, F.col(group)) < percent, "val").otherwise("train"))
 
 
-def split_exact(rows: DataFrame, group: str, seed: int = 42, percent: int = 10) -> DataFrame:
-    """As split_by_group, but val has max(1, percent of the groups): those with the least hashes, found by a top-n."""
-    h = pick(1 << 32, seed, F.col(group))
-    groups = rows.select(group).distinct().withColumn("h", h)
+def split_exact(rows: DataFrame, group: str, seed: int = 42, percent: int = 10, name: str | None = None) -> DataFrame:
+    """As split_by_group, but val has max(1, percent of the groups): those with the least hashes, found by a top-n.
+
+    The hash is that of the group, or of its `name`, which groups may share.
+    """
+    h = pick(1 << 32, seed, F.col(name or group))
+    groups = rows.select(*dict.fromkeys((group, name or group))).distinct().withColumn("h", h)
     n = max(1, groups.count() * percent // 100)
-    val = groups.orderBy("h", group).limit(n).select(group, F.lit("val").alias("v"))
+    val = groups.orderBy("h", name or group, group).limit(n).select(group, F.lit("val").alias("v"))
     return rows.join(val, group, "left").withColumn("split", F.coalesce("v", F.lit("train"))).drop("v")
 
 
 def synthetic_records(ids: DataFrame, seed: int = 42) -> DataFrame:
     """A coherent record for each row of ids(id): gender decides the name, marital status the spouse, city the pin code, income the premium and sum.
 
-    Every value is a function of the record number and the seed, so any part can be made again on any machine.
+    Every value is a function of the record number and the seed, so any part can be made again on any machine. The id has
+    five digits; from 100,000 on the last ones go, and records share it.
     """
     h = lambda k, m: pick(m, seed, k, F.col("id")).cast("int")
     one = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), i + 1)
@@ -92,10 +96,10 @@ def synthetic_records(ids: DataFrame, seed: int = 42) -> DataFrame:
     return r.withColumn("record_id", F.concat(F.lit("REC_"), F.lpad((F.col("id") + 1).cast("string"), 5, "0"))).withColumn("date_of_birth", F.date_format(F.date_add(F.lit("1955-01-01").cast("date"), h(8, 16_000)), "dd/MM/yyyy"))
 
 
-def crops_of(records: DataFrame, names: list[str]) -> DataFrame:
-    """One row per record and field: crop id, field, text."""
+def crops_of(records: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """One row per record and field: crop id, field, text, and further columns of the record."""
     pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("field_name"), F.col(n).cast("string").alias("target_text")) for n in names))).alias("f")
-    return records.select("record_id", pairs).select(F.concat_ws("__", "record_id", "f.field_name").alias("id"), "record_id", "f.field_name", "f.target_text")
+    return records.select("record_id", *more, pairs).select(F.concat_ws("__", "record_id", "f.field_name").alias("id"), "record_id", *more, "f.field_name", "f.target_text")
 
 
 def pages_of(records: DataFrame, layout: dict[str, list[str]]) -> DataFrame:

@@ -426,8 +426,8 @@ def g1(spark, sf):
     f"WITH {IDS_SQL}, {RECORDS_SQL}, s AS (SELECT record_id, row_number() OVER (ORDER BY {pick_sql(1 << 32, '42', 'record_id')}, record_id) <= greatest(1, (SELECT count(*) FROM rec) * 10 // 100) AS v FROM rec), f AS (SELECT unnest(['first_name', 'address_city', 'annual_income']) AS field_name) SELECT CASE WHEN v THEN 'val' ELSE 'train' END AS split, field_name, count(*) AS n FROM s, f GROUP BY 1, 2",
 )
 def g6(spark, sf):
-    crops = dataset.crops_of(records(spark, sf), ["first_name", "address_city", "annual_income"])
-    return dataset.split_exact(crops, "record_id").groupBy("split", "field_name").agg(F.count("*").alias("n"))
+    crops = dataset.crops_of(records(spark, sf).withColumnRenamed("id", "record"), ["first_name", "address_city", "annual_income"], "record")
+    return dataset.split_exact(crops, "record", name="record_id").groupBy("split", "field_name").agg(F.count("*").alias("n"))
 
 
 @query("src12_polygon_adapter", "SELECT region_id, x1, y1, x2, y2 FROM v_region")

@@ -313,6 +313,12 @@ def test_splits_do_not_leak(spark):
     assert dataset.split_exact(rows, "g").where("split = 'val'").select("g").distinct().count() == 3
 
 
+def test_records_that_share_an_id_are_split_one_by_one(spark):
+    rows = spark.range(200).select("id", F.concat(F.lit("R"), F.col("id") % 20).alias("name"))
+    out = dataset.split_exact(rows, "id", name="name").where("split = 'val'")
+    assert out.count() == 20 and out.select("name").distinct().count() <= 3
+
+
 def test_synthetic_records_are_coherent_and_repeatable(spark):
     ids = spark.range(300)
     a, b = dataset.synthetic_records(ids).collect(), dataset.synthetic_records(ids).collect()
