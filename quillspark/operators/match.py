@@ -116,7 +116,8 @@ def simply_verified(values: DataFrame, regions: DataFrame) -> DataFrame:
 
     An equal text gives 0.95; one that contains the value or is contained, with over 0.6 of all characters in common,
     0.85. Else a value with a digit or of two words at most, as by hand, has 0.70 and others 0.50; an empty one 0. The
-    box is that of the best region: 1 if equal, 0.7 by the lengths if contained, times its confidence, above 0.3.
+    box is that of the best region: 1 if equal, 0.7 by the lengths if contained, times its confidence, above 0.3; scores
+    that are equal to 12 digits are equal, and the first region wins.
     """
     v, r = F.lower(F.trim("value")), F.lower(F.trim("text"))
     m = values.join(regions.select("doc_id", "page_num", "region_id", "text", F.col("confidence").alias("rc")), ["doc_id", "page_num"], "left")
@@ -125,7 +126,7 @@ def simply_verified(values: DataFrame, regions: DataFrame) -> DataFrame:
     common = F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
     borne = F.when(v == r, 0.95).when(inside & (common > 0.6), 0.85)
     score = F.when(v == r, 1.0).when(inside, 0.7 * F.least(F.length(v), F.length(r)) / F.greatest(F.length(v), F.length(r), F.lit(1))) * F.col("rc")
-    g = m.groupBy("doc_id", "page_num", "field", "value").agg(F.min(F.when(borne.isNotNull(), F.struct("region_id", borne.alias("c")))).alias("b"), F.max(F.when(score > 0.3, F.struct(score.alias("s"), (-F.col("region_id")).alias("o")))).alias("box"))
+    g = m.groupBy("doc_id", "page_num", "field", "value").agg(F.min(F.when(borne.isNotNull(), F.struct("region_id", borne.alias("c")))).alias("b"), F.max(F.when(score > 0.3, F.struct(F.round(score, 12).alias("s"), (-F.col("region_id")).alias("o")))).alias("box"))
     by_hand = F.col("value").rlike("[0-9]") | (F.size(F.split(F.trim("value"), r"\s+")) <= 2)
     empty = F.trim(F.coalesce("value", F.lit(""))) == ""
     confidence = F.when(empty, 0.0).otherwise(F.coalesce("b.c", F.when(by_hand, 0.70).otherwise(0.50)))

@@ -319,6 +319,13 @@ def test_records_that_share_an_id_are_split_one_by_one(spark):
     assert out.count() == 20 and out.select("name").distinct().count() <= 3
 
 
+def test_scores_that_are_equal_but_for_rounding_go_to_the_first_region(spark):
+    v = spark.createDataFrame([(1, 1, "f", "ab")], "doc_id int, page_num int, field string, value string")
+    r = spark.createDataFrame([(1, 1, 1, "abcd", 0.8932), (1, 1, 2, "abc", 0.6699)], "doc_id int, page_num int, region_id long, text string, confidence double")
+    assert 0.7 * 2 / 4 * 0.8932 < 0.7 * 2 / 3 * 0.6699
+    assert match.simply_verified(v, r).first().box_region_id == 1
+
+
 def test_synthetic_records_are_coherent_and_repeatable(spark):
     ids = spark.range(300)
     a, b = dataset.synthetic_records(ids).collect(), dataset.synthetic_records(ids).collect()
