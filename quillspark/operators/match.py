@@ -99,10 +99,10 @@ def in_zones(regions: DataFrame, zones: DataFrame, width: int, height: int, leas
 def verified_values(values: DataFrame, regions: DataFrame) -> DataFrame:
     """values(doc_id, page_num, field, value) against the page's regions: similarity times confidence, at its greatest.
 
-    Equal texts count 1, contained ones 0.8 by their lengths, others by matching blocks. Verified from 0.65.
+    Equal texts count 1, contained ones 0.8 by their lengths, others by matching blocks. Verified from 0.65. Each region is
+    compared as it comes from the join, so that no task holds its regions in a hash table.
     """
     m = values.join(regions.select("doc_id", "page_num", F.lower(F.trim("text")).alias("r"), F.col("confidence").alias("rc")), ["doc_id", "page_num"], "left").withColumn("v", F.lower(F.trim("value")))
-    m = m.groupBy("doc_id", "page_num", "field", "value", "v", "r").agg(F.max("rc").alias("rc"))
     inside = F.contains("v", "r") | F.contains("r", "v")
     other = ratio(F.when(inside, "").otherwise(F.col("v")), F.when(inside, "").otherwise(F.col("r")))
     sim = F.when(F.col("v") == F.col("r"), 1.0).when(inside, 0.8 * F.least(F.length("v"), F.length("r")) / F.greatest(F.length("v"), F.length("r"), F.lit(1))).otherwise(other)

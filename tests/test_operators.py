@@ -326,6 +326,17 @@ def test_scores_that_are_equal_but_for_rounding_go_to_the_first_region(spark):
     assert match.simply_verified(v, r).first().box_region_id == 1
 
 
+def test_verification_and_tiles_hold_no_regions(spark):
+    v = spark.createDataFrame([(1, 1, "f", "ab"), (2, 1, "f", "zz")], "doc_id int, page_num int, field string, value string")
+    r = spark.createDataFrame([(1, 1, "abq", 0.5), (1, 1, "abq", 0.9), (1, 1, "ax", 1.0), (1, 1, None, 1.0)], "doc_id int, page_num int, text string, confidence double")
+    out = match.verified_values(v, r)
+    assert {x.doc_id: round(x.best, 9) for x in out.collect()} == {1: 0.5, 2: 0.0}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 1
+    t = spark.createDataFrame([(1, k, tile, f, x) for k, (tile, f, x) in enumerate([("half_a", "n", "half"), ("tile_b", "n", "own"), ("tile_b", None, "none"), (None, "m", "bare"), ("tile_b", "m", " ")])], "doc_id int, ord int, tile string, field string, value string")
+    m = fuse.merge_tiles(t, spark.createDataFrame([("n", "tile_b"), ("n", "tile_b"), (None, "x")], "field string, tile string"))
+    assert "Join" not in plan(m) and {(x.field, x.value) for x in m.collect()} == {("n", "own"), (None, "none"), ("m", "bare")}
+
+
 def test_synthetic_records_are_coherent_and_repeatable(spark):
     ids = spark.range(300)
     a, b = dataset.synthetic_records(ids).collect(), dataset.synthetic_records(ids).collect()
