@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fields as V
 from ..functions import text as X
-from .fixed import page_by_page, pairs
+from .fixed import fixed_rows, page_by_page, pairs
 
 
 def accept_weak_labels(predictions: DataFrame) -> DataFrame:
@@ -69,8 +69,14 @@ def merge_tiles(tiles: DataFrame, affinity: DataFrame) -> DataFrame:
 
     Halves count 3, tiles 2, others 1; a field's own tiles 5 more; each character 0.01. The first wins on ties.
     """
-    v = tiles.where(F.trim(F.coalesce("value", F.lit(""))) != "").join(affinity.withColumn("near", F.lit(5.0)), ["field", "tile"], "left")
-    rank = F.when(F.col("tile").startswith("half_"), 3.0).when(F.col("tile").startswith("tile_"), 2.0).otherwise(1.0) + F.coalesce("near", F.lit(0.0)) + 0.01 * F.length(F.trim("value"))
+    own: dict[str, list[str]] = {}
+    for r in fixed_rows(affinity.select("field", "tile").where("field IS NOT NULL AND tile IS NOT NULL")):
+        own.setdefault(r.field, []).append(r.tile)
+    near = F.lit(0.0)
+    for field, names in own.items():
+        near = F.when((F.col("field") == field) & F.col("tile").isin(*names), 5.0).otherwise(near)
+    v = tiles.where(F.trim(F.coalesce("value", F.lit(""))) != "")
+    rank = F.when(F.col("tile").startswith("half_"), 3.0).when(F.col("tile").startswith("tile_"), 2.0).otherwise(1.0) + near + 0.01 * F.length(F.trim("value"))
     best = v.groupBy("doc_id", "field").agg(F.max(F.struct(F.round(rank, 6).alias("p"), (-F.col("ord")).alias("o"), F.trim("value").alias("value"))).alias("b"))
     return best.select("doc_id", "field", "b.value")
 
