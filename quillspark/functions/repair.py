@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,13 +152,22 @@ def box_of(text: Column, width: Column, height: Column) -> Column:
     """
     listed = F.from_json(F.regexp_extract(text, r"(\[[^\[\]]*\])", 1), "array<double>")
     loose = F.transform(F.slice(F.regexp_extract_all(text, F.lit(r"(-?[0-9]+\.?[0-9]*)"), 1), 1, 4), lambda x: x.cast("double"))
-    b = F.when(F.size(listed) >= 4, F.slice(listed, 1, 4)).when(F.size(loose) == 4, loose)
-    top = F.array_max(b)
-    sx = F.when(top <= 1.0, width).when((top <= 1000) & (F.greatest(width, height) > 1000), width / 1000).otherwise(F.lit(1.0))
-    sy = F.when(top <= 1.0, height).when((top <= 1000) & (F.greatest(width, height) > 1000), height / 1000).otherwise(F.lit(1.0))
-    x, y = (F.get(b, F.lit(0)) * sx, F.get(b, F.lit(2)) * sx), (F.get(b, F.lit(1)) * sy, F.get(b, F.lit(3)) * sy)
+    b = _once(listed, lambda v: F.when(F.size(v) >= 4, F.slice(v, 1, 4)).otherwise(_once(loose, lambda v: F.when(F.size(v) == 4, v))))
+    wide = F.greatest(width, height) > 1000
+    scale = lambda top, m: F.when(top <= 1.0, m).when((top <= 1000) & wide, m / 1000).otherwise(F.lit(1.0))
     clip = lambda v, m: F.greatest(F.lit(0), F.least(F.floor(v).cast("int"), m.cast("int")))
-    return F.when(b.isNotNull(), F.array(clip(F.least(*x), width), clip(F.least(*y), height), clip(F.greatest(*x), width), clip(F.greatest(*y), height)))
+
+    def corners(b: Column, s: Column) -> Column:
+        x, y = (F.get(b, F.lit(0)) * s["x"], F.get(b, F.lit(2)) * s["x"]), (F.get(b, F.lit(1)) * s["y"], F.get(b, F.lit(3)) * s["y"])
+        return F.array(clip(F.least(*x), width), clip(F.least(*y), height), clip(F.greatest(*x), width), clip(F.greatest(*y), height))
+
+    scales = lambda top: F.struct(scale(top, width).alias("x"), scale(top, height).alias("y"))
+    return _once(b, lambda b: F.when(b.isNotNull(), _once(_once(F.array_max(b), scales), lambda s: corners(b, s))))
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def back_mapped(h: Column, b: Column, width: Column, height: Column) -> Column:

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import repair
 from quillspark.operators import dataset, fuse, label, match, resolve
 from quillspark.operators.fixed import MOST_ROWS, fixed_rows, page_by_page, pairs
 from quillspark.sources import files
@@ -337,6 +338,12 @@ def test_verification_and_tiles_hold_no_regions(spark):
     assert "Join" not in plan(m) and {(x.field, x.value) for x in m.collect()} == {("n", "own"), (None, "none"), ("m", "bare")}
 
 
+def test_a_box_is_parsed_once(spark):
+    df = spark.createDataFrame([("[1, 2, 30, 4]",), ("x 9 8 7 6 5",), ("[1, 2] 3 4",), ("[0.5, 0.1, 1, 0.2]",), ("",), (None,)], "t string").select(repair.box_of(F.col("t"), F.lit(2000), F.lit(2000)).alias("b"))
+    assert [r.b for r in df.collect()] == [[2, 4, 60, 8], [14, 12, 18, 16], [2, 4, 6, 8], [1000, 200, 2000, 400], None, None]
+    assert plan(df).lower().count("from_json(") <= 1
+
+
 def test_synthetic_records_are_coherent_and_repeatable(spark):
     ids = spark.range(300)
     a, b = dataset.synthetic_records(ids).collect(), dataset.synthetic_records(ids).collect()
