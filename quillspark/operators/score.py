@@ -14,12 +14,17 @@ def _count(c: Column) -> Column:
     return F.count_if(c)
 
 
+def _mean(c: Column) -> Column:
+    """The mean of doubles to 12 digits, summed as decimals: the order of rows, which bends sums of doubles, does not count."""
+    return F.avg(c.try_cast("decimal(20,12)")).cast("double")
+
+
 def form_kpis(fields: DataFrame) -> DataFrame:
     """fields(doc_id, status, confidence): counts by status, mean of positive confidences, and the form's status."""
     g = fields.groupBy("doc_id").agg(
         F.count("*").alias("total_fields"),
         *(_count(F.col("status") == s).alias(n) for s, n in (("Extracted", "extracted"), ("Missing", "missing"), ("Low Confidence", "low_confidence"), ("Rejected", "rejected"))),
-        F.coalesce(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), F.lit(0.0)).alias("overall_confidence"),
+        F.coalesce(_mean(F.when(F.col("confidence") > 0, F.col("confidence"))), F.lit(0.0)).alias("overall_confidence"),
     )
     bad = (F.col("rejected") > 0) | (F.col("overall_confidence") < V.REJECT)
     return g.withColumn("form_status", F.when(bad, "rejected").when((F.col("low_confidence") > 0) | (F.col("missing") > 0), "needs_review").otherwise("completed"))
@@ -34,7 +39,7 @@ def review_kpis(fields: DataFrame) -> DataFrame:
         _count(found).alias("fields_extracted"),
         _count(~found).alias("fields_missing"),
         *(_count(found & (band == b)).alias(b) for b in ("auto_accepted", "needs_review", "low_confidence", "rejected")),
-        F.coalesce(F.avg(F.when(found, F.col("confidence"))), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(_mean(F.when(found, F.col("confidence"))), F.lit(0.0)).alias("avg_confidence"),
     )
     return g.withColumn("form_status", F.when((F.col("rejected") > 0) | (F.col("low_confidence") > F.col("auto_accepted")), "needs_review").when(F.col("needs_review") > 0, "mostly_confident").otherwise("auto_accepted"))
 
@@ -47,7 +52,7 @@ def form_results(fields: DataFrame, mandatory: DataFrame) -> DataFrame:
     g = m.groupBy("doc_id").agg(
         _count(good).alias("extracted"),
         *(_count(F.col("category") == c).alias(k) for c, k in (("Missing", "missing"), ("Low Confidence", "low_confidence"), ("Rejected", "rejected"), ("Validation Failed", "validation_failed"))),
-        F.coalesce(F.avg(F.when(F.coalesce("value", F.lit("")) != "", F.col("confidence"))), F.lit(0.0)).alias("overall_confidence"),
+        F.coalesce(_mean(F.when(F.coalesce("value", F.lit("")) != "", F.col("confidence"))), F.lit(0.0)).alias("overall_confidence"),
         F.count_distinct(F.when(good & F.col("must"), F.col("field_name"))).alias("mandatory_present"),
     )
     g = g.withColumn("completion", F.col("mandatory_present") / max(n, 1))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import repair
-from quillspark.operators import dataset, fuse, label, match, resolve
+from quillspark.operators import dataset, fuse, label, match, resolve, score
 from quillspark.operators.fixed import MOST_ROWS, fixed_rows, page_by_page, pairs
 from quillspark.sources import files
 from quillspark.sources.desk import Desk
@@ -338,6 +338,13 @@ def test_verification_and_tiles_hold_no_regions(spark):
     assert "Join" not in plan(m) and {(x.field, x.value) for x in m.collect()} == {("n", "own"), (None, "none"), ("m", "bare")}
 
 
+def test_a_form_of_mean_one_half_is_so_in_any_order(spark):
+    f = spark.createDataFrame([(d, "m", "v", c, "Extracted") for d, cs in enumerate([(0.2, 0.5, 0.6, 0.7), (0.7, 0.6, 0.5, 0.2), (0.2, 0.5, 0.6, 0.7), (0.4, None)]) for c in cs], "doc_id int, field_name string, value string, confidence double, category string").coalesce(1)
+    out = score.form_results(f, spark.createDataFrame([("m",)], "field_name string")).collect()
+    assert {r.doc_id: (r.overall_confidence, r.form_status) for r in out} == {0: (0.5, "Processed"), 1: (0.5, "Processed"), 2: (0.5, "Processed"), 3: (0.4, "Rejected")}
+    assert (0.2 + 0.5 + 0.6 + 0.7) / 4 < 0.5
+
+
 def test_a_box_is_parsed_once(spark):
     df = spark.createDataFrame([("[1, 2, 30, 4]",), ("x 9 8 7 6 5",), ("[1, 2] 3 4",), ("[0.5, 0.1, 1, 0.2]",), ("",), (None,)], "t string").select(repair.box_of(F.col("t"), F.lit(2000), F.lit(2000)).alias("b"))
     assert [r.b for r in df.collect()] == [[2, 4, 60, 8], [14, 12, 18, 16], [2, 4, 6, 8], [1000, 200, 2000, 400], None, None]
